@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, mixing
+from lakeloom.llm import bpe, mixing, toxicity
 from lakeloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,5 +25,5 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
