@@ -16,7 +16,7 @@ from lakeloom.llm.common import n_words
 #: Targets stop at this multiple of their source's size.
 MAX_EPOCHS = 3
 #: Rows a key range holds on average; ranges grow in number with the largest source.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: int = 3) -> DataFrame:
