@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, mixing, toxicity
+from lakeloom.llm import bpe, mixing, secrets, toxicity
 from lakeloom.llm.common import table
 
 
@@ -25,5 +26,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(found, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return s.select(
+        "doc_id", *counts,
+        F.sha2(secrets.spans_text(F.col("found")), 256).alias("base_sha256"),
+        secrets.spans_text(F.array_sort(F.concat("found", "added"))).alias("spans"),
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op8_secrets": op8_secrets}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
