@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, mixing, secrets, toxicity
+from lakeloom.llm import bpe, mixing, quality_rules, secrets, toxicity
 from lakeloom.llm.common import table
 
 
@@ -36,5 +36,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op8_secrets": op8_secrets}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
