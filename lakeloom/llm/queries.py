@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, mixing, quality_rules, secrets, toxicity
+from lakeloom.llm import bpe, mixing, ngram_join, quality_rules, secrets, toxicity
 from lakeloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests_only=True)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
