@@ -12,35 +12,36 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words longer than this many bytes are contracted over a heap: the recursive query takes as
 #: many rounds as a word has merges and would read the whole word again in each.
 LONG_WORD = 1024
-#: Distinct words kept between batches, and characters taken into one query's batch.
-KEPT_WORDS, BATCH_CHARS = 200_000, 8_000_000
+#: Distinct words in each of the dictionary's two generations, and characters taken into one batch.
+KEPT_WORDS, BATCH_CHARS = 300_000, 8_000_000
 
 _RECURSIVE = """
-WITH RECURSIVE t(round, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM start
+WITH RECURSIVE t(round, word, pos, id, right_pos, right_id) AS (
+  SELECT 0, word, pos, id, right_pos, right_id FROM start
   UNION ALL
-  SELECT round + 1, word, pos, CASE WHEN pos = best_pos THEN merged ELSE id END
-  FROM (
-    SELECT round, word, pos, id, lag(pos) OVER w AS left_pos, best // 4294967296 AS merged, best % 4294967296 AS best_pos
-    FROM (
-      SELECT *, min(rank * 4294967296 + pos) OVER (PARTITION BY word) AS best
-      FROM (SELECT round, word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS right_id FROM t)
-      LEFT JOIN merges ON merges.l = id AND merges.r = right_id
-    )
-    WHERE best IS NOT NULL
-    WINDOW w AS (PARTITION BY word ORDER BY pos)
-  )
-  WHERE left_pos IS NULL OR left_pos <> best_pos
+  (WITH best AS (
+     SELECT word, min(rank * 4294967296 + pos) AS best, arg_min(right_pos, rank * 4294967296 + pos) AS gone
+     FROM t JOIN merges ON merges.l = id AND merges.r = right_id GROUP BY word),
+   pair AS (
+     SELECT word, (best // 4294967296)::INTEGER AS merged, (best % 4294967296)::INTEGER AS kept, gone,
+            t.right_pos AS next_pos, t.right_id AS next_id
+     FROM best JOIN t USING (word) WHERE t.pos = gone)
+   SELECT round + 1, word, pos, CASE WHEN pos = kept THEN merged ELSE id END,
+          CASE WHEN pos = kept THEN next_pos ELSE right_pos END,
+          CASE WHEN pos = kept THEN next_id WHEN right_pos = kept THEN merged ELSE right_id END
+   FROM t JOIN pair USING (word) WHERE pos <> gone)
 ),
-done AS (SELECT word, pos, id FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM t) WHERE round = last)
-SELECT word, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY pos) AS hex
-FROM done JOIN vocabulary USING (id) GROUP BY word
+last AS (SELECT word, max(round) AS round FROM t GROUP BY word)
+SELECT word, string_agg(id::VARCHAR, ',' {order}) AS ids, string_agg(hex, '' {order}) AS hex
+FROM (SELECT word, pos, id, hex FROM t JOIN last USING (word, round) JOIN vocabulary USING (id) ORDER BY word, pos)
+GROUP BY word
 """
 
 
@@ -54,8 +55,10 @@ class Codec:
         with open(ranks_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.ids: dict[str, str] = {}  # of a word: its ids, joined by commas
+        self.raw: dict[str, bytes] = {}  # and the bytes they decode to
+        self.older: tuple[dict, dict] = ({}, {})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
         self.db.execute("SET temp_directory = ''")
         splits = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
@@ -63,11 +66,11 @@ class Codec:
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        l, r, m = (pa.array(x, pa.int64()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int64()),) * 3
-        self._table("merges", pa.table({"l": l, "r": r, "rank": m}))
-        self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]}))
+        l, r, m = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
+        self._table("merges", pa.table({"l": l, "r": r, "rank": m.cast(pa.int64())}))
+        self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.byte_ids = [self.ranks.get(bytes([b])) for b in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
@@ -75,30 +78,47 @@ class Codec:
         self.db.unregister("arrow_rows")
 
     def learn(self, words: set[str]) -> None:
-        """Adds the words to the dictionary: whole tokens at once, others by the recursive query."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        rows: list[str] = []
-        for w in words - self.known.keys():
+        """Adds the words to the dictionary: whole tokens at once, others by the recursive query.
+
+        A full generation becomes the older one and the older one goes; words in use move up.
+        """
+        if len(self.ids) > KEPT_WORDS:
+            self.older, self.ids, self.raw = (self.ids, self.raw), {}, {}
+        rows: list[bytes] = []
+        names: list[str] = []
+        old_ids, old_raw = self.older
+        for w in words - self.ids.keys():
+            if (known := old_ids.get(w)) is not None:
+                self.ids[w], self.raw[w] = known, old_raw[w]
+                continue
             b = w.encode("utf-8", "replace")
             if (i := self.ranks.get(b)) is not None:
-                self.known[w] = (str(i), 1, b)
+                self.ids[w], self.raw[w] = str(i), b
             elif len(b) > LONG_WORD:
                 ids = self._heap(b)
-                self.known[w] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes_of[i] for i in ids))
+                self.ids[w], self.raw[w] = ",".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids)
             else:
-                rows.append(w)
+                rows.append(b)
+                names.append(w)
         for k in range(0, len(rows), 50_000):
-            self._contract(rows[k : k + 50_000])
-
-    def _contract(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "replace") for w in words]
-        word = [i for i, b in enumerate(raw) for _ in b]
-        pos = [p for b in raw for p in range(len(b))]
-        ids = [self.byte_ids[x] for b in raw for x in b]
-        self._table("start", pa.table({"word": pa.array(word, pa.int64()), "pos": pa.array(pos, pa.int64()), "id": pa.array(ids, pa.int64())}))
-        for w, i, n, h in self.db.execute(_RECURSIVE).fetchall():
-            self.known[words[w]] = (i, n, bytes.fromhex(h))
+            self._contract(names[k : k + 50_000], rows[k : k + 50_000])
+
+    def _contract(self, names: list[str], raw: list[bytes]) -> None:
+        size = np.array([len(b) for b in raw])
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        pos = (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)
+        ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
+        right_id = pa.array(np.roll(ids, -1), mask=last)
+        right_pos = pa.array(pos + 1, mask=last)
+        self._table("start", pa.table({"word": word, "pos": pos, "id": ids, "right_pos": right_pos, "right_id": right_id}))
+        found = self.db.execute(_RECURSIVE.replace("{order}", "")).fetchall()
+        if any(bytes.fromhex(h) != raw[w] for w, _, h in found):  # one thread aggregates in the sorted order; if ever not, order each aggregate
+            found = self.db.execute(_RECURSIVE.replace("{order}", "ORDER BY pos")).fetchall()
+        for w, i, h in found:
+            self.ids[names[w]], self.raw[names[w]] = i, bytes.fromhex(h)
 
     def _heap(self, b: bytes) -> list[int]:
         """The same contraction for one very long word: a heap of (rank, position) over a linked list."""
@@ -122,20 +142,12 @@ class Codec:
                     heapq.heappush(heap, (r, k))
         return [self.ranks[p] for p in part if p is not None]
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text its words as (ids joined by commas, number of ids, decoded bytes)."""
-        out: list = []
-        start = 0
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
-                chars += len(texts[end])
-                end += 1
-            words = [self.find(t) for t in texts[start:end]]
-            self.learn({w for ws in words for w in ws})
-            out += [[self.known[w] for w in ws] for ws in words]
-            start = end
-        return out
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its ids joined by commas and the bytes they decode to."""
+        words = [self.find(t) for t in texts]
+        self.learn(set().union(*words))
+        ids, raw = self.ids.__getitem__, self.raw.__getitem__
+        return [(",".join(map(ids, ws)), b"".join(map(raw, ws))) for ws in words]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -182,9 +194,8 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, digests_only:
         for batch in it:
             for start, texts in batches(batch):
                 n, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
-                for ws in c.encode(texts):
-                    ids, raw = ",".join([w[0] for w in ws]), b"".join([w[2] for w in ws])
-                    n.append(sum([w[1] for w in ws]))
+                for ids, raw in c.encode(texts):
+                    n.append(ids.count(",") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(raw).hexdigest())
                     if full:
