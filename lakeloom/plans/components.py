@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.session import materialize
+from lakeloom.session import discard, materialize
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         new = materialize(new, "cc")
+        discard(e)
         e, before, mark = new, mark, _mark(new)
         if before == mark:
             break
