@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.hashing import chunks, mix, shingles
 from lakeloom.plans.components import connected_components
-from lakeloom.session import materialize
+from lakeloom.session import discard, materialize
 
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -121,11 +121,41 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndar
     return rare, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of packed signatures of rare tokens by bucket, and one row (sig, key) for each pair of frequent ones."""
+def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, seen: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Key, tokens, and which of them are frequent, of the sets of a batch (texts in column 0) that the task has not seen."""
+    for _, _, data, offsets in chunks(b.column(0)):
+        tokens, at = shingles(data, offsets)
+        lo, _ = _keys(tokens, at)
+        place = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
+        often = frequent[place] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        for i, key in enumerate(lo.tolist()):
+            if at[i] < at[i + 1] and key not in seen:
+                seen.add(key)
+                yield key, tokens[at[i] : at[i + 1]], often[at[i] : at[i + 1]]
+
+
+def _pair_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(sig, key, rest) for each indexed pair of frequent tokens; rest: the set's tokens beyond its rare ones."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in it:
+            for key, tokens, often in _sets_of(b, frequent, seen):
+                if often.any():
+                    _, two = prefix_signatures(tokens, often)
+                    if len(two):
+                        n = np.full(len(two), key, np.int64), np.full(len(two), int(often.sum()), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["sig", "key", "rest"])
+
+    return docs.select("text").mapInArrow(run, "sig long, key long, rest long")
+
+
+def _single_signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Rows of packed signatures of rare tokens by bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "sigs", "keys", "sig", "key"]
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
         keys: list[np.ndarray] = []
@@ -139,43 +169,23 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
             cut = [*first.tolist(), len(s)]
             sigs.clear()
             keys.clear()
-            return pa.RecordBatch.from_arrays([
-                pa.array(own), pa.array([s[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                pa.array([k[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()),
-            ], names=names)
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (s, k)]
+            return pa.RecordBatch.from_arrays([pa.array(own), *blobs], names=["bucket", "sigs", "keys"])
 
         rows = 0
         for b in it:
-            for _, _, data, offsets in chunks(b.column(1)):
-                tokens, at = shingles(data, offsets)
-                lo, _ = _keys(tokens, at)
-                place = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
-                often = frequent[place] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-                pair_sigs, pair_keys = [], []
-                for i, key in enumerate(lo.tolist()):
-                    if at[i] == at[i + 1] or key in seen:
-                        continue
-                    seen.add(key)
-                    one, two = prefix_signatures(tokens[at[i] : at[i + 1]], often[at[i] : at[i + 1]])
-                    sigs.append(one)
-                    keys.append(np.full(len(one), key, np.int64))
-                    rows += len(one)
-                    if len(two):
-                        pair_sigs.append(two)
-                        pair_keys.append(np.full(len(two), key, np.int64))
-                if pair_sigs:
-                    s = np.concatenate(pair_sigs).view(np.int64)
-                    empty = pa.nulls(len(s), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), -1)), empty, empty, pa.array(s), pa.array(np.concatenate(pair_keys))], names=names)
-                if len(seen) > 1_000_000:
-                    seen.clear()
+            for key, tokens, often in _sets_of(b, frequent, seen):
+                one, _ = prefix_signatures(tokens, often)
+                sigs.append(one)
+                keys.append(np.full(len(one), key, np.int64))
+                rows += len(one)
                 if rows > 1_500_000:
                     yield flush()
                     rows = 0
         if sigs:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, sigs binary, keys binary, sig long, key long")
+    return docs.select("text").mapInArrow(run, "bucket long, sigs binary, keys binary")
 
 
 def _shared_singles(packed: DataFrame, buckets: int) -> DataFrame:
@@ -185,34 +195,35 @@ def _shared_singles(packed: DataFrame, buckets: int) -> DataFrame:
         bucket = t.column("bucket")[0].as_py()
         s = np.frombuffer(b"".join(t.column("sigs").to_pylist()), np.uint32)
         k = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64)
-        order = np.argsort(s, kind="stable")
+        order = np.lexsort((k, s))  # copies that several tasks met come together
         s, k = s[order], k[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
+        s, k = s[new], k[new]
         same = s[1:] == s[:-1]
         near = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        s, k = s[near], k[near]
-        sig = s.astype(np.int64) * buckets + bucket
-        return pa.table({"sig": pa.array(sig), "key": pa.array(k)})
+        return pa.table({"sig": pa.array(s[near].astype(np.int64) * buckets + bucket), "key": pa.array(k[near])})
 
-    singles = packed.where("bucket >= 0").select("bucket", "sigs", "keys")
-    return singles.groupBy("bucket").applyInArrow(run, "sig long, key long").distinct()
+    return packed.groupBy("bucket").applyInArrow(run, "sig long, key long")
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, n, tokens) of the wanted(doc_id, key, hi); tokens are packed 64-bit hashes, sorted."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in it:
             want_lo, want_hi = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for first, end, data, offsets in chunks(b.column(0)):
                 tokens, at = shingles(data, offsets)
                 lo, hi = _keys(tokens, at)
                 ok = np.nonzero((lo == want_lo[first:end]) & (hi == want_hi[first:end]))[0]
+                ok = np.array([i for i in ok if not (int(hi[i]) in seen or seen.add(int(hi[i])))], np.int64)  # a row repeated
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lo[ok]), pa.array(np.diff(at)[ok]), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in ok], pa.binary())], names=["key", "n", "tokens"]
                 )
 
     rows = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key", "hi")
-    return rows.mapInArrow(run, "key long, n long, tokens binary").dropDuplicates(["key", "n", "tokens"])
+    return rows.mapInArrow(run, "key long, n long, tokens binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,6 +251,30 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("a2", "part2")).applyInArrow(run, "a long, b long")
 
 
+_FITS = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+
+
+def _can_link(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of pairs(a, b), those that sizes(key, n, rare, rest) do not rule out.
+
+    Up to where the shorter prefix ends, the common tokens are exactly the shared signatures of
+    rare tokens; after it at most the rest of that set can be common. So the intersection is at
+    most the shared ones plus the larger rest, and must reach 75 / 175 of both sizes.
+    """
+    p = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("rare").alias("ra"), F.col("rest").alias("sa")), "a")
+    p = p.join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb")), "b").where(_FITS)
+    most = F.size(F.array_intersect("ra", "rb")) + F.greatest("sa", "sb")
+    return p.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links among pairs(a, b), verified on whole sets, and the table of those sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    reps = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key")
+    sets = materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
+    return materialize(_verify(pairs, sets), "ngram-links"), sets
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, set_lo, set_hi (two hashes of the set).
 
@@ -257,38 +292,40 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     frequent = all_rows.where("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("lo")
     frequent = np.sort(np.array([r.lo for r in frequent.collect()], np.int64).view(np.uint64))  # MOST_FREQUENT at most
     buckets = max(64, total // 4 // BUCKET_ROWS)
-    packed = materialize(_signatures(docs, frequent, buckets), "ngram-signatures")
-    pairs_of = packed.where("bucket < 0").select("sig", "key").distinct()
+    singles = materialize(_shared_singles(_single_signatures(docs, frequent, buckets), buckets), "ngram-singles")
+    paired = materialize(_pair_signatures(docs, frequent), "ngram-paired")
+    pairs_of = paired.select("sig", "key").distinct()
     shared = pairs_of.join(pairs_of.groupBy("sig").count().where("count > 1").select("sig"), "sig")
-    postings = materialize(_shared_singles(packed, buckets).unionByName(shared), "ngram-postings")
-    reps = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    reps = materialize(reps.join(postings.select("key").distinct(), "key"), "ngram-reps")
-    sets = materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
-    n_of = reps.groupBy("key").agg(F.min("n").alias("n"))
-    fits = "4 * least(na, nb) >= 3 * greatest(na, nb)"
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(n_of.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-        return p.join(n_of.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").where(fits).select("a", "b")
+    postings = materialize(singles.unionByName(shared), "ngram-postings")
+    sizes = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
+    sizes = sizes.join(singles.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("rare")), "key", "left")
+    sizes = sizes.join(paired.groupBy("key").agg(F.min("rest").alias("rest")), "key", "left")
+    sizes = sizes.join(postings.select("key").distinct(), "key", "left_semi")
+    sizes = sizes.withColumn("rest", F.coalesce("rest", F.ceil(F.col("n") * PERCENT / 100) - 1))
+    sizes = materialize(sizes.select("key", "n", F.coalesce("rare", F.expr("CAST(array() AS array<bigint>)")).alias("rare"), "rest"), "ngram-sizes")
+    discard(singles, paired)
 
     least = postings.groupBy("sig").agg(F.min("key").alias("a"))
     first = postings.join(least, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    first = materialize(sized(first), "ngram-pairs")
-    links = materialize(_verify(first, sets), "ngram-links")
+    first = materialize(_can_link(first, sizes), "ngram-pairs")
+    links, sets = _verified(docs, own, first)
     parts = connected_components(links)
     label = postings.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     label = label.select("sig", "key", "part")
     mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
-    label = materialize(label.join(mixed, "sig").join(n_of, "key"), "ngram-left")
+    label = materialize(label.join(mixed, "sig").join(sizes.select("key", "n"), "key"), "ngram-left")
+    discard(postings, sets)
     across = (
         label.select("sig", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
         .join(label.select("sig", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), "sig")
-        .where("a < b AND pa <> pb").where(fits).select("a", "b").distinct()
+        .where("a < b AND pa <> pb").where(_FITS).select("a", "b").distinct()
     )
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(across.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(_verify(across, sets))
+    across = materialize(_can_link(across.join(done, ["a", "b"], "left_anti"), sizes), "ngram-pairs")
+    more, sets = _verified(docs, own, across)
+    links = materialize(links.unionByName(more), "ngram-links")
     parts = materialize(connected_components(links), "ngram-parts").withColumnRenamed("id", "key")
+    discard(label, first, across, sizes, sets, more, links)
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
     # a set that no link reaches is its own component, whatever another with the same first hash is
