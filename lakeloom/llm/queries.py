@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, embedding_dedup, lm_scoring, mixing, ngram_join, quality_rules, secrets, toxicity
+from lakeloom.llm import bpe, embedding_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, toxicity
 from lakeloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(found, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -56,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
