@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, embedding_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, toxicity
+from lakeloom.llm import bpe, embedding_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 from lakeloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
@@ -60,5 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_secrets": op8_secrets, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_secrets": op8_secrets, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
