@@ -160,22 +160,20 @@ def codec(ranks_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, digests_only: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, ids: bool = True, decoded: bool = True, keep: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, [ids, decoded,] ids_sha256, decoded_sha256.
 
     Each match of pattern is a word and is encoded by the ranks of the vocabulary file, as
     tiktoken does: a word that is itself a token is that token. ids is the list of token ids,
-    decoded the bytes that they stand for; with digests_only the two are left out and only their
-    SHA-256 remain. keep names further columns of docs to carry along. A null text is an empty
+    decoded the bytes that they stand for; either can be left out, their SHA-256 remain. keep names further columns of docs to carry along. A null text is an empty
     one, with no tokens; an empty table gives no rows; repeated rows give repeated rows. The
     tokens of a document never depend on other documents, so nothing is shuffled.
     """
     carried = [c for c in (keep or []) if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *carried)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    full = not digests_only
     schema = f"doc_id {types['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded binary" * full + "".join(f", `{c}` {types[c]}" for c in carried)
+    schema += ", ids array<int>" * ids + ", decoded binary" * decoded + "".join(f", `{c}` {types[c]}" for c in carried)
 
     def batches(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         """Pieces of a batch whose texts together stay under BATCH_CHARS."""
@@ -193,18 +191,23 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, digests_only:
         c = codec(ranks_file, pattern)
         for batch in it:
             for start, texts in batches(batch):
-                n, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
-                for ids, raw in c.encode(texts):
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+                n, ids_hash, text_hash, all_ids, all_raw = [], [], [], [], []
+                for listed, raw in c.encode(texts):
+                    n.append(listed.count(",") + 1 if listed else 0)
+                    ids_hash.append(hashlib.sha256(listed.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(raw).hexdigest())
-                    if full:
-                        all_ids.append([int(x) for x in ids.split(",")] if ids else [])
-                        decoded.append(raw)
+                    if ids and listed:
+                        all_ids.append(np.fromstring(listed, np.int32, sep=","))
+                    if decoded:
+                        all_raw.append(raw)
                 part = batch.slice(start, len(texts))
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())] if full else []
+                if ids:
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+                if decoded:
+                    cols.append(pa.array(all_raw, pa.binary()))
                 cols += [part.column(2 + k) for k in range(len(carried))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full, *carried])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded, *carried])
 
     return rows.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests_only=True)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False, decoded=False)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.session import materialize
-
 #: Fixed patterns: (kind, pattern, group that is the secret, its least length), in order of kind.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -100,8 +98,8 @@ def randomness_p(token: str) -> str:
                 )[0])[0])[0])[0])[0] END)[0]"""
 
 
-def scan_secrets(docs: DataFrame, max_false: float = 0.05, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, found (base spans), added (the battery's spans) and the columns in keep.
+def scan_secrets(docs: DataFrame, max_false: float = 0.05, with_row: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, found (base spans), added (the battery's spans), and with_row all of docs as the struct row.
 
     Spans are structs of start, kind_no, end, kind, in code points with the end exclusive, sorted
     by start and kind. Base spans are the matches of KINDS, leftmost and non-overlapping per kind.
@@ -109,11 +107,11 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, keep: list[str] | Non
     span, whose p-value passes their length class and encoding's threshold at max_false expected
     false discoveries; a class with no sign of random tokens adds none. Null and empty texts have
     none. Repeated rows give repeated rows, and an empty table gives none. The text is scanned
-    once into a table without it in the shared folder; only thresholds (encodings times length
-    classes) reach the driver.
+    once for thresholds (encodings times length classes, all that reaches the driver) and once for
+    the result; nothing but the histogram is shuffled.
     """
-    carried = [c for c in (keep or []) if c != "doc_id"]
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_text"), *[F.col(c).alias(f"__k_{c}") for c in carried])
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_text"), *row)
     for k, (kind, pattern, group, least) in enumerate(KINDS):
         d = d.withColumn(f"spans_{kind}", match_spans("whole_text", _FIND.get(kind, pattern), group, least, kind, k))
     d = d.withColumn("base_spans", F.array_sort(F.concat(*[f"spans_{k[0]}" for k in KINDS])))
@@ -123,11 +121,12 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, keep: list[str] | Non
     d = d.withColumn("toks", F.expr("filter(toks, x -> x.token RLIKE '[0-9]' AND x.token RLIKE '[A-Za-z]')"))
     d = d.withColumn("tested_toks", F.transform("toks", lambda x: F.struct(x["span"].alias("span"), F.length(x["token"]).alias("n"), x["token"].alias("token"))))
     tested = F.expr(f"transform(tested_toks, x -> named_struct('span', x.span, 'class', CAST(floor(log2(x.n)) AS int), 'test', {randomness_p('x.token')}))")
-    found = materialize(d.select("doc_id", *[f"__k_{c}" for c in carried], F.col("base_spans").alias("found"), tested.alias("tested")), "secrets")
-    limits = thresholds(found.select(F.explode("tested").alias("x")).select("x.class", "x.test.encoding", "x.test.p"), max_false)
+    classes = d.select(F.explode(tested).alias("x")).select("x.class", "x.test.encoding", "x.test.p")
+    limits = thresholds(classes, max_false)
     passes = " OR ".join(f"(x.class = {k} AND x.test.encoding = '{e}' AND x.test.p >= {p}D)" for k, e, p in limits) or "false"
+    found = d.select("doc_id", F.col("base_spans").alias("found"), tested.alias("tested"), *["row"] * with_row)
     added = F.expr(f"transform(filter(tested, x -> {passes}), x -> x.span)")
-    return found.select("doc_id", "found", added.alias("added"), *[F.col(f"__k_{c}").alias(c) for c in carried])
+    return found.select("doc_id", "found", added.alias("added"), *["row"] * with_row)
 
 
 def thresholds(tests: DataFrame, max_false: float, bins: int = 100) -> list[tuple[int, str, float]]:

@@ -141,19 +141,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: i
     return fit_chain(x, [y * (hits >= 1), y * (hits >= 2), y], folds, terms)
 
 
-def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, p_insult, p_barrage, p_toxic, toxic, kept and the columns in keep.
+def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, with_row: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, p_insult, p_barrage, p_toxic, toxic, kept, and with_row all of docs as the struct row.
 
     toxic: p_toxic >= threshold; kept is its contrary. Whole texts are read, in one pass without
     a shuffle. A null or empty text has no terms and gets the chain's probabilities for none;
     without a chain (no usable labels) the probabilities are null and every document is kept.
     Repeated rows give repeated rows; an empty table gives none.
     """
-    carried = [c for c in (keep or []) if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", *carried)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if with_row else []
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in others])
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     probs = [f"p_{c}" for c in CATEGORIES]
-    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{p} double" for p in probs], "toxic boolean, kept boolean", *[f"`{c}` {types[c]}" for c in carried]])
+    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{p} double" for p in probs], "toxic boolean, kept boolean"])
+    if with_row:
+        schema += ", row struct<" + ", ".join(f"`{c}`: {t}" for c, t in types.items()) + ">"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -162,7 +164,8 @@ def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, keep:
             else:
                 got = chain.predict(chain.rows(b.column(1).to_pylist()))
                 p, toxic = [pa.array(c) for c in got.T], got[:, -1] >= threshold
-            cols = [b.column(0), *p, pa.array(toxic), pa.array(~toxic), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *probs, "toxic", "kept", *carried])
+            cols = [b.column(0), *p, pa.array(toxic), pa.array(~toxic)]
+            cols += [pa.StructArray.from_arrays(b.columns, names=list(types))] if with_row else []
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *probs, "toxic", "kept", *["row"] * with_row])
 
     return rows.mapInArrow(run, schema)
