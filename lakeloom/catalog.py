@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lakeloom.plans import search_queries  # noqa: F401
+from lakeloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
