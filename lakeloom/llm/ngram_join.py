@@ -7,10 +7,12 @@ pairs of one class, for which the prefix is extended by one token a class (two s
 no signature share at most one prefix token of a class). What shares a signature is verified on
 whole sets.
 
-Links inside a group already joined add nothing to its component. So signatures first propose
-each holder together with the least holder only; when those that link are joined, what is left
-are signatures that hold several components, and there every pair across components with
-fitting sizes is verified. No pair inside a component is emitted.
+Links inside a group already joined add nothing to its component. So rare signatures first
+propose each holder together with one leader only, the holder with most shared tokens; when those
+that link are joined, what is left are signatures that hold several components, and there every
+pair across components that an exact bound allows is verified. A rare token has few holders, so
+these are few. Sets that pairs of frequent tokens connect (large groups of near copies) are
+compared in blocks of sets, whose tasks emit spanning links and never a row for a pair.
 """
 
 from __future__ import annotations
@@ -267,12 +269,79 @@ def _can_link(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return p.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links among pairs(a, b), verified on whole sets, and the table of those sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    reps = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key")
-    sets = materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
-    return materialize(_verify(pairs, sets), "ngram-links"), sets
+def _sets_for(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Token sets of the wanted(key), each read from one document that has it."""
+    reps = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("doc_id")).join(wanted.distinct(), "key")
+    return materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
+
+
+def _families(shared: DataFrame) -> DataFrame:
+    """(key, family) of sets that pairs of frequent tokens connect."""
+    least = shared.groupBy("sig").agg(F.min("key").alias("b"))
+    edges = shared.join(least, "sig").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+    return connected_components(edges).select(F.col("id").alias("key"), F.col("component").alias("family"))
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets: products of 0/1 matrices over tokens that both lists hold."""
+    owner = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    tokens = [np.concatenate([*z, np.zeros(0, np.uint64)]) for z in (x, y)]
+    both = np.intersect1d(tokens[0], tokens[1])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for k in range(0, len(both), 8192):
+        part = both[k : k + 8192]
+        m = []
+        for t, o, z in zip(tokens, owner, (x, y), strict=True):
+            at = np.searchsorted(part, t)
+            hit = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == t)
+            one = np.zeros((len(z), len(part)), np.float32)
+            one[o[hit], at[hit]] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _verify_families(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join the sets of each family as their full graph does.
+
+    A family's sets are dealt into blocks of about VERIFY_ROWS; every pair of blocks is one task's
+    group, which compares whole sets by matrix products and emits a spanning forest of its links:
+    never a row for each pair, and no more links than sets.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        block = np.array(t.column("block").to_pylist())
+        keys = np.array(t.column("key").to_pylist())
+        tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in tokens])
+        left, right = np.nonzero(block == block.min())[0], np.nonzero(block == block.max())[0]
+        common = _common([tokens[i] for i in left], [tokens[i] for i in right])
+        linked = 100 * common >= PERCENT * (size[left][:, None] + size[right][None, :] - common)
+        root = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        a, b = [], []
+        for i, row in zip(left.tolist(), linked, strict=True):
+            for j in right[row].tolist():
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(keys[i])
+                    b.append(keys[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
+    f = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    f = f.join(sets.select("key", "tokens"), "key")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    f = f.select("family", "key", "tokens", "block", other)
+    f = f.select("family", "key", "tokens", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return f.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -296,25 +365,30 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     paired = materialize(_pair_signatures(docs, frequent), "ngram-paired")
     pairs_of = paired.select("sig", "key").distinct()
     shared = pairs_of.join(pairs_of.groupBy("sig").count().where("count > 1").select("sig"), "sig")
-    postings = materialize(singles.unionByName(shared), "ngram-postings")
+    shared = materialize(shared, "ngram-shared")
+    postings = singles
     sizes = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
     sizes = sizes.join(singles.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("rare")), "key", "left")
     sizes = sizes.join(paired.groupBy("key").agg(F.min("rest").alias("rest")), "key", "left")
-    sizes = sizes.join(postings.select("key").distinct(), "key", "left_semi")
+    sizes = sizes.join(singles.select("key").unionByName(shared.select("key")).distinct(), "key", "left_semi")
     sizes = sizes.withColumn("rest", F.coalesce("rest", F.ceil(F.col("n") * PERCENT / 100) - 1))
     sizes = materialize(sizes.select("key", "n", F.coalesce("rare", F.expr("CAST(array() AS array<bigint>)")).alias("rare"), "rest"), "ngram-sizes")
-    discard(singles, paired)
+    discard(paired)
 
-    least = postings.groupBy("sig").agg(F.min("key").alias("a"))
-    first = postings.join(least, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    families = materialize(_families(shared), "ngram-families")
+    central = F.struct((F.size("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))).alias("share"), "key")
+    leader = postings.join(sizes.select("key", central.alias("central")), "key").groupBy("sig").agg(F.max("central").alias("c"))
+    first = postings.join(leader.select("sig", F.col("c.key").alias("a")), "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     first = materialize(_can_link(first, sizes), "ngram-pairs")
-    links, sets = _verified(docs, own, first)
+    wanted = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(families.select("key"))
+    sets = _sets_for(docs, own, wanted)
+    links = materialize(_verify(first, sets).unionByName(_verify_families(families, sets)), "ngram-links")
     parts = connected_components(links)
     label = postings.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     label = label.select("sig", "key", "part")
     mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
     label = materialize(label.join(mixed, "sig").join(sizes.select("key", "n"), "key"), "ngram-left")
-    discard(postings, sets)
+    discard(postings, shared, families, sets)
     across = (
         label.select("sig", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
         .join(label.select("sig", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), "sig")
@@ -322,8 +396,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     )
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = materialize(_can_link(across.join(done, ["a", "b"], "left_anti"), sizes), "ngram-pairs")
-    more, sets = _verified(docs, own, across)
-    links = materialize(links.unionByName(more), "ngram-links")
+    sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
+    more = materialize(_verify(across, sets), "ngram-links")
+    links = links.unionByName(more)
     parts = materialize(connected_components(links), "ngram-parts").withColumnRenamed("id", "key")
     discard(label, first, across, sizes, sets, more, links)
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
