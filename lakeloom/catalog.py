@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import search_queries  # noqa: F401
+from lakeloom.plans import graph_queries, memory_queries, search_queries, text_queries  # noqa: F401
 from lakeloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

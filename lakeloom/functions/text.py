@@ -79,7 +79,7 @@ def normalize_extracted(name: Column, is_entity: bool = False) -> Column:
 def split_markers(text: Column, markers: list[str]) -> Column:
     """Parts between any of the markers, trimmed, without blanks."""
     pattern = "|".join(rf"\Q{m}\E" for m in markers)
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def preview(text: Column, limit: int = 250) -> Column:
@@ -104,7 +104,7 @@ def slugify(title: Column, fallback: str = "page") -> Column:
     """Letters, digits, - and _ kept, white space as -, runs of - collapsed; a fixed fallback instead of the clock."""
     s = F.regexp_replace(title, r"[^\p{L}\p{N}\-_ ]", "")
     s = F.regexp_replace(F.trim(s), r" +", "-")
-    s = F.regexp_replace(F.trim(F.lit("-"), s), "-{2,}", "-")
+    s = F.regexp_replace(F.trim(s, F.lit("-")), "-{2,}", "-")
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
@@ -128,7 +128,7 @@ def identifier(name: Column) -> Column:
 def sanitize_relation(name: Column) -> Column:
     for old, new in RELATION_NAMES:
         name = F.replace(name, F.lit(old), F.lit(new))
-    return F.trim(F.lit("_"), F.regexp_replace(name, "_+", "_"))
+    return F.trim(F.regexp_replace(name, "_+", "_"), F.lit("_"))
 
 
 def entity_key(name: Column) -> Column:

@@ -74,7 +74,7 @@ def merge_edges(edges: DataFrame, weight: str = "sum") -> DataFrame:
     distinct comma-separated ones.
     """
     e = edges.where("node1 <> node2").withColumn("a", F.least("node1", "node2")).withColumn("b", F.greatest("node1", "node2"))
-    words = F.filter(F.transform(F.split("keywords", ","), F.trim), lambda x: x != "")
+    words = F.filter(F.transform(F.split("keywords", ","), lambda x: F.trim(x)), lambda x: x != "")
     total = F.sum("weight") if weight == "sum" else F.max("weight")
     return e.groupBy("a", "b").agg(
         F.round(total, 6).alias("weight"),

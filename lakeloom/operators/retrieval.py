@@ -121,8 +121,9 @@ def weighted_polling(chunks: DataFrame, n_groups: int, most: int = 5, least: int
     """
     share = F.lit(float(most)) if n_groups < 2 else F.lit(float(most)) - F.col("grp") / F.lit(n_groups - 1) * F.lit(most - least)
     c = chunks.withColumn("quota", F.bround(share, 0).cast("long"))
-    used = c.groupBy("grp").agg(F.least(F.max("rn"), F.first("quota")).alias("used"), F.first("quota").alias("q"))
-    spare = used.agg(F.sum(F.col("q") - F.col("used")).alias("spare")) if n_groups > 1 else used.agg(F.lit(0).alias("spare"))
+    quotas = sum(round(most - i / (n_groups - 1) * (most - least)) for i in range(n_groups)) if n_groups > 1 else 0  # empty groups have one too
+    used = c.groupBy("grp").agg(F.least(F.max("rn"), F.first("quota")).alias("used"))
+    spare = used.agg((F.lit(quotas) - F.sum("used")).alias("spare"))
     firsts = c.where("rn <= quota").select("grp", "rn", "chunk_id", F.lit(0).alias("pass"))
     more = c.where("rn > quota").withColumn("turn", F.row_number().over(W.orderBy("grp", "rn")))
     more = more.crossJoin(F.broadcast(spare)).where("turn <= spare").select("grp", "rn", "chunk_id", F.lit(1).alias("pass"))

@@ -87,9 +87,14 @@ def read_page(html: str | None, url: str | None) -> dict:
     }
 
 
-@F.pandas_udf(SCHEMA)
-def parse_html(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h, u) for h, u in zip(html, url, strict=True)], columns=["title", "description", "text", "tables", "images", "links"])
+def parse_html(html: Column, url: Column) -> Column:
+    """The fields of read_page as a struct."""
+
+    @F.pandas_udf(SCHEMA)
+    def parse(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(h, u) for h, u in zip(html, url, strict=True)], columns=["title", "description", "text", "tables", "images", "links"])
+
+    return parse(html, url)
 
 
 def title(html: Column) -> Column:
@@ -102,4 +107,4 @@ def hrefs(html: Column) -> Column:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", parse_html("html", "url").alias("p")).select("page_id", "url", "p.*")
+    return pages.select("page_id", "url", parse_html(F.col("html"), F.col("url")).alias("p")).select("page_id", "url", "p.*")
