@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.hashing import chunks, mix, shingles
@@ -253,20 +253,28 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("a2", "part2")).applyInArrow(run, "a long, b long")
 
 
-_FITS = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+_PAIR = ("a", "b", "na", "nb", "sa", "sb")
 
 
-def _can_link(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of pairs(a, b), those that sizes(key, n, rare, rest) do not rule out.
+def _may_link(shared: Column) -> Column:
+    """Whether sets a and b with at most ``shared`` signatures of rare tokens in common can link.
 
-    Up to where the shorter prefix ends, the common tokens are exactly the shared signatures of
-    rare tokens; after it at most the rest of that set can be common. So the intersection is at
-    most the shared ones plus the larger rest, and must reach 75 / 175 of both sizes.
+    Up to where the shorter prefix ends, the common tokens are exactly the shared signatures;
+    after it at most the rest (sa, sb) of that set can be common. So the intersection is at most
+    the shared ones plus the larger rest, and must reach 75 / 175 of both sizes (na, nb).
     """
-    p = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("rare").alias("ra"), F.col("rest").alias("sa")), "a")
-    p = p.join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb")), "b").where(_FITS)
-    most = F.size(F.array_intersect("ra", "rb")) + F.greatest("sa", "sb")
-    return p.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
+    fits = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return fits & ((100 + PERCENT) * (shared + F.greatest("sa", "sb")) >= PERCENT * (F.col("na") + F.col("nb")))
+
+
+def _can_link(pairs: DataFrame, singles: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may link by the signatures they really share."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = singles.join(keys, "key", "left_semi").groupBy("key").agg(F.collect_list("sig").alias("held"))
+    p = pairs.join(held.select(F.col("key").alias("a"), F.col("held").alias("ha")), "a", "left")
+    p = p.join(held.select(F.col("key").alias("b"), F.col("held").alias("hb")), "b", "left")
+    shared = F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0))
+    return p.where(_may_link(shared)).select("a", "b")
 
 
 def _sets_for(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -366,41 +374,38 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     pairs_of = paired.select("sig", "key").distinct()
     shared = pairs_of.join(pairs_of.groupBy("sig").count().where("count > 1").select("sig"), "sig")
     shared = materialize(shared, "ngram-shared")
-    postings = singles
-    sizes = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
-    sizes = sizes.join(singles.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("rare")), "key", "left")
-    sizes = sizes.join(paired.groupBy("key").agg(F.min("rest").alias("rest")), "key", "left")
-    sizes = sizes.join(singles.select("key").unionByName(shared.select("key")).distinct(), "key", "left_semi")
-    sizes = sizes.withColumn("rest", F.coalesce("rest", F.ceil(F.col("n") * PERCENT / 100) - 1))
-    sizes = materialize(sizes.select("key", "n", F.coalesce("rare", F.expr("CAST(array() AS array<bigint>)")).alias("rare"), "rest"), "ngram-sizes")
-    discard(paired)
-
     families = materialize(_families(shared), "ngram-families")
-    central = F.struct((F.size("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))).alias("share"), "key")
-    leader = postings.join(sizes.select("key", central.alias("central")), "key").groupBy("sig").agg(F.max("central").alias("c"))
-    first = postings.join(leader.select("sig", F.col("c.key").alias("a")), "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    first = materialize(_can_link(first, sizes), "ngram-pairs")
+    stats = singles.groupBy("key").agg(F.count("*").alias("rare"))
+    stats = stats.join(own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n")), "key")
+    stats = stats.join(paired.groupBy("key").agg(F.min("rest").alias("rest")), "key", "left")
+    stats = stats.withColumn("rest", F.coalesce("rest", F.ceil(F.col("n") * PERCENT / 100) - 1))
+    postings = materialize(singles.join(stats, "key").select("sig", "key", "n", "rare", "rest"), "ngram-postings")
+    discard(paired, shared)
+
+    share = F.col("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))
+    leader = postings.groupBy("sig").agg(F.max(F.struct(share.alias("share"), "key", "n", "rare", "rest")).alias("c"))
+    leader = leader.select("sig", F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("c.rare").alias("ra"), F.col("c.rest").alias("sa"))
+    first = postings.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb"))
+    first = first.join(leader, "sig").where("a <> b").where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
+    first = materialize(_can_link(first, singles), "ngram-pairs")
     wanted = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(families.select("key"))
     sets = _sets_for(docs, own, wanted)
     links = materialize(_verify(first, sets).unionByName(_verify_families(families, sets)), "ngram-links")
-    parts = connected_components(links)
-    label = postings.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    label = label.select("sig", "key", "part")
+    discard(sets, families)
+    parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
+    label = postings.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
     mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
-    label = materialize(label.join(mixed, "sig").join(sizes.select("key", "n"), "key"), "ngram-left")
-    discard(postings, shared, families, sets)
-    across = (
-        label.select("sig", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-        .join(label.select("sig", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), "sig")
-        .where("a < b AND pa <> pb").where(_FITS).select("a", "b").distinct()
-    )
+    label = materialize(label.join(mixed, "sig").drop("component"), "ngram-left")
+    discard(postings)
+    sides = [label.select("sig", *[F.col(c).alias(x + e) for c, x in (("key", ""), ("part", "p"), ("n", "n"), ("rare", "r"), ("rest", "s"))]) for e in "ab"]
+    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(_can_link(across.join(done, ["a", "b"], "left_anti"), sizes), "ngram-pairs")
+    across = materialize(_can_link(across.join(done, ["a", "b"], "left_anti"), singles), "ngram-pairs")
     sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
     more = materialize(_verify(across, sets), "ngram-links")
     links = links.unionByName(more)
     parts = materialize(connected_components(links), "ngram-parts").withColumnRenamed("id", "key")
-    discard(label, first, across, sizes, sets, more, links)
+    discard(label, first, across, singles, sets, more)
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
     # a set that no link reaches is its own component, whatever another with the same first hash is
