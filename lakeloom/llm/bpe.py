@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 #: many rounds as a word has merges and would read the whole word again in each.
 LONG_WORD = 1024
 #: Distinct words in each of the dictionary's two generations, and characters taken into one batch.
-KEPT_WORDS, BATCH_CHARS = 300_000, 8_000_000
+KEPT_WORDS, BATCH_CHARS = 200_000, 4_000_000
 
 _RECURSIVE = """
 WITH RECURSIVE t(round, word, pos, id, right_pos, right_id) AS (
