@@ -33,9 +33,10 @@ def terms_of(text: str | None) -> set[str]:
 
 @dataclass
 class Chain:
-    """terms: index of each term; weights: for each category those of terms, earlier categories, bias."""
+    """terms: index of each term; abusive: those that toxic documents clearly favour; weights: for each category those of terms, hits, earlier categories, bias."""
 
     terms: dict[str, int]
+    abusive: list[int]
     weights: list[np.ndarray]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -50,7 +51,12 @@ class Chain:
         for i, t in enumerate(texts):
             for w in terms_of(t) & self.terms.keys():
                 x[i, self.terms[w]] = 1
-        return x
+        return with_hits(x, self.abusive)
+
+
+def with_hits(x: np.ndarray, abusive: list[int]) -> np.ndarray:
+    """x with one more column: how many of the abusive terms are there, up to four."""
+    return np.column_stack([x, np.minimum(x[:, abusive].sum(1), 4)]).astype(np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -75,7 +81,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 12
     return w
 
 
-def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: np.ndarray, terms: dict[str, int]) -> Chain:
+def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: np.ndarray, terms: dict[str, int], abusive: list[int]) -> Chain:
     """Category by category: out-of-fold probabilities for the later ones, then the model over all rows."""
     p, weights = np.zeros((len(x), 0)), []
     for y in ys:
@@ -86,7 +92,7 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: np.ndarray, terms: dic
                 held[~inside] = _sigmoid(z[~inside] @ fit_logistic(z[inside], y[inside]))
         weights.append(fit_logistic(z, y))
         p = np.column_stack([p, held])
-    return Chain(terms, weights)
+    return Chain(terms, abusive, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int = 256, n_folds: int = 5) -> Chain | None:
@@ -129,16 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: i
         .orderBy(F.abs("z").desc(), "word").limit(max_terms).collect()
     )
     terms = {r.word: i for i, r in enumerate(ranked)}
-    abusive = {r.word for r in ranked if r.z > 3}
+    abusive = [i for i, r in enumerate(ranked) if r.z > 3]
     kept = F.array_intersect("words", F.array(*[F.lit(t) for t in terms])) if terms else F.array()
     sample = rows.select("h", "y", kept.alias("words")).collect()  # max_rows rows of max_terms words at most
     sample.sort(key=lambda r: r.h)
     x, y = np.zeros((len(sample), len(terms)), np.float32), np.array([r.y for r in sample], float)
     for i, r in enumerate(sample):
         x[i, [terms[w] for w in r.words]] = 1
-    hits = np.array([len(abusive.intersection(r.words)) for r in sample])
+    hits = x[:, abusive].sum(1)
     folds = np.array([r.h % n_folds for r in sample])
-    return fit_chain(x, [y * (hits >= 1), y * (hits >= 2), y], folds, terms)
+    return fit_chain(with_hits(x, abusive), [y * (hits >= 1), y * (hits >= 2), y], folds, terms, abusive)
 
 
 def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, with_row: bool = False) -> DataFrame:

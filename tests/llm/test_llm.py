@@ -362,7 +362,7 @@ def labelled(spark):
 
 
 def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))  # the smallest has too few toxic ones to learn from
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))  # smaller ones have too few toxic ones to learn from
     even = labels.where("doc_id % 2 = 0")
     chain = toxicity.train(docs, even)
     got = toxicity.classify(docs, chain).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
@@ -377,7 +377,7 @@ def test_out_of_fold_chain():
     rng = np.random.default_rng(0)
     x = (rng.random((400, 5)) < 0.3).astype(float)
     y = x[:, 0]
-    chain = toxicity.fit_chain(x, [y, y * x[:, 1], y], rng.integers(0, 5, 400), {c: i for i, c in enumerate("abcde")})
+    chain = toxicity.fit_chain(x, [y, y * x[:, 1], y], rng.integers(0, 5, 400), {c: i for i, c in enumerate("abcde")}, [0])
     p = chain.predict(x)
     assert p.shape == (400, 3) and ((p[:, 2] > 0.5) == (y == 1)).mean() > 0.98
 
