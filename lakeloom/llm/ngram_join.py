@@ -398,9 +398,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     label = materialize(label.join(mixed, "sig").drop("component"), "ngram-left")
     discard(postings)
     sides = [label.select("sig", *[F.col(c).alias(x + e) for c, x in (("key", ""), ("part", "p"), ("n", "n"), ("rare", "r"), ("rest", "s"))]) for e in "ab"]
-    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
+    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").where(_may_link(F.least("ra", "rb")))
+    # every signature that two components share is here, so their number is exact
+    across = across.groupBy(*_PAIR).agg(F.count("*").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(_can_link(across.join(done, ["a", "b"], "left_anti"), singles), "ngram-pairs")
+    across = materialize(across.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
     sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
     more = materialize(_verify(across, sets), "ngram-links")
     links = links.unionByName(more)
