@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lakeloom.operators import memory as M
 from lakeloom.operators import tables as B
 from lakeloom.plans import fixtures as X
 from lakeloom.plans.registry import Tables, query
+from lakeloom.session import shared_dir
 from lakeloom.streaming import history as H
 
 _COS = "(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))))"
@@ -169,9 +169,7 @@ def _(t: Tables):
 
 @query("x1_streamed_state")
 def _(t: Tables):
-    from lakeloom.session import shared_dir
-
-    base = f"{shared_dir(t.spark)}/stream-{os.path.basename(tempfile.mktemp())}"
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     h = X.history(t)
     h.repartitionByRange(3, "created_at").write.parquet(f"{base}/in")
     state = H.fold_history(t.spark, f"{base}/in", "id long, memory_id long, event string, new_memory string, created_at timestamp", f"{base}/checkpoint", f"{base}/state")
