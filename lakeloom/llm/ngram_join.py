@@ -139,19 +139,28 @@ def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, seen: set[int]) -> Iterato
 
 
 def _pair_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, key, rest) for each indexed pair of frequent tokens; rest: the set's tokens beyond its rare ones."""
+    """(sig, key) for each indexed pair of frequent tokens, and for each set one row (key, rest, end) without a sig.
+
+    rest: the set's tokens after its prefix of rare ones; end: the last token of that prefix, as a
+    signed number in the same order, the largest number where the prefix holds all rare tokens.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in it:
+            keys, rests, ends = [], [], []
             for key, tokens, often in _sets_of(b, frequent, seen):
-                if often.any():
-                    _, two = prefix_signatures(tokens, often)
-                    if len(two):
-                        n = np.full(len(two), key, np.int64), np.full(len(two), int(often.sum()), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["sig", "key", "rest"])
+                one, two = prefix_signatures(tokens, often)
+                keys.append(key)
+                rests.append(len(tokens) - len(one))
+                ends.append(2**63 - 1 if often.sum() == rests[-1] else int(one[-1]) - 2**63)
+                if len(two):
+                    none = pa.nulls(len(two), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(np.full(len(two), key, np.int64)), none, none], names=["sig", "key", "rest", "end"])
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(keys, pa.int64()), pa.array(rests, pa.int64()), pa.array(ends, pa.int64())], names=["sig", "key", "rest", "end"])
 
-    return docs.select("text").mapInArrow(run, "sig long, key long, rest long")
+    return docs.select("text").mapInArrow(run, "sig long, key long, rest long, end long")
 
 
 def _single_signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -253,18 +262,23 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("a2", "part2")).applyInArrow(run, "a long, b long")
 
 
-_PAIR = ("a", "b", "na", "nb", "sa", "sb")
+_PAIR = ("a", "b", "na", "nb", "rest")
 
 
 def _may_link(shared: Column) -> Column:
     """Whether sets a and b with at most ``shared`` signatures of rare tokens in common can link.
 
-    Up to where the shorter prefix ends, the common tokens are exactly the shared signatures;
-    after it at most the rest (sa, sb) of that set can be common. So the intersection is at most
-    the shared ones plus the larger rest, and must reach 75 / 175 of both sizes (na, nb).
+    Up to where the first of the two prefixes ends, the common tokens are exactly the shared
+    signatures; after it at most that set's rest is common. So the intersection is at most the
+    shared ones plus that rest, and must reach 75 / 175 of both sizes (na, nb).
     """
-    fits = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return fits & ((100 + PERCENT) * (shared + F.greatest("sa", "sb")) >= PERCENT * (F.col("na") + F.col("nb")))
+    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return fits & ((100 + PERCENT) * (shared + F.col("rest")) >= PERCENT * (F.col("na") + F.col("nb")))
+
+
+def _first_rest() -> Column:
+    """The rest of the set whose prefix ends first."""
+    return F.when(F.col("ea") < F.col("eb"), F.col("sa")).when(F.col("ea") > F.col("eb"), F.col("sb")).otherwise(F.least("sa", "sb"))
 
 
 def _can_link(pairs: DataFrame, singles: DataFrame) -> DataFrame:
@@ -371,22 +385,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     buckets = max(64, total // 4 // BUCKET_ROWS)
     singles = materialize(_shared_singles(_single_signatures(docs, frequent, buckets), buckets), "ngram-singles")
     paired = materialize(_pair_signatures(docs, frequent), "ngram-paired")
-    pairs_of = paired.select("sig", "key").distinct()
+    pairs_of = paired.where("sig IS NOT NULL").select("sig", "key").distinct()
     shared = pairs_of.join(pairs_of.groupBy("sig").count().where("count > 1").select("sig"), "sig")
     shared = materialize(shared, "ngram-shared")
     families = materialize(_families(shared), "ngram-families")
     stats = singles.groupBy("key").agg(F.count("*").alias("rare"))
     stats = stats.join(own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n")), "key")
-    stats = stats.join(paired.groupBy("key").agg(F.min("rest").alias("rest")), "key", "left")
-    stats = stats.withColumn("rest", F.coalesce("rest", F.ceil(F.col("n") * PERCENT / 100) - 1))
-    postings = materialize(singles.join(stats, "key").select("sig", "key", "n", "rare", "rest"), "ngram-postings")
+    stats = stats.join(paired.where("sig IS NULL").groupBy("key").agg(F.min("rest").alias("rest"), F.min("end").alias("end")), "key")
+    postings = materialize(singles.join(stats, "key").select("sig", "key", "n", "rare", "rest", "end"), "ngram-postings")
     discard(paired, shared)
 
     share = F.col("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))
-    leader = postings.groupBy("sig").agg(F.max(F.struct(share.alias("share"), "key", "n", "rare", "rest")).alias("c"))
-    leader = leader.select("sig", F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("c.rare").alias("ra"), F.col("c.rest").alias("sa"))
-    first = postings.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb"))
-    first = first.join(leader, "sig").where("a <> b").where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
+    leader = postings.groupBy("sig").agg(F.max(F.struct(share.alias("share"), "key", "n", "rare", "rest", "end")).alias("c"))
+    leader = leader.select("sig", F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("c.rare").alias("ra"), F.col("c.rest").alias("sa"), F.col("c.end").alias("ea"))
+    first = postings.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb"), F.col("end").alias("eb"))
+    first = first.join(leader, "sig").where("a <> b").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
     first = materialize(_can_link(first, singles), "ngram-pairs")
     wanted = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(families.select("key"))
     sets = _sets_for(docs, own, wanted)
@@ -397,8 +410,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
     label = materialize(label.join(mixed, "sig").drop("component"), "ngram-left")
     discard(postings)
-    sides = [label.select("sig", *[F.col(c).alias(x + e) for c, x in (("key", ""), ("part", "p"), ("n", "n"), ("rare", "r"), ("rest", "s"))]) for e in "ab"]
-    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").where(_may_link(F.least("ra", "rb")))
+    sides = [label.select("sig", *[F.col(c).alias(x + e) for c, x in (("key", ""), ("part", "p"), ("n", "n"), ("rare", "r"), ("rest", "s"), ("end", "e"))]) for e in "ab"]
+    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
     # every signature that two components share is here, so their number is exact
     across = across.groupBy(*_PAIR).agg(F.count("*").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
