@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,14 @@ _GAP[[32, 9, 10, 11, 12, 13]] = True
 CHUNK = 2_000_000
 
 
+def trim() -> None:
+    """Give memory that a finished task no longer uses back to the system; workers live on beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.hashing import chunks, mix, shingles
+from lakeloom.llm.hashing import chunks, mix, shingles, trim
 from lakeloom.plans.components import connected_components
 from lakeloom.session import discard, materialize
 
@@ -56,7 +56,7 @@ class _Summary:
     def add(self, tokens: np.ndarray) -> None:
         self.waiting.append(tokens)
         self.n += len(tokens)
-        if self.n > 2_000_000:
+        if self.n > 1_000_000:
             self.fold()
 
     def fold(self) -> None:
@@ -91,6 +91,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         often = summary.counts > 1
         t, c = summary.tokens[often], summary.counts[often]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.nulls(len(t), ids), pa.array(c), pa.array(t.view(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=names)
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, lo long, hi long")
 
@@ -190,11 +191,12 @@ def _single_signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> D
                 sigs.append(one)
                 keys.append(np.full(len(one), key, np.int64))
                 rows += len(one)
-                if rows > 1_500_000:
+                if rows > 700_000:
                     yield flush()
                     rows = 0
         if sigs:
             yield flush()
+        trim()
 
     return docs.select("text").mapInArrow(run, "bucket long, sigs binary, keys binary")
 

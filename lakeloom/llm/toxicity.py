@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.hashing import trim
 from lakeloom.session import materialize
 
 CATEGORIES = ("insult", "barrage", "toxic")
@@ -173,5 +174,6 @@ def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, with_
             cols = [b.column(0), *p, pa.array(toxic), pa.array(~toxic)]
             cols += [pa.StructArray.from_arrays(b.columns, names=list(types))] if with_row else []
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *probs, "toxic", "kept", *["row"] * with_row])
+        trim()
 
     return rows.mapInArrow(run, schema)
