@@ -231,10 +231,13 @@ def _first_round(rows: DataFrame, blocks: int) -> DataFrame:
         ids, h, number, name, known = (np.concatenate(x) for x in (ids, h, number, name, known))
         order = np.lexsort((ids, h, name))
         ids, h, number, name, known = (x[order] for x in (ids, h, number, name, known))
+        # a name is repeated too if a task saw it in two texts, though the entry that says so may be a copy that goes
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        seen = np.logical_or.reduceat(known, np.nonzero(new)[0])[np.cumsum(new) - 1]
         least = np.maximum.accumulate(np.where(np.concatenate([[True], (name[1:] != name[:-1]) | (h[1:] != h[:-1])]), np.arange(len(ids)), 0))
         keep = ids == ids[least]
-        ids, h, number, name, known = (x[keep] for x in (ids, h, number, name, known))
-        at = np.nonzero(_repeated(name, h) & ~known)[0]
+        ids, h, number, name, known, seen = (x[keep] for x in (ids, h, number, name, known, seen))
+        at = np.nonzero((_repeated(name, h) | seen) & ~known)[0]
         block = _block_of(ids[at], blocks)
         order, cut = _groups(block)
         own, blobs = [], []

@@ -313,6 +313,21 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.suffix_dedup(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_copy_in_another_task(spark):
+    """Copies 4 and 6, near copy 5; 5 and 6 meet in one task and 4 is in another, with either text's hash the lower."""
+    shared = " ".join(f"word{i}" for i in range(40))
+    lower = set()
+    for n in range(8):
+        copied, near = f"{shared} copied{n}", f"{shared} near{n}"
+        rows = spark.createDataFrame(spark.sparkContext.parallelize([(4, copied), (6, copied), (5, near)], 2), "doc_id long, text string")
+        seen = {r.doc_id: r for r in rows.select("doc_id", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("task")).collect()}
+        assert seen[5].task == seen[6].task != seen[4].task
+        lower.add(seen[6].h < seen[5].h)
+        got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.suffix_dedup(rows).collect()}
+        assert got == {4: copied, 5: f"near{n}", 6: ""}
+    assert lower == {True, False}
+
+
 def test_samples_do_not_depend_on_the_chunk():
     rng = np.random.default_rng(2)
     parts = [rng.integers(97, 101, n).astype(np.uint8) for n in (49, 50, 300, 2_200_000, 80)]
