@@ -215,6 +215,17 @@ def test_spelling_sums_to_one_per_bit():
     assert (s.log_p(text, lens) > s.log_p(other, lens)).all() and len(bits) == 8 * 8 and word.max() == 1 and gates.max() < 32
 
 
+def test_speller_learns_on_every_training_word(spark, monkeypatch):
+    """The map's bits are those of all training words, also where they are more than MIXER_WORDS."""
+    monkeypatch.setattr(lm_scoring, "MIXER_WORDS", 50)
+    seen, settle = [], lm_scoring.Speller.settle
+    monkeypatch.setattr(lm_scoring.Speller, "settle", lambda self, hits, n: (seen.append(n.sum()), settle(self, hits, n))[1])
+    rows = [(i, " ".join(f"{w}word" for w in range(i * 30, i * 30 + 40))) for i in range(20)]
+    lm_scoring.score(table(spark, rows)).count()
+    trained = {w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in words(t)}
+    assert len(trained) > 400 and seen[-1] == 8 * sum(len(w) + 1 for w in trained)
+
+
 # --- op6
 
 
