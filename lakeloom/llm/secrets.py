@@ -22,7 +22,10 @@ KINDS = (
 )
 #: What finds the same long matches of the last two kinds, and what must be there for any match of a kind.
 _FIND = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens: an equals sign may stand before one or pad its end.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts, by either alphabet with signs, of a token that mixes both, such as a path with a base64url segment.
+PARTS = (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}")
 #: Encodings by the characters a token may hold, with the alphabet in order; the first that fits counts.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -42,8 +45,12 @@ def _literal(s: str) -> str:
 
 def match_spans(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> Column:
     """Spans of the matches of pattern in column text whose group, which ends the match, has least characters."""
+    return F.expr(_spans_sql(text, pattern, group, least, kind, kind_no))
+
+
+def _spans_sql(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> str:
     p = _literal(pattern)
-    return F.expr(f"""
+    return f"""
       CASE WHEN {text} RLIKE {p} THEN
         transform(
           filter(
@@ -60,7 +67,7 @@ def match_spans(text: str, pattern: str, group: int, least: int, kind: str, kind
                 acc -> acc.found))[0],
             s -> s.end - s.start >= {least}),
           s -> named_struct('start', s.start, 'kind_no', {kind_no}, 'end', s.end, 'kind', '{kind}'))
-      ELSE CAST(array() AS {_SPAN}) END""")
+      ELSE CAST(array() AS {_SPAN}) END"""
 
 
 def _upper_tail(z: str) -> str:
@@ -105,7 +112,8 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, with_row: bool = Fals
     by start and kind. Base spans are the matches of KINDS, leftmost and non-overlapping per kind.
     Added ones are tokens of 20 characters or more with a digit and a letter, touching no base
     span, whose p-value passes their length class and encoding's threshold at max_false expected
-    false discoveries; a class with no sign of random tokens adds none. Null and empty texts have
+    false discoveries; a class with no sign of random tokens adds none. Of a token that mixes + or /
+    with - or _, its parts by either alphabet are tested instead, and such spans may overlap. Null and empty texts have
     none. Repeated rows give repeated rows, and an empty table gives none. The text is scanned
     once for thresholds (encodings times length classes, all that reaches the driver) and once for
     the result; nothing but the histogram is shuffled.
@@ -116,8 +124,14 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, with_row: bool = Fals
         d = d.withColumn(f"spans_{kind}", match_spans("whole_text", _FIND.get(kind, pattern), group, least, kind, k))
     d = d.withColumn("base_spans", F.array_sort(F.concat(*[f"spans_{k[0]}" for k in KINDS])))
     d = d.withColumn("toks", match_spans("whole_text", TOKEN, 0, 20, "random", len(KINDS)))
+    cut = "substring(whole_text, CAST(x.start + 1 AS int), CAST(x.end - x.start AS int))"
+    parts = ", ".join(
+        f"transform({_spans_sql('t', rx, 0, 20, 'random', len(KINDS))}, s -> named_struct('start', s.start + x.start, 'kind_no', s.kind_no, 'end', s.end + x.start, 'kind', s.kind))" for rx in PARTS
+    )
+    split = f"flatten(transform(toks, x -> transform(array({cut}), t -> CASE WHEN t RLIKE '[+/]' AND t RLIKE '[_-]' THEN array_sort(concat({parts})) ELSE array(x) END)[0]))"
+    d = d.withColumn("toks", F.expr(split))
     d = d.withColumn("toks", F.expr("filter(toks, x -> NOT exists(base_spans, b -> b.start < x.end AND x.start < b.end))"))
-    d = d.withColumn("toks", F.expr("transform(toks, x -> named_struct('span', x, 'token', substring(whole_text, CAST(x.start + 1 AS int), CAST(x.end - x.start AS int))))"))
+    d = d.withColumn("toks", F.expr(f"transform(toks, x -> named_struct('span', x, 'token', {cut}))"))
     d = d.withColumn("toks", F.expr("filter(toks, x -> x.token RLIKE '[0-9]' AND x.token RLIKE '[A-Za-z]')"))
     d = d.withColumn("tested_toks", F.transform("toks", lambda x: F.struct(x["span"].alias("span"), F.length(x["token"]).alias("n"), x["token"].alias("token"))))
     tested = F.expr(f"transform(tested_toks, x -> named_struct('span', x.span, 'class', CAST(floor(log2(x.n)) AS int), 'test', {randomness_p('x.token')}))")

@@ -299,6 +299,28 @@ def test_secrets_base_and_battery(spark):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_keys_after_names_and_in_paths(spark):
+    """Random keys as values of unlisted names, and as base64url segments of paths or base64 after a dash."""
+    rng = random.Random(6)
+    rows, keys = [], {}
+    for i in range(600):
+        raw = bytes(rng.randrange(256) for _ in range(30))
+        plain, safe = base64.b64encode(raw[:29]).decode(), base64.urlsafe_b64encode(raw).decode()
+        shape, key = [("auth={}", plain), ("see https://a.example/get?sig={}&n=1", safe), ("/files/of/2/{}/end", "-" + safe), ("part-{}", "+" + plain)][i % 4]
+        keys[i] = key
+        rows.append((i, "é " + shape.format(key) + " and some_long_identifier_name_number_2=value in path/to/the-files/of_part/with/no-keys_2"))
+    got = secrets.scan_secrets(table(spark, rows), with_row=True)
+    hits = Counter()
+    for r in got.collect():
+        assert r.found == []
+        texts = [r.row.text[s.start : s.end] for s in r.added]
+        assert all(keys[r.doc_id][:12] in t or keys[r.doc_id][-12:] in t or t in keys[r.doc_id] for t in texts)
+        hits[r.doc_id % 4] += keys[r.doc_id] in texts
+    assert min(hits[k] for k in range(4)) > 90
+    masked = got.select("doc_id", secrets.redact(F.col("row.text"), F.concat("found", "added")).alias("m")).collect()
+    assert sum(keys[r.doc_id] not in r.m for r in masked) >= sum(hits.values())
+
+
 # --- op9
 
 
