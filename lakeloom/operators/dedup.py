@@ -55,16 +55,17 @@ def similar_pairs(vectors: DataFrame, group: str, threshold: float, k: int | Non
     return p.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn")
 
 
-def mutual_best_merge(pairs: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """(absorbed, kept) of pairs(a, b, score): rounds of pairs that are each other's best, by (score desc, ids).
+def mutual_best_merge(pairs: DataFrame) -> DataFrame:
+    """(absorbed, kept) of pairs(a, b, score): rounds of pairs that are each other's best, by (score desc, hash of ids, ids).
 
     Taken ids leave after each round, so the outcome depends on no order of execution. Stops
-    when a round merges nothing.
+    when a round merges nothing, which leaves no pair. Ties go by a hash, so that a group of equal
+    scores takes rounds by the logarithm of its size and not one for each pair.
     """
-    left, done = materialize(pairs, "merge"), None
-    for _ in range(max_rounds):
+    left, done = materialize(pairs.where("a <> b"), "merge"), None
+    while True:
         both = left.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(left.select(F.col("b").alias("x"), F.col("a").alias("y"), "score"))
-        best = both.groupBy("x").agg(F.min_by("y", F.struct(-F.col("score"), F.least("x", "y"), F.greatest("x", "y"))).alias("y"))
+        best = both.groupBy("x").agg(F.min_by("y", F.struct(-F.col("score"), F.xxhash64(F.least("x", "y"), F.greatest("x", "y")), F.least("x", "y"), F.greatest("x", "y"))).alias("y"))
         back = best.select(F.col("x").alias("y"), F.col("y").alias("x"))
         mutual = materialize(best.join(back, ["x", "y"]).where("x < y").select(F.col("y").alias("absorbed"), F.col("x").alias("kept")), "merge-round")
         if mutual.isEmpty():

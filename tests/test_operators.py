@@ -85,6 +85,13 @@ def test_mutual_merge_is_order_free(spark):
     assert dedup.mutual_best_merge(spark.createDataFrame([], "a int, b int, score double")).count() == 0
 
 
+def test_mutual_merge_ends_when_no_pair_is_left(spark):
+    """Fifty equal vectors leave no two of them unmerged."""
+    df = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(50)], "vec_id int, embedding array<double>, label int")
+    got = dedup.mutual_best_merge(dedup.similar_pairs(df, "label", 0.3)).collect()
+    assert len(got) == 25 and {x for r in got for x in (r.absorbed, r.kept)} == set(range(50))
+
+
 def test_agglomerate_threshold_is_a_distance(spark):
     unit = [[1.0, 0.0], [float(np.cos(0.1)), float(np.sin(0.1))], [float(np.cos(0.3)), float(np.sin(0.3))]]
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(unit)], "g int, vec_id long, embedding array<double>")
