@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import sanitize, sha32
+from lakeloom.functions.text import sanitize, sha32, split_markers
 from lakeloom.operators import dedup as D
 from lakeloom.operators import graph as G
 from lakeloom.operators.retrieval import first_occurrence, top_k
@@ -201,6 +201,18 @@ def _(t: Tables):
     return G.overlap_groups(s)
 
 
+@query("a25_alias_components_whole")
+def _(t: Tables):
+    u = F.col("user_id").cast("long")
+    return G.alias_groups(t.events.select(F.concat(F.lit("u"), u).alias("a"), F.concat(F.lit("u"), F.floor(u / 4)).alias("b")))
+
+
+@query("a26_overlap_groups_whole")
+def _(t: Tables):
+    s = t.documents.select(F.col("doc_id").alias("set_id"), F.explode(split_markers(F.col("text"), [". "])).alias("member")).distinct()
+    return G.overlap_groups(s.select("set_id", F.sha2("member", 256).alias("member")))
+
+
 @query("a27_agglomerative")
 def _(t: Tables):
     return D.agglomerate(t.embeddings.where("label IS NOT NULL"), "label")
@@ -373,6 +385,12 @@ def _(t: Tables):
     return g.select("user_id", F.transform("k", lambda x: x["event_type"]).alias("kinds"))
 
 
+@query("m27_cache_lookup_whole", "SELECT user_id, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id")
+def _(t: Tables):
+    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("k"))
+    return g.select("user_id", F.transform("k", lambda x: x["event_type"]).alias("kinds"))
+
+
 @query("m28_path_budget", "WITH RECURSIVE d AS (SELECT DISTINCT lang, source FROM documents), o AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) AS rn FROM d), w(lang, rn, used, paths) AS (SELECT lang, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT lang FROM d) UNION ALL SELECT w.lang, o.rn, CASE WHEN used + strlen(source) <= 30 THEN used + strlen(source) ELSE used END, CASE WHEN used + strlen(source) <= 30 THEN list_append(paths, source) ELSE paths END FROM w JOIN o ON o.lang = w.lang AND o.rn = w.rn + 1) SELECT lang, array_to_string(arg_max(paths, rn), '<SEP>') AS paths FROM w GROUP BY lang")
 def _(t: Tables):
     g = t.documents.groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("s"))

@@ -104,6 +104,13 @@ def _(t: Tables):
     return R.first_occurrence(u, "id", "hop", "pos").select("id", "hop")
 
 
+@query("m16_multihop_union_whole", "WITH u AS (SELECT doc_id AS id, 0 AS hop, doc_id AS pos FROM documents UNION ALL SELECT item_id, 1, item_id FROM benchmark) SELECT id, first(hop ORDER BY hop, pos) AS hop FROM u GROUP BY id")
+def _(t: Tables):
+    a = t.documents.select(F.col("doc_id").alias("id"), F.lit(0).alias("hop"), F.col("doc_id").alias("pos"))
+    u = a.unionByName(t.benchmark.select(F.col("item_id").alias("id"), F.lit(1).alias("hop"), F.col("item_id").alias("pos")))
+    return R.first_occurrence(u, "id", "hop", "pos").select("id", "hop")
+
+
 @query("m20_task_queries", "SELECT n_nationkey AS task_id, CASE WHEN n_nationkey % 4 = 0 THEN 'model text ' || n_nationkey ELSE 'What is the size of ' || n_name || '?' END AS q FROM nation")
 def _(t: Tables):
     text = t.nation.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("task_id"), F.concat(F.lit("model text "), "n_nationkey").alias("text"))

@@ -26,6 +26,7 @@ _docs("f5_sanitize", r"trim(regexp_replace(trim(text, ' '), '[\x00-\x08\x0B\x0C\
 _docs("f6_split_markers", r"list_filter(list_transform(string_split_regex(text, '\. |, '), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts", lambda: [T.split_markers(F.col("text"), [". ", ", "]).alias("parts")])
 _docs("f7_preview", "CASE WHEN length(text) <= 250 THEN text ELSE substr(text, 1, 250) || '...' END AS p", lambda: [T.preview(F.col("text")).alias("p")])
 _docs("f8_is_float", "regexp_matches(substr(text, 1, 3), '^[-+]?[0-9]*\\.?[0-9]+$') AS f", lambda: [T.is_float(F.substring("text", 1, 3)).alias("f")])
+_docs("f8_is_float_whole", "regexp_matches(text, '^[-+]?[0-9]*\\.?[0-9]+$') AS f", lambda: [T.is_float(F.col("text")).alias("f")])
 _docs("f9_has_cjk", "regexp_matches(text, '[一-鿿]') AS c", lambda: [T.has_cjk(F.col("text")).alias("c")])
 _docs("f10_token_estimate", "floor(0 / 1.5 + length(text) / 4::DOUBLE)::INTEGER AS n", lambda: [T.estimate_tokens(F.col("text")).alias("n")])
 _docs("f13_identifier", "CASE WHEN regexp_matches(x, '^[0-9]') THEN '_' || x ELSE x END AS name FROM (SELECT doc_id, regexp_replace(lower(trim(source || ' ' || lang, ' ')), '[^a-z0-9_]+', '_', 'g') AS x FROM documents) --", lambda: [T.identifier(F.concat_ws(" ", "source", "lang")).alias("name")])
@@ -231,6 +232,12 @@ def _(t: Tables):
     return writers.index_text(p)
 
 
+@query("k13_wiki_index_whole", "SELECT lang AS category, '## ' || lang || chr(10) || string_agg('- [[' || source || ']] ' || title, chr(10) ORDER BY title) AS text FROM (SELECT lang, source, lpad(doc_id::VARCHAR, 12, '0') AS title FROM documents) GROUP BY lang")
+def _(t: Tables):
+    p = t.documents.select(F.col("lang").alias("category"), F.col("source").alias("stem"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("title"))
+    return writers.index_text(p)
+
+
 @query("m1_embedding_text", "SELECT n_nationkey, trim(coalesce(nullif(CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END, ''), 'n' || '-' || n_regionkey), ' ') AS t FROM nation")
 def _(t: Tables):
     desc = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("")

@@ -9,11 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom import catalog
 from lakeloom.operators import chunking, dedup, graph, memory, retrieval, tables
 from lakeloom.plans.components import connected_components
 from lakeloom.sources import html, readers, writers
 from lakeloom.streaming import history
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_components_against_union_find(spark):
     rng = random.Random(3)
@@ -85,6 +88,44 @@ def test_mutual_merge_is_order_free(spark):
     assert dedup.mutual_best_merge(spark.createDataFrame([], "a int, b int, score double")).count() == 0
 
 
+def test_whole_tables_are_grouped(spark):
+    """a25 and a26 over all events and documents, against union by hand; m16, m27, k13 and f8 leave no row out."""
+    run = lambda name: catalog.QUERIES[name](spark, FOLDER).collect()
+    docs, events = ([tuple(r) for r in spark.read.parquet(f"{FOLDER}/{n}.parquet").select(*c).collect()] for n, c in (("documents", ("doc_id", "text", "lang")), ("events", ("event_id", "user_id"))))
+
+    def groups(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        by = {}
+        for x in list(root):
+            by.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in by.values()}
+
+    def grouped(rows):
+        by = {}
+        for x, g in rows:
+            by.setdefault(g, set()).add(x)
+        return {frozenset(g) for g in by.values()}
+
+    sets = {i: {p.strip(" ") for p in (t or "").split(". ")} - {""} for i, t, _ in docs}
+    want = groups((("doc", i), m) for i, ms in sets.items() for m in ms)
+    want = {frozenset(x[1] for x in g if isinstance(x, tuple)) for g in want}
+    got = [(r.set_id, r.group) for r in run("a26_overlap_groups_whole")]
+    assert grouped(got) == want and all(g == min(s) for s in want for i, g in got if i in s) and len(want) > 1
+    assert grouped((r.name, r.canonical) for r in run("a25_alias_components_whole")) == {g for g in groups((f"u{u}", f"u{u // 4}") for _, u in events) if len(g) > 1}
+    assert {r.user_id for r in run("m27_cache_lookup_whole")} == {u for _, u in events}
+    assert {i for i, *_ in docs} <= {r.id for r in run("m16_multihop_union_whole")}
+    assert sum(r.text.count("- [[") for r in run("k13_wiki_index_whole")) >= len(docs)
+    assert len(run("f8_is_float_whole")) == len(docs)
+
+
 def test_mutual_merge_ends_when_no_pair_is_left(spark):
     """Fifty equal vectors leave no two of them unmerged."""
     df = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(50)], "vec_id int, embedding array<double>, label int")
