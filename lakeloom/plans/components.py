@@ -43,6 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         e, before, mark = new, mark, _mark(new)
         if before == mark:
             break
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     star = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     roots = star.select(F.col("component").alias("id"), "component").distinct()
     return star.unionByName(roots).distinct()

@@ -126,6 +126,12 @@ def test_whole_tables_are_grouped(spark):
     assert len(run("f8_is_float_whole")) == len(docs)
 
 
+def test_components_say_when_rounds_run_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        connected_components(chain, 1)
+
+
 def test_mutual_merge_ends_when_no_pair_is_left(spark):
     """Fifty equal vectors leave no two of them unmerged."""
     df = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(50)], "vec_id int, embedding array<double>, label int")
