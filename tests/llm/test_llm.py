@@ -80,10 +80,38 @@ def test_bpe_round_trip(spark, texts, encoding):
 
 
 def test_long_words_take_the_same_ids(encoding):
+    """Scripts without spaces, runs of one letter, words that no cut shortens; also with every word in the keyed recursion."""
     enc, path, pattern = encoding
-    c = bpe.codec(path, pattern)
-    for w in ("a" * 2000, "abcabd" * 400, "ü" * 800):
-        assert c._heap(w.encode()) == enc.encode_ordinary(w)
+    rng = random.Random(8)
+    letters = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000)]
+    frequent = "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家"
+    runs = lambda pool, n, k: " ".join("".join(rng.choice(pool) for _ in range(n)) for _ in range(k))
+    texts = [
+        "a" * 100_000, "a" * 99_999 + "b", "abcabd" * 400, "ü" * 800, runs(letters, 300, 300), runs(frequent, 300, 40), runs(frequent, 20_000, 1),
+        runs("abcdefghijklmnopqrstuvwxyz", 5_000, 2), runs("aeioustrn", 700, 30), "=" * 5_000 + "-" * 777, runs(" \n\t", 3_000, 1), "é😀" * 900,
+    ]
+    c = bpe.Codec(path, pattern)
+    for t in texts:
+        ((ids, raw),) = c.encode([t])
+        assert ids == ",".join(map(str, enc.encode_ordinary(t))) and raw == t.encode()
+    some = sorted({w for t in texts[4:] for w in c.find(t[:4000])})
+    pieces = [w.encode() for w in some if w.encode() not in c.ranks]
+    query, bpe.LONG_PIECE = bpe.LONG_PIECE, 0
+    try:
+        ids, _ = c._contract_all(pieces)
+    finally:
+        bpe.LONG_PIECE = query
+    assert ids == [",".join(map(str, enc.encode_ordinary(p.decode()))) for p in pieces]
+
+
+def test_four_million_letters_without_spaces(encoding):
+    """Memory goes with the text, not with the rounds."""
+    enc, path, pattern = encoding
+    rng = random.Random(9)
+    letters = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)]
+    t = " ".join("".join(rng.choice(letters) for _ in range(300)) for _ in range(13_300))
+    ((ids, raw),) = bpe.Codec(path, pattern).encode([t])
+    assert ids == ",".join(map(str, enc.encode_ordinary(t))) and raw == t.encode()
 
 
 # --- op3
