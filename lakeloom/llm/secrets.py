@@ -5,8 +5,9 @@ pieces and matches add up to positions in code points. Tokens that no pattern co
 read like keys are tested under their inferred encoding: chi-squared uniformity of the alphabet,
 runs about its middle, serial correlation. Fisher's method joins the three p-values, which are
 uniform for random keys and near zero for prose. A threshold for each length class and encoding
-holds the share of false discoveries: the count above one half estimates how many tokens are
-random, so what exceeds that estimate among the flagged is the expected number of false ones.
+holds the share of false discoveries: the count above one half tells how many random tokens to
+expect below it, so what exceeds them among the flagged, and one more, counts as false. Time
+and memory are linear in a text and its matches.
 """
 
 from __future__ import annotations
@@ -36,38 +37,65 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-_SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
+_TOKEN_SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,token:string>>"
 
 
 def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_spans(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> Column:
-    """Spans of the matches of pattern in column text whose group, which ends the match, has least characters."""
-    return F.expr(_spans_sql(text, pattern, group, least, kind, kind_no))
+def _running(values: str, start: str, step: str) -> str:
+    """SQL of the running values of an array<bigint>: of the elements up to each, by step over ``total`` and ``x``.
 
+    Arrays are appended to and sliced by copying, so it goes by runs of the square root of n elements.
+    """
+    none = "CAST(array() AS array<bigint>)"
+    return f"""
+      transform(array(transform(array({values}), v -> named_struct('all', v, 'run', CAST(ceil(sqrt(size(v) + 1)) AS int)))[0]), whole -> flatten(aggregate(
+        sequence(0, CAST((size(whole.all) - 1) DIV whole.run AS int)),
+        named_struct('total', {start}, 'runs', CAST(array() AS array<array<bigint>>)),
+        (acc, k) -> transform(array(aggregate(
+            slice(whole.all, k * whole.run + 1, whole.run),
+            named_struct('total', acc.total, 'run', {none}),
+            (a, x) -> transform(array({step.replace("total", "a.total")}), v -> named_struct('total', v, 'run', array_append(a.run, v)))[0])),
+          r -> named_struct('total', r.total, 'runs', array_append(acc.runs, r.run)))[0],
+        acc -> acc.runs)))[0]"""
 
-def _spans_sql(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> str:
+
+def _found(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> str:
+    """SQL of the matches of pattern in text whose group, which ends the match, has least characters: spans with their token.
+
+    A match's end is the running length of what is before it; the time is linear in the text.
+    """
     p = _literal(pattern)
+    part = f"regexp_extract_all({text}, {p}, {group})" if group else "CAST(NULL AS array<string>)"
     return f"""
       CASE WHEN {text} RLIKE {p} THEN
-        transform(
+        transform(array(named_struct('gap', split({text}, {p}, -1), 'whole', regexp_extract_all({text}, {p}, 0), 'part', {part})), m ->
+          transform(array({_running("transform(m.whole, (w, i) -> CAST(length(m.gap[i]) + length(w) AS bigint))", "0L", "total + x")}), e ->
+            filter(transform({"m.part" if group else "m.whole"}, (w, i) -> named_struct('start', e[i] - length(w), 'kind_no', {kind_no}, 'end', e[i], 'kind', '{kind}', 'token', w)),
+              s -> s.end - s.start >= {least}))[0])[0]
+      ELSE CAST(array() AS {_TOKEN_SPAN}) END"""
+
+
+def match_spans(text: str, pattern: str, group: int, least: int, kind: str, kind_no: int) -> Column:
+    """Spans of the matches of pattern in column text whose group, which ends the match, has least characters."""
+    return F.expr(f"transform({_found(text, pattern, group, least, kind, kind_no)}, s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind))")
+
+
+def _tokens(text: str) -> str:
+    """SQL of the tokens of text outside the assign matches that the battery tests, each with its span."""
+    p, no = _literal(KINDS[0][1]), len(KINDS)
+    shifted = "named_struct('start', {0}.start + {1}, 'kind_no', {0}.kind_no, 'end', {0}.end + {1}, 'kind', {0}.kind, 'token', {0}.token)"
+    parts = ", ".join(f"transform({_found('y.token', rx, 0, 20, 'random', no)}, z -> {shifted.format('z', 'y.start')})" for rx in PARTS)
+    return f"""
+      transform(array(named_struct('outside', split({text}, {p}, -1), 'inside', regexp_extract_all({text}, {p}, 0))), cut ->
+        transform(array({_running("transform(cut.outside, (g, i) -> CAST(length(g) + coalesce(length(get(cut.inside, i)), 0) AS bigint))", "0L", "total + x")}), until ->
           filter(
-            transform(
-              array(named_struct('gap', split({text}, {p}, -1), 'whole', regexp_extract_all({text}, {p}, 0), 'part', regexp_extract_all({text}, {p}, {group}))),
-              m -> aggregate(
-                sequence(0, size(m.whole) - 1),
-                named_struct('pos', 0L, 'found', CAST(array() AS array<struct<start:bigint,end:bigint>>)),
-                (acc, i) -> named_struct(
-                  'pos', acc.pos + length(m.gap[i]) + length(m.whole[i]),
-                  'found', array_append(acc.found, named_struct(
-                    'start', acc.pos + length(m.gap[i]) + length(m.whole[i]) - length(m.part[i]),
-                    'end', acc.pos + length(m.gap[i]) + length(m.whole[i])))),
-                acc -> acc.found))[0],
-            s -> s.end - s.start >= {least}),
-          s -> named_struct('start', s.start, 'kind_no', {kind_no}, 'end', s.end, 'kind', '{kind}'))
-      ELSE CAST(array() AS {_SPAN}) END"""
+            flatten(transform(flatten(transform(cut.outside, (piece, j) ->
+                transform({_found("piece", TOKEN, 0, 20, "random", no)}, u -> {shifted.format("u", "coalesce(get(until, j - 1), 0L)")}))),
+              y -> CASE WHEN y.token RLIKE '[+/]' AND y.token RLIKE '[_-]' THEN array_sort(concat({parts})) ELSE array(y) END)),
+            y -> y.token RLIKE '[0-9]' AND y.token RLIKE '[A-Za-z]' AND NOT y.token RLIKE '{_FIND["access"]}|{_FIND["hex"]}'))[0])[0]"""
 
 
 def _upper_tail(z: str) -> str:
@@ -110,9 +138,9 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, with_row: bool = Fals
 
     Spans are structs of start, kind_no, end, kind, in code points with the end exclusive, sorted
     by start and kind. Base spans are the matches of KINDS, leftmost and non-overlapping per kind.
-    Added ones are tokens of 20 characters or more with a digit and a letter, touching no base
-    span, whose p-value passes their length class and encoding's threshold at max_false expected
-    false discoveries; a class with no sign of random tokens adds none. Of a token that mixes + or /
+    Added ones are tokens of 20 characters or more with a digit and a letter, outside assign matches
+    and without an access or hex match, whose p-value passes their length class and encoding's threshold at max_false expected
+    false discoveries (see thresholds). Of a token that mixes + or /
     with - or _, its parts by either alphabet are tested instead, and such spans may overlap. Null and empty texts have
     none. Repeated rows give repeated rows, and an empty table gives none. The text is scanned
     once for thresholds (encodings times length classes, all that reaches the driver) and once for
@@ -120,63 +148,83 @@ def scan_secrets(docs: DataFrame, max_false: float = 0.05, with_row: bool = Fals
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole_text"), *row)
-    for k, (kind, pattern, group, least) in enumerate(KINDS):
-        d = d.withColumn(f"spans_{kind}", match_spans("whole_text", _FIND.get(kind, pattern), group, least, kind, k))
-    d = d.withColumn("base_spans", F.array_sort(F.concat(*[f"spans_{k[0]}" for k in KINDS])))
-    d = d.withColumn("toks", match_spans("whole_text", TOKEN, 0, 20, "random", len(KINDS)))
-    cut = "substring(whole_text, CAST(x.start + 1 AS int), CAST(x.end - x.start AS int))"
-    parts = ", ".join(
-        f"transform({_spans_sql('t', rx, 0, 20, 'random', len(KINDS))}, s -> named_struct('start', s.start + x.start, 'kind_no', s.kind_no, 'end', s.end + x.start, 'kind', s.kind))" for rx in PARTS
+    spans = [match_spans("whole_text", _FIND.get(kind, pattern), group, least, kind, k) for k, (kind, pattern, group, least) in enumerate(KINDS)]
+    tested = F.expr(
+        f"transform({_tokens('whole_text')}, x -> named_struct('span', named_struct('start', x.start, 'kind_no', x.kind_no, 'end', x.end, 'kind', x.kind),"
+        f" 'class', CAST(floor(log2(length(x.token))) AS int), 'test', {randomness_p('x.token')}))"
     )
-    split = f"flatten(transform(toks, x -> transform(array({cut}), t -> CASE WHEN t RLIKE '[+/]' AND t RLIKE '[_-]' THEN array_sort(concat({parts})) ELSE array(x) END)[0]))"
-    d = d.withColumn("toks", F.expr(split))
-    d = d.withColumn("toks", F.expr("filter(toks, x -> NOT exists(base_spans, b -> b.start < x.end AND x.start < b.end))"))
-    d = d.withColumn("toks", F.expr(f"transform(toks, x -> named_struct('span', x, 'token', {cut}))"))
-    d = d.withColumn("toks", F.expr("filter(toks, x -> x.token RLIKE '[0-9]' AND x.token RLIKE '[A-Za-z]')"))
-    d = d.withColumn("tested_toks", F.transform("toks", lambda x: F.struct(x["span"].alias("span"), F.length(x["token"]).alias("n"), x["token"].alias("token"))))
-    tested = F.expr(f"transform(tested_toks, x -> named_struct('span', x.span, 'class', CAST(floor(log2(x.n)) AS int), 'test', {randomness_p('x.token')}))")
     classes = d.select(F.explode(tested).alias("x")).select("x.class", "x.test.encoding", "x.test.p")
     limits = thresholds(classes, max_false)
     passes = " OR ".join(f"(x.class = {k} AND x.test.encoding = '{e}' AND x.test.p >= {p}D)" for k, e, p in limits) or "false"
-    found = d.select("doc_id", F.col("base_spans").alias("found"), tested.alias("tested"), *["row"] * with_row)
+    found = d.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"), tested.alias("tested"), *["row"] * with_row)
     added = F.expr(f"transform(filter(tested, x -> {passes}), x -> x.span)")
     return found.select("doc_id", "found", added.alias("added"), *["row"] * with_row)
 
 
 def thresholds(tests: DataFrame, max_false: float, bins: int = 100) -> list[tuple[int, str, float]]:
-    """(class, encoding, least p to flag) from tests(class, encoding, p), by a histogram of p per class."""
+    """(class, encoding, least p to flag) from tests(class, encoding, p), by a histogram of p per class.
+
+    A class with too few p-values of one half or more to allow max_false (under 1 / max_false)
+    has no threshold of its own: such classes are one pool, with one threshold if the pool has enough.
+    """
     h = tests.where("p IS NOT NULL").groupBy("class", "encoding", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")).count()
-    rows = h.collect()  # at most classes x encodings x bins
     by: dict = {}
-    for r in rows:
+    for r in h.collect():  # at most classes x encodings x bins
         by.setdefault((r["class"], r.encoding), [0] * bins)[r.bin] += r["count"]
+    few = [k for k, counts in by.items() if sum(counts[bins // 2 :]) * max_false < 1]
+    pool = [sum(by[k][b] for k in few) for b in range(bins)]
     out = []
-    for (cls, enc), counts in sorted(by.items()):
-        random = 2 * sum(counts[bins // 2 :])
-        flagged, best = 0, None
-        for b in range(bins - 1, -1, -1):
-            flagged += counts[b]
-            if flagged and 1 - random * (bins - b) / bins / flagged <= max_false:
-                best = b / bins
-        if best is not None and random:
-            out.append((cls, enc, best))
+    for k, counts in sorted(by.items()):
+        best = least_p(pool if k in few else counts, max_false)
+        if best is not None:
+            out.append((*k, best))
     return out
 
 
+def least_p(counts: list[int], max_false: float) -> float | None:
+    """The least p to flag from a histogram of p on [0, 1], null if nothing may be flagged.
+
+    From one half on all are taken for random. Below, random tokens go on at that rate; what bins
+    have beyond it, and one more, counts as false, and a bin with fewer earns no credit past zero.
+    The walk down from one half stops where the share of false ones would exceed max_false.
+    """
+    bins = len(counts)
+    upper = sum(counts[bins // 2 :])
+    if upper * max_false < 1:
+        return None
+    flagged, best, beyond = upper, bins // 2, 0.0
+    for b in range(bins // 2 - 1, -1, -1):
+        flagged += counts[b]
+        beyond = max(0.0, beyond + counts[b] - upper / (bins - bins // 2))
+        if 1 + beyond > max_false * flagged:
+            break
+        best = b
+    return best / bins
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every maximal run of overlapping spans replaced by mark; null stays null."""
-    merged = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(merged)
+#: Characters of the pieces that a text is cut into, so that a span is found without reading from the start.
+_PIECE = 1024
+
+
+def redact(text: str, spans: str, mark: str = "[SECRET]") -> Column:
+    """The column text with every maximal run of overlapping spans (a column) replaced by mark; null stays null.
+
+    Linear in the text and the number of spans.
+    """
+    between = f"""substring(array_join(slice(t.pieces, CAST(t.open[i] DIV {_PIECE} + 1 AS int), CAST(start DIV {_PIECE} - t.open[i] DIV {_PIECE} + 1 AS int)), ''),
+      CAST(t.open[i] % {_PIECE} + 1 AS int), CAST(start - t.open[i] AS int))"""
+    return F.expr(f"""
+      CASE WHEN {text} IS NULL OR size({spans}) = 0 THEN {text} ELSE
+        transform(array(array_sort({spans})), s ->
+          transform(array({_running("transform(s, q -> q.end)", "0L", "greatest(total, x)")}), reach ->
+            transform(array(filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].start >= reach[greatest(i - 1, 0)])), first ->
+              transform(array(named_struct(
+                  'pieces', regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0),
+                  'starts', concat(transform(first, i -> s[i].start), array(CAST(length({text}) AS bigint))),
+                  'open', concat(array(0L), transform(first, (i, k) -> reach[coalesce(get(first, k + 1), size(s)) - 1])))), t ->
+                array_join(transform(t.starts, (start, i) -> {between}), {_literal(mark)}))[0])[0])[0])[0] END""")
