@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets in its text replaced by a mark and n_chars counted anew where that changed it."""
     found = secrets.scan_secrets(docs, with_row=True)
-    spans = F.concat("found", "added")
-    masked = found.select("row", secrets.redact(F.col("row.text"), spans).alias("masked"), (F.size(spans) > 0).alias("hit"))
+    found = found.select("row", F.concat("found", "added").alias("spans"))
+    masked = found.select("row", secrets.redact("row.text", "spans").alias("masked"), (F.size("spans") > 0).alias("hit"))
     return masked.select(_columns(docs, text=F.col("masked"), n_chars=F.when(F.col("hit"), F.length("masked").cast("long"))))
 
 
