@@ -433,7 +433,7 @@ def test_thresholds_with_few_random_tokens(spark):
         assert limit is not None and (limit > 0 or prose <= 0.05 * random_ones) and sum(counts[round(limit * 100) :]) > (0.6 if random_ones > 500 else 0.4) * random_ones  # the upper half at least
     rows = [("x", 5, 0.9)] * 15 + [("y", 4, 0.8)] * 15 + [("y", 4, 0.0)] * 500 + [("z", 6, 0.001)] * 50
     got = secrets.thresholds(spark.createDataFrame(rows, "encoding string, class int, p double"), 0.05)
-    assert {(k, e) for k, e, _ in got} == {(5, "x"), (4, "y"), (6, "z")} and all(p > 0.01 for *_, p in got)
+    assert {(k, e) for k, e, _ in got} == {(5, "x"), (4, "y"), (6, "z")} and all(p >= 0.01 for *_, p in got)  # above those of bin 0
 
 
 # --- op9
