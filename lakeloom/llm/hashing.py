@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -17,7 +18,7 @@ _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes hashed at once; a longer text is taken alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def trim() -> None:
@@ -28,6 +29,23 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[a.tobytes() for a in arrays]]))
+
+
+def unsqueeze(blob: bytes, *types: type) -> list[np.ndarray]:
+    """The arrays of squeeze, by their types."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(raw, np.int64, len(types), 8)
+    out, at = [], 8 * (len(types) + 1)
+    for t, n in zip(types, sizes.tolist(), strict=True):
+        out.append(np.frombuffer(raw[at : at + n], t))
+        at += n
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1

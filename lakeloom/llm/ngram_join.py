@@ -7,12 +7,12 @@ pairs of one class, for which the prefix is extended by one token a class (two s
 no signature share at most one prefix token of a class). What shares a signature is verified on
 whole sets.
 
-Links inside a group already joined add nothing to its component. So rare signatures first
-propose each holder together with one leader only, the holder with most shared tokens; when those
-that link are joined, what is left are signatures that hold several components, and there every
-pair across components that an exact bound allows is verified. A rare token has few holders, so
-these are few. Sets that pairs of frequent tokens connect (large groups of near copies) are
-compared in blocks of sets, whose tasks emit spanning links and never a row for a pair.
+Links inside a group already joined add nothing to its component. So signatures first propose
+each holder together with two leaders only, the holder with most shared tokens and one at
+random; when those that link are joined, what is left are signatures that hold several
+components. There every pair across components that an exact bound allows is verified, block of
+holders against block of holders: keys and sizes travel, and a pair's sets only if it may link.
+Which tokens are frequent is counted exactly, over the distinct sets of every task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.hashing import chunks, mix, shingles, trim
+from lakeloom.llm.hashing import chunks, mix, shingles, squeeze, trim, unsqueeze
 from lakeloom.plans.components import connected_components
 from lakeloom.session import discard, materialize
 
@@ -32,10 +33,12 @@ from lakeloom.session import discard, materialize
 PERCENT = 75
 #: A token is frequent from this many sets on, or from a 2**20th of all tokens, so that there are at most 2**20.
 FREQUENT, MOST_FREQUENT = 64, 2**20
-#: Size of each task's summary of frequent tokens.
-SUMMARY = 2**17
-#: Signatures a bucket holds on average, and members verified together against one set.
+#: Tokens (and twice the signatures) a task gathers before it sends them, and sets it remembers so as to skip their copies.
+FLUSH_ROWS, SEEN = 1_500_000, 200_000
+#: Tokens or signatures a bucket holds on average, and members verified together against one set.
 BUCKET_ROWS, VERIFY_ROWS = 250_000, 256
+#: Holders in a block when those of one signature are compared across components.
+ACROSS_ROWS = 512
 
 
 def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,53 +50,63 @@ def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-class _Summary:
-    """Frequent tokens of a task, by the mergeable counter summary of Misra and Gries."""
+def _sets(docs: DataFrame, bits: int) -> DataFrame:
+    """kind 0: (doc_id, n, lo, hi) of each document; kind 1: (lo: bucket, blob) of tokens and in how many of a task's distinct sets they are.
 
-    def __init__(self) -> None:
-        self.tokens, self.counts, self.waiting, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-    def add(self, tokens: np.ndarray) -> None:
-        self.waiting.append(tokens)
-        self.n += len(tokens)
-        if self.n > 1_000_000:
-            self.fold()
-
-    def fold(self) -> None:
-        new, c = np.unique(np.concatenate([*self.waiting, np.zeros(0, np.uint64)]), return_counts=True)
-        both, at = np.unique(np.concatenate([self.tokens, new]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([self.counts, c]), len(both)).astype(np.int64)
-        if len(both) > SUMMARY:
-            counts = counts - np.partition(counts, len(both) - SUMMARY - 1)[len(both) - SUMMARY - 1]
-        self.tokens, self.counts, self.waiting, self.n = both[counts > 0], counts[counts > 0], [], 0
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, lo, hi) of each document; kind 1: (lo: token, n: its count) of each task's summary."""
+    A token's bucket is its first ``bits`` bits; the blob holds the next 32, sorted, as differences.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, seen = _Summary(), set()
-        names, ids = ["kind", "doc_id", "n", "lo", "hi"], pa.int64()
+        seen: set[int] = set()
+        waiting: list[np.ndarray] = []
+        names, ids, size = ["kind", "doc_id", "n", "lo", "hi", "blob"], pa.int64(), 0
+
+        def flush() -> pa.RecordBatch:
+            t, c = np.unique(np.concatenate(waiting) >> np.uint64(32 - bits), return_counts=True)
+            waiting.clear()
+            own, first = np.unique(t >> np.uint64(32), return_index=True)
+            step = np.diff(t, prepend=np.uint64(0)).astype(np.uint32)
+            step[first] = t[first].astype(np.uint32)
+            cut = [*first.tolist(), len(t)]
+            blobs = [squeeze(step[i:j], np.minimum(c[i:j], 2**32 - 1).astype(np.uint32)) for i, j in zip(cut, cut[1:])]
+            none = pa.nulls(len(own), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), np.int32)), pa.nulls(len(own), ids), none, pa.array(own.view(np.int64)), none, pa.array(blobs, pa.binary())], names=names)
+
         for b in it:
             ids = b.schema.field(0).type
             for first, end, data, offsets in chunks(b.column(1)):
                 tokens, at = shingles(data, offsets)
                 lo, hi = _keys(tokens, at)
-                n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), b.column(0).slice(first, end - first), pa.array(n), pa.array(lo), pa.array(hi)], names=names)
-                new = [k for k, key in enumerate(lo.tolist()) if not (key in seen or seen.add(key))]
-                if len(seen) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), b.column(0).slice(first, end - first), pa.array(np.diff(at)), pa.array(lo), pa.array(hi), pa.nulls(end - first, pa.binary())], names=names)
+                for k, key in enumerate(lo.tolist()):
+                    if at[k] < at[k + 1] and not (key in seen or seen.add(key)):
+                        waiting.append(tokens[at[k] : at[k + 1]])
+                        size += len(waiting[-1])
+                if len(seen) > SEEN:
                     seen.clear()
-                if new:
-                    summary.add(np.concatenate([tokens[at[k] : at[k + 1]] for k in new]))
-        summary.fold()
-        often = summary.counts > 1
-        t, c = summary.tokens[often], summary.counts[often]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.nulls(len(t), ids), pa.array(c), pa.array(t.view(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=names)
+                if size > FLUSH_ROWS:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, lo long, hi long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, lo long, hi long, blob binary")
+
+
+def _frequent(counted: DataFrame, often: int) -> np.ndarray:
+    """Tokens, by their bucket and next 32 bits, that are in ``often`` distinct sets or more; sorted. MOST_FREQUENT at most."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unsqueeze(b, np.uint32, np.uint32) for b in t.column("blob").to_pylist()]
+        token, at = np.unique(np.concatenate([np.cumsum(p[0].astype(np.uint64)) for p in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(token))
+        kept = token[n >= often] | np.uint64(t.column("lo")[0].as_py() << 32)
+        return pa.table({"blob": pa.array([kept.tobytes()] if len(kept) else [], pa.binary())})
+
+    found = counted.select("lo", "blob").groupBy("lo").applyInArrow(run, "blob binary").collect()  # 8 bytes a token
+    return np.sort(np.frombuffer(b"".join([bytes(r.blob) for r in found]), np.uint64))
 
 
 def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +137,15 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndar
     return rare, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, seen: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, bits: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Key, tokens, and which of them are frequent, of the sets of a batch (texts in column 0) that the task has not seen."""
     for _, _, data, offsets in chunks(b.column(0)):
         tokens, at = shingles(data, offsets)
         lo, _ = _keys(tokens, at)
-        place = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
-        often = frequent[place] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-        if len(seen) > 1_000_000:
+        short = tokens >> np.uint64(32 - bits)
+        place = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
+        often = frequent[place] == short if len(frequent) else np.zeros(len(tokens), bool)
+        if len(seen) > SEEN:
             seen.clear()
         for i, key in enumerate(lo.tolist()):
             if at[i] < at[i + 1] and key not in seen:
@@ -139,7 +153,7 @@ def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, seen: set[int]) -> Iterato
                 yield key, tokens[at[i] : at[i + 1]], often[at[i] : at[i + 1]]
 
 
-def _pair_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _pair_signatures(docs: DataFrame, frequent: Broadcast, bits: int) -> DataFrame:
     """(sig, key) for each indexed pair of frequent tokens, and for each set one row (key, rest, end) without a sig.
 
     rest: the set's tokens after its prefix of rare ones; end: the last token of that prefix, as a
@@ -150,7 +164,7 @@ def _pair_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for b in it:
             keys, rests, ends = [], [], []
-            for key, tokens, often in _sets_of(b, frequent, seen):
+            for key, tokens, often in _sets_of(b, frequent.value, bits, seen):
                 one, two = prefix_signatures(tokens, often)
                 keys.append(key)
                 rests.append(len(tokens) - len(one))
@@ -160,11 +174,12 @@ def _pair_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(np.full(len(two), key, np.int64)), none, none], names=["sig", "key", "rest", "end"])
             none = pa.nulls(len(keys), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(keys, pa.int64()), pa.array(rests, pa.int64()), pa.array(ends, pa.int64())], names=["sig", "key", "rest", "end"])
+        trim()
 
     return docs.select("text").mapInArrow(run, "sig long, key long, rest long, end long")
 
 
-def _single_signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _single_signatures(docs: DataFrame, frequent: Broadcast, bits: int, buckets: int) -> DataFrame:
     """Rows of packed signatures of rare tokens by bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +201,12 @@ def _single_signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> D
 
         rows = 0
         for b in it:
-            for key, tokens, often in _sets_of(b, frequent, seen):
+            for key, tokens, often in _sets_of(b, frequent.value, bits, seen):
                 one, _ = prefix_signatures(tokens, often)
                 sigs.append(one)
                 keys.append(np.full(len(one), key, np.int64))
                 rows += len(one)
-                if rows > 700_000:
+                if rows > FLUSH_ROWS // 2:
                     yield flush()
                     rows = 0
         if sigs:
@@ -234,6 +249,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lo[ok]), pa.array(np.diff(at)[ok]), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in ok], pa.binary())], names=["key", "n", "tokens"]
                 )
+        trim()
 
     rows = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key", "hi")
     return rows.mapInArrow(run, "key long, n long, tokens binary")
@@ -299,73 +315,46 @@ def _sets_for(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
 
 
-def _families(shared: DataFrame) -> DataFrame:
-    """(key, family) of sets that pairs of frequent tokens connect."""
-    least = shared.groupBy("sig").agg(F.min("key").alias("b"))
-    edges = shared.join(least, "sig").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
-    return connected_components(edges).select(F.col("id").alias("key"), F.col("component").alias("family"))
-
-
-def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of two lists of sets: products of 0/1 matrices over tokens that both lists hold."""
-    owner = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
-    tokens = [np.concatenate([*z, np.zeros(0, np.uint64)]) for z in (x, y)]
-    both = np.intersect1d(tokens[0], tokens[1])
-    out = np.zeros((len(x), len(y)), np.float32)
-    for k in range(0, len(both), 8192):
-        part = both[k : k + 8192]
-        m = []
-        for t, o, z in zip(tokens, owner, (x, y), strict=True):
-            at = np.searchsorted(part, t)
-            hit = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == t)
-            one = np.zeros((len(z), len(part)), np.float32)
-            one[o[hit], at[hit]] = 1
-            m.append(one)
-        out += m[0] @ m[1].T
-    return out.astype(np.int64)
-
-
-def _verify_families(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join the sets of each family as their full graph does.
-
-    A family's sets are dealt into blocks of about VERIFY_ROWS; every pair of blocks is one task's
-    group, which compares whole sets by matrix products and emits a spanning forest of its links:
-    never a row for each pair, and no more links than sets.
-    """
+def _side(postings: DataFrame, e: str, keep: list[str]) -> DataFrame:
+    """Postings as one side, a or b, of a pair."""
+    return postings.select(*keep, *[F.col(c).alias(x + e) for c, x in (("key", ""), ("n", "n"), ("rare", "r"), ("rest", "s"), ("end", "e"))])
 
-    def run(t: pa.Table) -> pa.Table:
-        block = np.array(t.column("block").to_pylist())
-        keys = np.array(t.column("key").to_pylist())
-        tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
-        size = np.array([len(x) for x in tokens])
-        left, right = np.nonzero(block == block.min())[0], np.nonzero(block == block.max())[0]
-        common = _common([tokens[i] for i in left], [tokens[i] for i in right])
-        linked = 100 * common >= PERCENT * (size[left][:, None] + size[right][None, :] - common)
-        root = list(range(len(keys)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
 
-        a, b = [], []
-        for i, row in zip(left.tolist(), linked, strict=True):
-            for j in right[row].tolist():
-                x, y = find(i), find(j)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(keys[i])
-                    b.append(keys[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _with_leaders(postings: DataFrame) -> DataFrame:
+    """_PAIR of each holder of a signature with two leaders of it: the holder with most shared tokens, and one at random.
 
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
-    f = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    f = f.join(sets.select("key", "tokens"), "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    f = f.select("family", "key", "tokens", "block", other)
-    f = f.select("family", "key", "tokens", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    return f.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
+    A row for each holder and leader, so a signature with any number of holders costs as many pairs.
+    """
+    share = F.col("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))
+    one = F.struct("key", "n", "rare", "rest", "end")
+    leaders = postings.groupBy("sig").agg(
+        F.max(F.struct(share.alias("share"), *["key", "n", "rare", "rest", "end"])).alias("x"), F.max(F.struct(F.xxhash64("key", F.lit(1)).alias("h"), one.alias("c"))).alias("y")
+    )
+    picked = F.array(F.struct("x.key", "x.n", "x.rare", "x.rest", "x.end"), F.col("y.c"))
+    leaders = leaders.select("sig", F.explode(F.array_distinct(picked)).alias("c")).select("sig", "c.*")
+    pairs = _side(postings, "b", ["sig"]).join(_side(leaders, "a", ["sig"]), "sig").where("a <> b").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x + "a" if x else "a")).otherwise(F.col(x + "b" if x else "b")).alias(x + "a" if x else "a") for x in ("", "n")]
+    turned += [F.when(F.col("a") < F.col("b"), F.col(x + "b" if x else "b")).otherwise(F.col(x + "a" if x else "a")).alias(x + "b" if x else "b") for x in ("", "n")]
+    return pairs.select(*turned, "rest").select(*_PAIR).distinct()
+
+
+def _across(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different parts that share a signature and may link; postings with part, of signatures in several parts.
+
+    The holders of a signature are dealt into blocks of about ACROSS_ROWS and every pair of blocks
+    is a key of its own, so a frequent signature is many tasks' work; only pairs that the bound
+    allows leave the join. All single signatures that two parts share are here, so their count is exact.
+    """
+    blocks = postings.groupBy("sig").agg(F.ceil(F.count("*") / ACROSS_ROWS).cast("int").alias("blocks"))
+    p = postings.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    left = _side(p, "a", ["sig", "single", F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
+    right = _side(p, "b", ["sig", F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
+    pairs = left.join(right, ["sig", "i", "j"]).where("pa <> pb AND (i < j OR a < b)").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
+    first, last = F.col("a") < F.col("b"), {}
+    for x in ("", "n"):
+        last |= {x + "a": F.when(first, F.col(x + "a")).otherwise(F.col(x + "b")), x + "b": F.when(first, F.col(x + "b")).otherwise(F.col(x + "a"))}
+    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.when(F.col("single"), F.col("sig")).alias("one"))
+    return pairs.groupBy(*_PAIR).agg(F.count("one").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -378,51 +367,39 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     one set throughout, so any number of copies costs no pairs. Repeated rows give repeated rows;
     an empty table gives none. Other columns are ignored.
     """
-    all_rows = materialize(_sets(docs), "ngram-sets")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, min(32, (size // 6 // BUCKET_ROWS).bit_length()))  # a shingle is about six bytes of text
+    all_rows = materialize(_sets(docs, bits), "ngram-sets")
     own = all_rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("lo").alias("key"), "hi")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    often = max(FREQUENT, total // MOST_FREQUENT)
-    frequent = all_rows.where("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("lo")
-    frequent = np.sort(np.array([r.lo for r in frequent.collect()], np.int64).view(np.uint64))  # MOST_FREQUENT at most
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(all_rows.where("kind = 1"), max(FREQUENT, total // MOST_FREQUENT)))
     buckets = max(64, total // 4 // BUCKET_ROWS)
-    singles = materialize(_shared_singles(_single_signatures(docs, frequent, buckets), buckets), "ngram-singles")
-    paired = materialize(_pair_signatures(docs, frequent), "ngram-paired")
-    pairs_of = paired.where("sig IS NOT NULL").select("sig", "key").distinct()
-    shared = pairs_of.join(pairs_of.groupBy("sig").count().where("count > 1").select("sig"), "sig")
-    shared = materialize(shared, "ngram-shared")
-    families = materialize(_families(shared), "ngram-families")
-    stats = singles.groupBy("key").agg(F.count("*").alias("rare"))
-    stats = stats.join(own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n")), "key")
+    singles = materialize(_shared_singles(_single_signatures(docs, frequent, bits, buckets), buckets), "ngram-singles")
+    paired = materialize(_pair_signatures(docs, frequent, bits), "ngram-paired")
+    held = paired.where("sig IS NOT NULL").groupBy("sig").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("sig")
+    pairs_of = paired.where("sig IS NOT NULL").select("sig", "key").join(held, "sig")
+    every = singles.withColumn("single", F.lit(True)).unionByName(pairs_of.distinct().withColumn("single", F.lit(False)))
+    stats = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
     stats = stats.join(paired.where("sig IS NULL").groupBy("key").agg(F.min("rest").alias("rest"), F.min("end").alias("end")), "key")
-    postings = materialize(singles.join(stats, "key").select("sig", "key", "n", "rare", "rest", "end"), "ngram-postings")
-    discard(paired, shared)
-
-    share = F.col("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))
-    leader = postings.groupBy("sig").agg(F.max(F.struct(share.alias("share"), "key", "n", "rare", "rest", "end")).alias("c"))
-    leader = leader.select("sig", F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("c.rare").alias("ra"), F.col("c.rest").alias("sa"), F.col("c.end").alias("ea"))
-    first = postings.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("rest").alias("sb"), F.col("end").alias("eb"))
-    first = first.join(leader, "sig").where("a <> b").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb"))).select(*_PAIR).distinct()
-    first = materialize(_can_link(first, singles), "ngram-pairs")
-    wanted = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(families.select("key"))
-    sets = _sets_for(docs, own, wanted)
-    links = materialize(_verify(first, sets).unionByName(_verify_families(families, sets)), "ngram-links")
-    discard(sets, families)
+    stats = stats.join(singles.groupBy("key").agg(F.count("*").alias("rare")), "key", "left").fillna(0, ["rare"])
+    postings = materialize(every.join(stats, "key").select("sig", "single", "key", "n", "rare", "rest", "end"), "ngram-postings")
+    discard(paired)
+
+    first = materialize(_can_link(_with_leaders(postings), singles), "ngram-pairs")
+    sets = _sets_for(docs, own, first.select(F.explode(F.array("a", "b")).alias("key")))
+    links = materialize(_verify(first, sets), "ngram-links")
+    discard(sets, singles)
     parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
     label = postings.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
     mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
     label = materialize(label.join(mixed, "sig").drop("component"), "ngram-left")
-    discard(postings)
-    sides = [label.select("sig", *[F.col(c).alias(x + e) for c, x in (("key", ""), ("part", "p"), ("n", "n"), ("rare", "r"), ("rest", "s"), ("end", "e"))]) for e in "ab"]
-    across = sides[0].join(sides[1], "sig").where("a < b AND pa <> pb").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
-    # every signature that two components share is here, so their number is exact
-    across = across.groupBy(*_PAIR).agg(F.count("*").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(across.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
+    discard(postings, parts)
+    across = materialize(_across(label).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
     sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
     more = materialize(_verify(across, sets), "ngram-links")
-    links = links.unionByName(more)
-    parts = materialize(connected_components(links), "ngram-parts").withColumnRenamed("id", "key")
-    discard(label, first, across, singles, sets, more)
+    parts = materialize(connected_components(links.unionByName(more)), "ngram-parts").withColumnRenamed("id", "key")
+    discard(label, first, across, sets, links, more)
+    frequent.unpersist()
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
     # a set that no link reaches is its own component, whatever another with the same first hash is

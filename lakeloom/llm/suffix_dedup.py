@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.hashing import _BASE, _BYTE, _INVERSE, _power, chunks, mix
-from lakeloom.llm.lm_scoring import _open, _squeeze
+from lakeloom.llm.hashing import _BASE, _BYTE, _INVERSE, _power, chunks, mix, squeeze, unsqueeze
 from lakeloom.session import discard, materialize
 
 #: Length of a repeated string, of a gram, and the grams of a string.
@@ -107,7 +106,7 @@ def _pack(rows: DataFrame, blocks: int) -> DataFrame:
             blobs = []
             for rs in by.values():
                 meta = np.array([[r[0], r[1], len(r[2])] for r in rs], np.int64).T
-                blobs.append(_squeeze(np.frombuffer(b"".join([r[2] for r in rs]), np.uint8), np.ascontiguousarray(meta)))
+                blobs.append(squeeze(np.frombuffer(b"".join([r[2] for r in rs]), np.uint8), np.ascontiguousarray(meta)))
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
@@ -127,7 +126,7 @@ def _pack(rows: DataFrame, blocks: int) -> DataFrame:
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's rows: ids, text hashes, bytes, offsets; texts by (id, hash)."""
-    parts = [_open(b, np.uint8, np.int64) for b in t.column("blob").to_pylist()]
+    parts = [unsqueeze(b, np.uint8, np.int64) for b in t.column("blob").to_pylist()]
     meta = np.concatenate([p[1].reshape(3, -1) for p in parts], axis=1)
     data = np.concatenate([p[0] for p in parts])
     at = np.concatenate([[0], np.cumsum(meta[2])])
@@ -185,7 +184,7 @@ def _first_round(rows: DataFrame, blocks: int) -> DataFrame:
                     x = at[order[i:j]]
                     kinds.append(1)
                     keys.append(int(block[order[i]]))
-                    blobs.append(_squeeze(ids[x], h[x], number[x].astype(np.uint32)))
+                    blobs.append(squeeze(ids[x], h[x], number[x].astype(np.uint32)))
             first = np.concatenate([[True], name[1:] != name[:-1]])
             at = np.nonzero(~known | first)[0]  # of a repeated name, one entry asks for the others
             bucket = (name[at] % np.uint64(blocks)).astype(np.int64)
@@ -198,7 +197,7 @@ def _first_round(rows: DataFrame, blocks: int) -> DataFrame:
                 step = np.where(doc, number[x], number[x] - np.concatenate([[0], number[x][:-1]]))
                 kinds.append(0)
                 keys.append(int(bucket[order[i]]))
-                blobs.append(_squeeze(ids[x][doc], h[x][doc], runs.astype(np.uint32), step.astype(np.uint32), (name[x] // np.uint64(blocks)).astype(np.uint32), known[x]))
+                blobs.append(squeeze(ids[x][doc], h[x][doc], runs.astype(np.uint32), step.astype(np.uint32), (name[x] // np.uint64(blocks)).astype(np.uint32), known[x]))
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "key", "blob"])
 
         for b in it:
@@ -220,7 +219,7 @@ def _first_round(rows: DataFrame, blocks: int) -> DataFrame:
             return t.select(["key", "blob"]).rename_columns(["block", "blob"])
         ids, h, number, name, known = [], [], [], [], []
         for blob in t.column("blob").to_pylist():
-            i, x, runs, step, n, k = _open(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, bool)
+            i, x, runs, step, n, k = unsqueeze(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, bool)
             ids.append(np.repeat(i, runs))
             h.append(np.repeat(x, runs))
             total = np.cumsum(step.astype(np.int64))
@@ -244,7 +243,7 @@ def _first_round(rows: DataFrame, blocks: int) -> DataFrame:
         for i, j in zip(cut, cut[1:]) if len(at) else []:
             x = at[order[i:j]]
             own.append(int(block[order[i]]))
-            blobs.append(_squeeze(ids[x], h[x], number[x].astype(np.uint32)))
+            blobs.append(squeeze(ids[x], h[x], number[x].astype(np.uint32)))
         return pa.table({"block": pa.array(own, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     asked = rows.select("id", "h", "text").mapInArrow(ask, "kind int, key long, blob binary")
@@ -269,7 +268,7 @@ def _later_rounds(packed: DataFrame, listed: DataFrame, blocks: int) -> DataFram
         out: dict[str, list] = {"kind": [], "key": [], "blob": []}
         if len(left) and len(right):
             ids, h, data, offsets = _unpack(left)
-            want = [np.concatenate(x) for x in zip(*[_open(b, np.int64, np.int64, np.uint32) for b in right.column("blob").to_pylist()], strict=True)]
+            want = [np.concatenate(x) for x in zip(*[unsqueeze(b, np.int64, np.int64, np.uint32) for b in right.column("blob").to_pylist()], strict=True)]
             place, name, text, lo, hi = sample(data, offsets)
             head = np.searchsorted(text, np.arange(len(offsets)))
             listed = np.zeros(len(place), bool)
@@ -301,7 +300,7 @@ def _later_rounds(packed: DataFrame, listed: DataFrame, blocks: int) -> DataFram
                     d = text[at[done]]
                     out["kind"].append(1)
                     out["key"].append(left.column("block")[0].as_py())
-                    out["blob"].append(_squeeze(ids[d], h[d], lo[done] - offsets[d], hi[done] + LENGTH - offsets[d]))
+                    out["blob"].append(squeeze(ids[d], h[d], lo[done] - offsets[d], hi[done] + LENGTH - offsets[d]))
                 bucket = (name[at[go]] % np.uint64(blocks)).astype(np.int64)
                 order, cut = _groups(bucket)
                 for i, j in zip(cut, cut[1:]):
@@ -310,13 +309,13 @@ def _later_rounds(packed: DataFrame, listed: DataFrame, blocks: int) -> DataFram
                     piece = np.concatenate([data[a:b] for a, b in zip(lo[x], hi[x] + LENGTH)])
                     out["kind"].append(0)
                     out["key"].append(int(bucket[order[i]]))
-                    out["blob"].append(_squeeze(ids[d], h[d], lo[x] - offsets[d], (hi[x] + LENGTH - lo[x]).astype(np.uint16), piece))
+                    out["blob"].append(squeeze(ids[d], h[d], lo[x] - offsets[d], (hi[x] + LENGTH - lo[x]).astype(np.uint16), piece))
         return pa.table(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())]))
 
     def rank(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() == 1:
             return t.select(["key", "blob"]).rename_columns(["block", "blob"])
-        parts = [_open(b, np.int64, np.int64, np.int64, np.uint16, np.uint8) for b in t.column("blob").to_pylist()]
+        parts = [unsqueeze(b, np.int64, np.int64, np.int64, np.uint16, np.uint8) for b in t.column("blob").to_pylist()]
         ids, h, lo, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         size = size.astype(np.int64)
         begin = np.cumsum(size) - size
@@ -352,7 +351,7 @@ def _later_rounds(packed: DataFrame, listed: DataFrame, blocks: int) -> DataFram
         for p, q in zip(cut, cut[1:]) if len(i) else []:
             o = order[p:q]
             own.append(int(block[o[0]]))
-            blobs.append(_squeeze(i[o], x[o], a[o], b[o]))
+            blobs.append(squeeze(i[o], x[o], a[o], b[o]))
         return pa.table({"block": pa.array(own, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     found = packed.groupBy("block").cogroup(listed.select(F.col("block").alias("block2"), "blob").groupBy("block2"))
@@ -365,7 +364,7 @@ def _cut(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     ids, h, data, offsets = _unpack(left)
     cover = np.zeros(len(data) + 1, np.int32)
     if len(right):
-        i, x, a, b = (np.concatenate(y) for y in zip(*[_open(blob, np.int64, np.int64, np.int64, np.int64) for blob in right.column("blob").to_pylist()], strict=True))
+        i, x, a, b = (np.concatenate(y) for y in zip(*[unsqueeze(blob, np.int64, np.int64, np.int64, np.int64) for blob in right.column("blob").to_pylist()], strict=True))
         where: dict[tuple, list[int]] = {}
         for t, key in enumerate(zip(ids.tolist(), h.tolist(), strict=True)):
             where.setdefault(key, []).append(t)

@@ -142,6 +142,7 @@ def components(texts):
 def test_ngram_join(spark, texts, frequent, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)  # 2: nearly all tokens index in pairs
     monkeypatch.setattr(ngram_join, "VERIFY_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "ACROSS_ROWS", 3)
     got = ngram_join.ngram_join(table(spark, [*texts, (3, "one two")])).collect()
     assert len(got) == len(texts) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(texts)
@@ -153,6 +154,27 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, 7), (7, 7), (None, None)], key=str)
 
 
+def test_frequent_tokens_do_not_depend_on_the_tasks(spark):
+    """A shingle in each of 100 documents is frequent whether they come in 100 tasks or in 2; copies count once a task."""
+    rows = [(i, f"one line shared by all {i} x{i} y{i} z{i} w{i}") for i in range(100)]
+    for tasks in (100, 2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks, "doc_id")
+        counted = ngram_join._sets(df, 6).where("kind = 1")
+        assert len(ngram_join._frequent(counted, 64)) == 1 and len(ngram_join._frequent(counted, 101)) == 0
+
+
+def test_boilerplate_that_does_not_link(spark):
+    """Many documents share most of their shingles with one of several long passages; some link, most do not."""
+    rng = random.Random(21)
+    passages = [" ".join(f"p{k}w{j}" for j in range(120)) for k in range(3)]
+    rows = []
+    for i in range(150):
+        own = " ".join(f"d{i}u{j}" for j in range(rng.choice([3, 12, 25, 40, 60])))
+        rows.append((i, passages[i % 3] + " " + own + (" " + passages[(i + 1) % 3][:200] if i % 7 == 0 else "")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert got == components(rows)
+
+
 def test_prefix_signatures_meet():
     """Two sets over the threshold share a signature, whatever share of the tokens is frequent."""
     rng = np.random.default_rng(1)
