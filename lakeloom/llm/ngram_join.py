@@ -34,9 +34,11 @@ PERCENT = 75
 #: A token is frequent from this many sets on, or from a 2**20th of all tokens, so that there are at most 2**20.
 FREQUENT, MOST_FREQUENT = 64, 2**20
 #: Tokens (and twice the signatures) a task gathers before it sends them, and sets it remembers so as to skip their copies.
-FLUSH_ROWS, SEEN = 1_500_000, 200_000
+FLUSH_ROWS, SEEN = 1_000_000, 200_000
 #: Tokens or signatures a bucket holds on average, and members verified together against one set.
 BUCKET_ROWS, VERIFY_ROWS = 250_000, 256
+#: Bits of a token that its bucket and the next 24 leave out, and the bucket's.
+_SHORT = 64 - 24
 #: Holders in a block when those of one signature are compared across components.
 ACROSS_ROWS = 512
 
@@ -53,7 +55,8 @@ def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sets(docs: DataFrame, bits: int) -> DataFrame:
     """kind 0: (doc_id, n, lo, hi) of each document; kind 1: (lo: bucket, blob) of tokens and in how many of a task's distinct sets they are.
 
-    A token's bucket is its first ``bits`` bits; the blob holds the next 32, sorted, as differences.
+    A token's bucket is its first ``bits`` bits; the blob holds the next 24, sorted, as differences,
+    byte by byte. Tokens that agree in all these are counted together; that moves no result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -63,13 +66,13 @@ def _sets(docs: DataFrame, bits: int) -> DataFrame:
         names, ids, size = ["kind", "doc_id", "n", "lo", "hi", "blob"], pa.int64(), 0
 
         def flush() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(waiting) >> np.uint64(32 - bits), return_counts=True)
+            t, c = np.unique(np.concatenate(waiting) >> np.uint64(_SHORT - bits), return_counts=True)
             waiting.clear()
-            own, first = np.unique(t >> np.uint64(32), return_index=True)
+            own, first = np.unique(t >> np.uint64(24), return_index=True)
             step = np.diff(t, prepend=np.uint64(0)).astype(np.uint32)
-            step[first] = t[first].astype(np.uint32)
+            step[first] = t[first] & np.uint64(2**24 - 1)
             cut = [*first.tolist(), len(t)]
-            blobs = [squeeze(step[i:j], np.minimum(c[i:j], 2**32 - 1).astype(np.uint32)) for i, j in zip(cut, cut[1:])]
+            blobs = [squeeze(np.ascontiguousarray(step[i:j].view(np.uint8).reshape(-1, 4).T), np.minimum(c[i:j], 2**32 - 1).astype(np.uint32)) for i, j in zip(cut, cut[1:])]
             none = pa.nulls(len(own), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), np.int32)), pa.nulls(len(own), ids), none, pa.array(own.view(np.int64)), none, pa.array(blobs, pa.binary())], names=names)
 
@@ -96,13 +99,14 @@ def _sets(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _frequent(counted: DataFrame, often: int) -> np.ndarray:
-    """Tokens, by their bucket and next 32 bits, that are in ``often`` distinct sets or more; sorted. MOST_FREQUENT at most."""
+    """Tokens, by their bucket and next 24 bits, that are in ``often`` distinct sets or more; sorted. MOST_FREQUENT at most."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [unsqueeze(b, np.uint32, np.uint32) for b in t.column("blob").to_pylist()]
-        token, at = np.unique(np.concatenate([np.cumsum(p[0].astype(np.uint64)) for p in parts]), return_inverse=True)
+        parts = [unsqueeze(b, np.uint8, np.uint32) for b in t.column("blob").to_pylist()]
+        steps = [np.ascontiguousarray(p[0].reshape(4, -1).T).view(np.uint32).ravel() for p in parts]
+        token, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]), return_inverse=True)
         n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(token))
-        kept = token[n >= often] | np.uint64(t.column("lo")[0].as_py() << 32)
+        kept = token[n >= often] | np.uint64(t.column("lo")[0].as_py() << 24)
         return pa.table({"blob": pa.array([kept.tobytes()] if len(kept) else [], pa.binary())})
 
     found = counted.select("lo", "blob").groupBy("lo").applyInArrow(run, "blob binary").collect()  # 8 bytes a token
@@ -142,7 +146,7 @@ def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, bits: int, seen: set[int])
     for _, _, data, offsets in chunks(b.column(0)):
         tokens, at = shingles(data, offsets)
         lo, _ = _keys(tokens, at)
-        short = tokens >> np.uint64(32 - bits)
+        short = tokens >> np.uint64(_SHORT - bits)
         place = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
         often = frequent[place] == short if len(frequent) else np.zeros(len(tokens), bool)
         if len(seen) > SEEN:
@@ -290,8 +294,9 @@ def _may_link(shared: Column) -> Column:
     signatures; after it at most that set's rest is common. So the intersection is at most the
     shared ones plus that rest, and must reach 75 / 175 of both sizes (na, nb).
     """
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return fits & ((100 + PERCENT) * (shared + F.col("rest")) >= PERCENT * (F.col("na") + F.col("nb")))
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return fits & ((100 + PERCENT) * (shared + F.col("rest").cast("long")) >= PERCENT * (na + nb))
 
 
 def _first_rest() -> Column:
@@ -321,21 +326,20 @@ def _side(postings: DataFrame, e: str, keep: list[str]) -> DataFrame:
 
 
 def _with_leaders(postings: DataFrame) -> DataFrame:
-    """_PAIR of each holder of a signature with two leaders of it: the holder with most shared tokens, and one at random.
+    """_PAIR of each set with two leaders.
 
-    A row for each holder and leader, so a signature with any number of holders costs as many pairs.
+    A signature has two: the holder with most shared tokens, and one at random. Of each kind a set
+    takes the leader that most of its signatures propose, so there are two pairs a set at most.
     """
     share = F.col("rare") / F.greatest(F.col("n") - F.col("rest"), F.lit(1))
-    one = F.struct("key", "n", "rare", "rest", "end")
-    leaders = postings.groupBy("sig").agg(
-        F.max(F.struct(share.alias("share"), *["key", "n", "rare", "rest", "end"])).alias("x"), F.max(F.struct(F.xxhash64("key", F.lit(1)).alias("h"), one.alias("c"))).alias("y")
-    )
-    picked = F.array(F.struct("x.key", "x.n", "x.rare", "x.rest", "x.end"), F.col("y.c"))
-    leaders = leaders.select("sig", F.explode(F.array_distinct(picked)).alias("c")).select("sig", "c.*")
-    pairs = _side(postings, "b", ["sig"]).join(_side(leaders, "a", ["sig"]), "sig").where("a <> b").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
-    turned = [F.when(F.col("a") < F.col("b"), F.col(x + "a" if x else "a")).otherwise(F.col(x + "b" if x else "b")).alias(x + "a" if x else "a") for x in ("", "n")]
-    turned += [F.when(F.col("a") < F.col("b"), F.col(x + "b" if x else "b")).otherwise(F.col(x + "a" if x else "a")).alias(x + "b" if x else "b") for x in ("", "n")]
-    return pairs.select(*turned, "rest").select(*_PAIR).distinct()
+    lead = [F.struct(share.cast("float").alias("p"), "key"), F.struct(F.xxhash64("key", F.lit(1)).alias("p"), "key")]
+    leaders = postings.groupBy("sig").agg(*[F.max(x)["key"].alias(f"x{k}") for k, x in enumerate(lead)])
+    proposed = postings.select("sig", F.col("key").alias("b")).join(leaders, "sig").select("b", F.posexplode(F.array("x0", "x1")).alias("kind", "a")).where("a <> b")
+    best = proposed.groupBy("b", "kind", "a").count().groupBy("b", "kind").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = postings.select("key", "n", "rare", "rest", "end").distinct()
+    pairs = best.join(_side(sets, "a", []), "a").join(_side(sets, "b", []), "b").withColumn("rest", _first_rest())
+    return pairs.where(_may_link(F.least("ra", "rb"))).select(*_PAIR)
 
 
 def _across(postings: DataFrame) -> DataFrame:
@@ -368,11 +372,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     an empty table gives none. Other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, min(32, (size // 6 // BUCKET_ROWS).bit_length()))  # a shingle is about six bytes of text
+    bits = max(6, min(40, (size // 6 // BUCKET_ROWS).bit_length()))  # a shingle is about six bytes of text
     all_rows = materialize(_sets(docs, bits), "ngram-sets")
-    own = all_rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("lo").alias("key"), "hi")
+    own = materialize(all_rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("lo").alias("key"), "hi"), "ngram-own")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(all_rows.where("kind = 1"), max(FREQUENT, total // MOST_FREQUENT)))
+    discard(all_rows)
     buckets = max(64, total // 4 // BUCKET_ROWS)
     singles = materialize(_shared_singles(_single_signatures(docs, frequent, bits, buckets), buckets), "ngram-singles")
     paired = materialize(_pair_signatures(docs, frequent, bits), "ngram-paired")
@@ -382,7 +387,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     stats = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
     stats = stats.join(paired.where("sig IS NULL").groupBy("key").agg(F.min("rest").alias("rest"), F.min("end").alias("end")), "key")
     stats = stats.join(singles.groupBy("key").agg(F.count("*").alias("rare")), "key", "left").fillna(0, ["rare"])
-    postings = materialize(every.join(stats, "key").select("sig", "single", "key", "n", "rare", "rest", "end"), "ngram-postings")
+    sizes = [F.col(c).cast("int").alias(c) for c in ("n", "rare", "rest")]
+    postings = materialize(every.join(stats, "key").select("sig", "single", "key", *sizes, "end"), "ngram-postings")
     discard(paired)
 
     first = materialize(_can_link(_with_leaders(postings), singles), "ngram-pairs")
