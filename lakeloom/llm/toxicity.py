@@ -6,7 +6,9 @@ out-of-fold, so that a later model learns from predictions as good as those it m
 
 The labels hold one flag, toxic. The chain's first two categories are derived from it and from
 the terms that toxic documents favour: ``insult`` (toxic, with such a term) and ``barrage``
-(toxic, with several); the last is ``toxic`` itself and decides.
+(toxic, with several); the last is ``toxic`` itself and decides. No feature counts those terms, so
+how many there are reaches the last model through the earlier probabilities. Terms are words and
+pairs of neighbouring words; those of a fold's models are chosen without the fold's labels.
 """
 
 from __future__ import annotations
@@ -21,23 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.hashing import trim
-from lakeloom.session import materialize
+from lakeloom.session import discard, materialize
 
 CATEGORIES = ("insult", "barrage", "toxic")
 _TERM = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str | None) -> set[str]:
-    """Distinct lower-cased runs of letters of a text."""
-    return set(_TERM.findall(text.lower())) if text else set()
+    """Distinct lower-cased runs of letters of a text, and pairs of neighbouring ones."""
+    words = _TERM.findall(text.lower()) if text else []
+    return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
 @dataclass
 class Chain:
-    """terms: index of each term; abusive: those that toxic documents clearly favour; weights: for each category those of terms, hits, earlier categories, bias."""
+    """terms: index of each term; weights: for each category those of terms, earlier categories, bias."""
 
     terms: dict[str, int]
-    abusive: list[int]
     weights: list[np.ndarray]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -49,15 +51,15 @@ class Chain:
 
     def rows(self, texts: list[str | None]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.terms)), np.float32)
+        firsts = {t.split(" ")[0] for t in self.terms if " " in t}
         for i, t in enumerate(texts):
-            for w in terms_of(t) & self.terms.keys():
+            words = _TERM.findall(t.lower()) if t else []
+            found = self.terms.keys() & set(words)
+            if firsts:
+                found |= {p for a, b in zip(words, words[1:]) if a in firsts and (p := f"{a} {b}") in self.terms}
+            for w in found:
                 x[i, self.terms[w]] = 1
-        return with_hits(x, self.abusive)
-
-
-def with_hits(x: np.ndarray, abusive: list[int]) -> np.ndarray:
-    """x with one more column: how many of the abusive terms are there, up to four."""
-    return np.column_stack([x, np.minimum(x[:, abusive].sum(1), 4)]).astype(np.float32)
+        return x
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -82,26 +84,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 12
     return w
 
 
-def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: np.ndarray, terms: dict[str, int], abusive: list[int]) -> Chain:
-    """Category by category: out-of-fold probabilities for the later ones, then the model over all rows."""
-    p, weights = np.zeros((len(x), 0)), []
-    for y in ys:
-        z, held = _with(x, p), np.full(len(x), float(y.mean()) if len(y) else 0.0)
-        for f in np.unique(folds):
+def categories(x: np.ndarray, y: np.ndarray, abusive: list[int]) -> list[np.ndarray]:
+    """The labels of CATEGORIES, from the flag y and the number of abusive terms."""
+    hits = x[:, abusive].sum(1)
+    return [y * (hits >= 1), y * (hits >= 2), y]
+
+
+@dataclass
+class View:
+    """The columns of x that one selection of terms has, and which of these are abusive."""
+
+    columns: list[int]
+    abusive: list[int]
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, names: list[str], whole: View, without: dict[int, View]) -> Chain:
+    """Category by category: out-of-fold probabilities for the later ones, then the model over all rows.
+
+    x: rows by all selected terms, named by names. A fold's probabilities come from models of the
+    other folds' rows over the terms (and categories) that these rows alone select.
+    """
+    weights: list[np.ndarray] = []
+    p = np.zeros((len(x), 0))
+    targets = {f: categories(x[:, v.columns], y, v.abusive) for f, v in without.items()}
+    for k, target in enumerate(categories(x[:, whole.columns], y, whole.abusive)):
+        held = np.full(len(x), float(target.mean()) if len(y) else 0.0)
+        for f, v in without.items():
             inside = folds != f
-            if inside.any():
-                held[~inside] = _sigmoid(z[~inside] @ fit_logistic(z[inside], y[inside]))
-        weights.append(fit_logistic(z, y))
+            if inside.any() and not inside.all():
+                z = _with(x[:, v.columns], p)
+                held[~inside] = _sigmoid(z[~inside] @ fit_logistic(z[inside], targets[f][k][inside]))
+        weights.append(fit_logistic(_with(x[:, whole.columns], p), target))
         p = np.column_stack([p, held])
-    return Chain(terms, abusive, weights)
+    return Chain({names[c]: i for i, c in enumerate(whole.columns)}, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: int = 256, n_folds: int = 5) -> Chain | None:
     """Fits the chain on at most max_rows labelled documents, those whose doc_id hashes lowest.
 
-    Terms are the max_terms words most tied to the label (z-score of the log odds, with at least
-    three documents), found by a distributed count. Rows with a null id, label or text are left
-    out. None if no row is left or all have one label.
+    Terms are the max_terms words or pairs of words most tied to the label (z-score of the log odds,
+    with at least three documents), found by a distributed count, once over all rows and once
+    without each fold. Repeated rows of an id weigh as further rows and share its fold. Rows with a
+    null id, label or text are left out. None if no row is left or all have one label.
     """
     picked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -124,28 +148,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_terms: i
         .mapInArrow(words, "h long, y int, words array<string>")
     )
     rows = materialize(rows, "toxicity-rows")
-    n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    if not n1 or not n0:
+    fold = F.pmod("h", F.lit(n_folds)).cast("int")
+    views = [None, *range(n_folds)]
+    in_view = {v: F.lit(True) if v is None else fold != v for v in views}
+    total = rows.agg(*[F.coalesce(F.sum(F.when(c, F.col("y") if k else 1 - F.col("y"))), F.lit(0)).alias(f"n{k}_{v}") for v, c in in_view.items() for k in (0, 1)]).first()
+    n = {v: (total[f"n1_{v}"], total[f"n0_{v}"]) for v in views}  # of y and of 1 - y
+    if not all(n[None]):
         return None
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-    ranked = (
-        rows.select(F.explode("words").alias("word"), "y").groupBy("word")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
-        .select("word", (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .orderBy(F.abs("z").desc(), "word").limit(max_terms).collect()
-    )
-    terms = {r.word: i for i, r in enumerate(ranked)}
-    abusive = [i for i, r in enumerate(ranked) if r.z > 3]
-    kept = F.array_intersect("words", F.array(*[F.lit(t) for t in terms])) if terms else F.array()
-    sample = rows.select("h", "y", kept.alias("words")).collect()  # max_rows rows of max_terms words at most
-    sample.sort(key=lambda r: r.h)
-    x, y = np.zeros((len(sample), len(terms)), np.float32), np.array([r.y for r in sample], float)
+    counts = rows.select(F.explode("words").alias("word"), "y", fold.alias("fold")).groupBy("word", "fold").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    counts = counts.groupBy("word").agg(*[F.sum(F.when(F.lit(True) if v is None else F.col("fold") != v, F.col(c))).alias(f"{c}_{v}") for v in views for c in "ab"])
+    counts = materialize(counts.where("a_None + b_None >= 3"), "toxicity-terms")
+    chosen: dict = {}
+    for v in views:  # one small job each
+        a, b = F.coalesce(f"a_{v}", F.lit(0)) + 0.5, F.coalesce(f"b_{v}", F.lit(0)) + 0.5
+        odds = F.log(a / (n[v][0] + 1 - a)) - F.log(b / (n[v][1] + 1 - b))
+        ranked = counts.where(a + b >= 4).select("word", (odds / F.sqrt(1 / a + 1 / b)).alias("z")).orderBy(F.abs("z").desc(), "word").limit(max_terms).collect()
+        chosen[v] = {r.word: r.z for r in ranked}
+    names = sorted(set().union(*chosen.values()))
+    at = {w: i for i, w in enumerate(names)}
+    kept = F.array_intersect("words", F.array(*[F.lit(t) for t in names])) if names else F.array()
+    sample = rows.select("h", "y", kept.alias("words")).collect()  # max_rows rows of the selected words
+    discard(counts, rows)
+    sample.sort(key=lambda r: (r.h, r.y, r.words))
+    x, y = np.zeros((len(sample), len(names)), np.float32), np.array([r.y for r in sample], float)
     for i, r in enumerate(sample):
-        x[i, [terms[w] for w in r.words]] = 1
-    hits = x[:, abusive].sum(1)
-    folds = np.array([r.h % n_folds for r in sample])
-    return fit_chain(with_hits(x, abusive), [y * (hits >= 1), y * (hits >= 2), y], folds, terms, abusive)
+        x[i, [at[w] for w in r.words]] = 1
+    of = {v: View([at[w] for w in sorted(c)], [i for i, w in enumerate(sorted(c)) if c[w] > 3]) for v, c in chosen.items()}
+    return fit_chain(x, y, np.array([r.h % n_folds for r in sample]), names, of.pop(None), of)
 
 
 def classify(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, with_row: bool = False) -> DataFrame:

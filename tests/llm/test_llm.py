@@ -561,12 +561,51 @@ def test_toxicity(spark):
 def test_out_of_fold_chain():
     rng = np.random.default_rng(0)
     x = (rng.random((400, 5)) < 0.3).astype(float)
-    y = x[:, 0]
-    chain = toxicity.fit_chain(x, [y, y * x[:, 1], y], rng.integers(0, 5, 400), {c: i for i, c in enumerate("abcde")}, [0])
+    y, folds = x[:, 0], rng.integers(0, 5, 400)
+    view = toxicity.View([0, 1, 2, 3, 4], [0, 1])
+    chain = toxicity.fit_chain(x, y, folds, list("abcde"), view, {f: view for f in range(5)})
     p = chain.predict(x)
     assert p.shape == (400, 3) and ((p[:, 2] > 0.5) == (y == 1)).mean() > 0.98
 
 
+def test_chain_without_the_folds_labels(spark):
+    """A term that only one fold's labels favour is no term of that fold's models, and noise labels are not learned out of fold."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefghijklmnop')}" for _ in range(12))) for i in range(400)]
+    labels = spark.createDataFrame([(i, rng.randrange(2)) for i, _ in rows] + [(None, 1), (5, None), (10**9, 1)], "doc_id long, toxic int")
+    seen, fit = {}, toxicity.fit_chain
+    toxicity.fit_chain = lambda x, y, folds, names, whole, without: (seen.update(x=x, y=y, folds=folds, without=without), fit(x, y, folds, names, whole, without))[1]
+    try:
+        toxicity.train(table(spark, [*rows, (5, None), (None, "wa wb")]), labels)
+    finally:
+        toxicity.fit_chain = fit
+    x, y, folds = seen["x"], seen["y"], seen["folds"]
+    assert len(x) == 400 and len(set(folds)) == 5
+    for f, view in seen["without"].items():
+        inside = folds != f
+        assert len(view.columns) > 50 and x[inside][:, view.columns].sum(0).min() >= 3
+    right = [((toxicity._sigmoid(toxicity._with(x[~(i := folds != f)][:, v.columns], np.zeros((int((~i).sum()), 0))) @ toxicity.fit_logistic(toxicity._with(x[i][:, v.columns], np.zeros((int(i.sum()), 0))), y[i])) > 0.5) == y[~i]).mean() for f, v in seen["without"].items()]
+    assert abs(np.mean(right) - 0.5) < 0.12  # chance
+
+
+def test_chain_rows_against_brute_force(spark):
+    """The distributed counts choose the terms that a plain count chooses, and prediction finds words and pairs."""
+    docs, labels = labelled(spark)
+    chain = toxicity.train(docs, labels, max_terms=40)
+    flag = {r.doc_id: r.toxic for r in labels.collect()}
+    sets = [(toxicity.terms_of(r.text), flag[r.doc_id]) for r in docs.collect() if r.text is not None and flag.get(r.doc_id) is not None]
+    n1 = sum(y for _, y in sets)
+    n0, count = len(sets) - n1, defaultdict(lambda: [0.5, 0.5])
+    for ws, y in sets:
+        for w in ws:
+            count[w][y] += 1
+    z = {w: (math.log(a / (n1 + 1 - a)) - math.log(b / (n0 + 1 - b))) / math.sqrt(1 / a + 1 / b) for w, (b, a) in count.items() if a + b >= 4}
+    assert set(chain.terms) == set(sorted(z, key=lambda w: (-abs(round(z[w], 12)), w))[:40])
+    texts = [r.text for r in docs.limit(50).collect()]
+    x = chain.rows(texts)
+    assert all({w for w, i in chain.terms.items() if x[k, i]} == chain.terms.keys() & toxicity.terms_of(t) for k, t in enumerate(texts))
+
+
 def test_quality_classifier(spark):
     docs, labels = labelled(spark)
     got = quality_classifier.classify(docs).join(labels, "doc_id").collect()
