@@ -37,6 +37,12 @@ def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, group: st
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def limit_ranks(hits: DataFrame, k: int) -> DataFrame:
+    """Hits of each qid ranked anew, by score and id, the first k."""
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl): one row for each term of a document."""
     d = docs.select(id_col, terms(F.col(text_col)).alias("terms"))

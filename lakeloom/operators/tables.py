@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +55,27 @@ def guarded_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame
     return spark.sql(sql, **tables)
 
 
+def fan_out(spark: SparkSession, sql: str, tables: dict[str, DataFrame | None]) -> DataFrame:
+    """The rows of one guarded statement with a {table} placeholder over each table, with its name; tables that fail are left out."""
+    every = None
+    for name, table in tables.items():
+        try:
+            one = guarded_sql(spark, sql, table=table).select(F.lit(name).alias("name"), "*")
+        except (ValueError, TypeError, AnalysisException, ParseException):
+            continue
+        every = one if every is None else every.unionByName(one)
+    if every is None:
+        raise ValueError("the statement failed on every table")
+    return every
+
+
+def describe_sheet(df: DataFrame, order: str, rows: int = 3) -> DataFrame:
+    """(name, kind, samples): each column's type and its values in the first rows by order."""
+    first = df.orderBy(order).limit(rows).agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*df.columns).alias("row")))).alias("r"))  # a few rows
+    cells = [F.struct(F.lit(c).alias("name"), F.lit(k).alias("kind"), F.expr(f"transform(r, x -> CAST(x.row.`{c}` AS string))").alias("samples")) for c, k in df.dtypes]
+    return first.select(F.inline(F.array(*cells)))
+
+
 def ddl(df: DataFrame, name: str) -> str:
     """CREATE TABLE with the types that the table is loaded with."""
     kinds = {"decimal(28,6)": "DECIMAL(28,6)", "double": "DOUBLE", "bigint": "BIGINT", "int": "INT"}

@@ -26,11 +26,12 @@ def local_session(app: str = "lakeloom", cpus: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, one of our own on a local master; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "lakeloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 

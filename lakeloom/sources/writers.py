@@ -32,9 +32,9 @@ def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Last write wins: of all rows of a key that with the greatest version."""
-    rn = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(version)))
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str, *ties: str) -> DataFrame:
+    """Last write wins: of all rows of a key that with the greatest version, then the greatest of ties."""
+    rn = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(version), *[F.desc(c) for c in ties]))
     return existing.unionByName(new).withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 

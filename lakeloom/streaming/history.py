@@ -35,9 +35,9 @@ def fold_history(spark: SparkSession, path: str, schema: str, checkpoint: str, s
         before = f"{state_path}/v{number - 1}"
         rows = batch.dropDuplicates(["id"])
         if number > 0:
-            rows = upsert(spark.read.parquet(before), rows, ["memory_id"], "created_at")
+            rows = upsert(spark.read.parquet(before), rows, ["memory_id"], "created_at", "id")
         else:
-            rows = upsert(rows.limit(0), rows, ["memory_id"], "created_at")
+            rows = upsert(rows.limit(0), rows, ["memory_id"], "created_at", "id")
         rows.write.mode("overwrite").parquet(f"{state_path}/v{number}")
         last[0] = number
 
