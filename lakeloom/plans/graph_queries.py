@@ -44,9 +44,9 @@ def _(t: Tables):
     return e.select("node1", "node2")
 
 
-@query("j1_ids_to_entities", f"WITH {X.ENTITIES}, ids AS (SELECT DISTINCT substr(sha256(n_name), 1, 32) AS node_id FROM nation WHERE n_nationkey % 3 = 0) SELECT ent.* FROM ent JOIN ids USING (node_id)")
+@query("j1_ids_to_entities", f"WITH {X.ENTITIES}, ids AS (SELECT DISTINCT substr(sha256(n_name), 1, 32) AS node_id FROM nation) SELECT ent.* FROM ent JOIN ids USING (node_id)")
 def _(t: Tables):
-    ids = t.nation.where("n_nationkey % 3 = 0").select(sha32(F.col("n_name")).alias("node_id")).distinct()
+    ids = t.nation.select(sha32(F.col("n_name")).alias("node_id")).distinct()
     return X.entities(t).join(ids, "node_id").select("node_id", "node_name", "type", "sub_type", "description")
 
 
@@ -177,7 +177,7 @@ def _(t: Tables):
     return D.merge_group(t.part.select("p_brand", F.col("p_type").alias("description"), F.array("p_size").alias("chunk_ids")), "p_brand")
 
 
-_ALIAS = "al AS (SELECT 'u' || (user_id % 60) AS a, 'u' || ((user_id % 60) // 4) AS b FROM events WHERE event_id % 3 = 0)"
+_ALIAS = "al AS (SELECT 'u' || (user_id % 60) AS a, 'u' || ((user_id % 60) // 4) AS b FROM events)"
 _CC = """RECURSIVE {al}, nb AS (SELECT a AS x, b AS y FROM al WHERE a <> b UNION SELECT b, a FROM al WHERE a <> b),
   reach(x, y) AS (SELECT x, x FROM nb UNION SELECT reach.x, nb.y FROM reach JOIN nb ON nb.x = reach.y),
   comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x)"""
@@ -185,7 +185,7 @@ _CC = """RECURSIVE {al}, nb AS (SELECT a AS x, b AS y FROM al WHERE a <> b UNION
 
 def _alias(t: Tables):
     u = (F.col("user_id") % 60).cast("long")
-    return t.events.where("event_id % 3 = 0").select(F.concat(F.lit("u"), u).alias("a"), F.concat(F.lit("u"), F.floor(u / 4)).alias("b"))
+    return t.events.select(F.concat(F.lit("u"), u).alias("a"), F.concat(F.lit("u"), F.floor(u / 4)).alias("b"))
 
 
 @query("a25_alias_components", f"""WITH {_CC.format(al=_ALIAS)} SELECT id AS name, (SELECT z.id FROM comp z WHERE z.component = comp.component ORDER BY length(z.id) DESC, z.id LIMIT 1) AS canonical FROM comp""")
@@ -193,11 +193,11 @@ def _(t: Tables):
     return G.alias_groups(_alias(t))
 
 
-@query("a26_overlap_groups", """WITH RECURSIVE s AS (SELECT DISTINCT doc_id % 90 AS set_id, substr(md5(text), 1, 2) AS member FROM documents WHERE doc_id % 11 = 0),
+@query("a26_overlap_groups", """WITH RECURSIVE s AS (SELECT DISTINCT doc_id % 90 AS set_id, substr(md5(text), 1, 2) AS member FROM documents WHERE text IS NOT NULL),
   nb AS (SELECT DISTINCT a.set_id AS x, b.set_id AS y FROM s a JOIN s b USING (member)), reach(x, y) AS (SELECT x, x FROM nb UNION SELECT reach.x, nb.y FROM reach JOIN nb ON nb.x = reach.y)
   SELECT x AS set_id, min(y) AS "group" FROM reach GROUP BY x""")
 def _(t: Tables):
-    s = t.documents.where("doc_id % 11 = 0").select((F.col("doc_id") % 90).alias("set_id"), F.substring(F.md5("text"), 1, 2).alias("member")).distinct()
+    s = t.documents.where("text IS NOT NULL").select((F.col("doc_id") % 90).alias("set_id"), F.substring(F.md5("text"), 1, 2).alias("member")).distinct()
     return G.overlap_groups(s)
 
 
@@ -379,9 +379,9 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.length(sanitize(F.col("text"))).alias("n"))
 
 
-@query("m27_cache_lookup", "SELECT user_id, list(event_type ORDER BY ts, event_id) AS kinds FROM events WHERE user_id % 10 = 0 GROUP BY user_id")
+@query("m27_cache_lookup", "SELECT user_id, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id")
 def _(t: Tables):
-    g = t.events.where("user_id % 10 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("k"))
+    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("k"))
     return g.select("user_id", F.transform("k", lambda x: x["event_type"]).alias("kinds"))
 
 

@@ -15,11 +15,11 @@ from lakeloom.sources import writers
 _COS = "(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))))"
 _DEG = "deg AS (SELECT node, count(*) AS degree FROM (SELECT node1 AS node FROM edges UNION ALL SELECT node2 FROM edges) GROUP BY node)"
 # entities of the graph memory: a nation has the vector of its key
-_NODES = f"q AS (SELECT b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id < 25), hit AS (SELECT n_name AS node, score FROM q JOIN nation ON n_nationkey = id ORDER BY score DESC, node LIMIT 5)"
+_NODES = f"q AS (SELECT b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0), hit AS (SELECT n_name AS node, score FROM q JOIN nation ON n_nationkey = id ORDER BY score DESC, node LIMIT 5)"
 
 
 def _hits(t: Tables):
-    v = t.embeddings.where("vec_id < 25").crossJoin(F.broadcast(X.query_vector(t)))
+    v = t.embeddings.crossJoin(F.broadcast(X.query_vector(t)))
     v = v.select(F.col("vec_id").cast("int").alias("n_nationkey"), F.round(cosine("embedding", "q"), 6).alias("score"))
     return R.top_k(v.join(t.nation, "n_nationkey").select(F.col("n_name").alias("node"), "score"), 5, F.desc("score"), F.col("node"))
 
@@ -50,9 +50,9 @@ def _(t: Tables):
     return X.entities(t).where("sub_type = 'AMERICA'").select("node_name")
 
 
-@query("j20_neighbour_pages", "SELECT a.page_id AS image, b.page_id AS page FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id - 1 AND a.page_id + 1 WHERE a.page_id % 5 = 0")
+@query("j20_neighbour_pages", "SELECT a.page_id AS image, b.page_id AS page FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id - 1 AND a.page_id + 1")
 def _(t: Tables):
-    near = t.pages.where("page_id % 5 = 0").select(F.col("page_id").alias("image"), F.explode(F.array(F.col("page_id") - 1, "page_id", F.col("page_id") + 1)).alias("page"))
+    near = t.pages.select(F.col("page_id").alias("image"), F.explode(F.array(F.col("page_id") - 1, "page_id", F.col("page_id") + 1)).alias("page"))
     return near.join(t.pages.select(F.col("page_id").alias("page")), "page")
 
 
@@ -97,9 +97,9 @@ def _(t: Tables):
     return t.documents.where("text <> '' AND doc_id IS NOT NULL").select(F.sha2("text", 256).alias("chunk_id"), "doc_id")
 
 
-@query("m16_multihop_union", "WITH u AS (SELECT doc_id % 50 AS id, 0 AS hop, doc_id AS pos FROM documents WHERE doc_id < 200 UNION ALL SELECT item_id, 1, item_id FROM benchmark) SELECT id, arg_min(hop, hop * 100000 + pos) AS hop FROM u GROUP BY id")
+@query("m16_multihop_union", "WITH u AS (SELECT doc_id % 50 AS id, 0 AS hop, doc_id AS pos FROM documents UNION ALL SELECT item_id, 1, item_id FROM benchmark) SELECT id, first(hop ORDER BY hop, pos) AS hop FROM u GROUP BY id")
 def _(t: Tables):
-    a = t.documents.where("doc_id < 200").select((F.col("doc_id") % 50).alias("id"), F.lit(0).alias("hop"), F.col("doc_id").alias("pos"))
+    a = t.documents.select((F.col("doc_id") % 50).alias("id"), F.lit(0).alias("hop"), F.col("doc_id").alias("pos"))
     u = a.unionByName(t.benchmark.select(F.col("item_id").alias("id"), F.lit(1).alias("hop"), F.col("item_id").alias("pos")))
     return R.first_occurrence(u, "id", "hop", "pos").select("id", "hop")
 
@@ -118,10 +118,10 @@ def _(t: Tables):
     return tasks.join(text, "task_id", "left").select("task_id", F.coalesce("text", "template").alias("q"))
 
 
-@query("m29_relation_chunks", "SELECT source, doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1)")
+@query("m29_relation_chunks", "SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1)")
 def _(t: Tables):
     chosen = t.embeddings.where("label = 1").select(F.col("vec_id").alias("doc_id"))
-    return t.documents.where("doc_id % 3 = 0").select("source", "doc_id").join(chosen, "doc_id", "left_anti").select("source", "doc_id")
+    return t.documents.select("source", "doc_id").join(chosen, "doc_id", "left_anti").select("source", "doc_id")
 
 
 @query("m31_consistency", "SELECT doc_id, quality = 0 AS failed FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

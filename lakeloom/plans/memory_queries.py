@@ -42,11 +42,11 @@ def _(t: Tables):
     return M.search(f, X.query_vector(t, 3), M.build_scope(user_id=1), 20, 0.05)
 
 
-@query("r13_inferred_ingest", f"""WITH s AS (SELECT a.vec_id AS f, b.vec_id AS m, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE a.vec_id % 20 = 0),
+@query("r13_inferred_ingest", f"""WITH s AS (SELECT a.vec_id AS f, b.vec_id AS m, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE a.vec_id % 100 = 0),
   x AS (SELECT f, max(score) AS score, arg_max(m, score) AS m FROM s GROUP BY f)
-  SELECT vec_id AS fact_id, CASE WHEN score >= 0.999 THEN 'NONE' WHEN score >= 0.3 THEN 'UPDATE' ELSE 'ADD' END AS event, CASE WHEN score >= 0.3 THEN m END AS memory_id FROM embeddings LEFT JOIN x ON f = vec_id WHERE vec_id % 20 = 0""")
+  SELECT vec_id AS fact_id, CASE WHEN score >= 0.999 THEN 'NONE' WHEN score >= 0.3 THEN 'UPDATE' ELSE 'ADD' END AS event, CASE WHEN score >= 0.3 THEN m END AS memory_id FROM embeddings LEFT JOIN x ON f = vec_id WHERE vec_id % 100 = 0""")
 def _(t: Tables):
-    new = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("q"), "label")
+    new = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("q"), "label")
     s = new.join(t.embeddings, "label").where("vec_id < fact_id").select("fact_id", F.col("vec_id").alias("memory_id"), F.round(cosine("q", "embedding"), 6).alias("score"))
     return M.decide(new.select("fact_id"), s, near=0.3)
 

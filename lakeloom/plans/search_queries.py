@@ -238,7 +238,7 @@ def _(t: Tables):
     return d.select("doc_id", "source", "cnt", F.row_number().over(W.partitionBy("source").orderBy(F.desc("cnt"), "doc_id")).alias("pos"))
 
 
-_GROUPS = "g AS (SELECT (doc_id % 7)::BIGINT AS grp, doc_id AS chunk_id, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 7 <> 2 OR doc_id < 10)"
+_GROUPS = "g0 AS (SELECT (CASE WHEN doc_id % 7 = 2 AND doc_id >= 10 THEN 0 ELSE doc_id % 7 END)::BIGINT AS grp, doc_id AS chunk_id FROM documents), g AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY chunk_id) AS rn FROM g0)"
 
 
 @query("w4_weighted_polling", f"""WITH {_GROUPS}, c AS (SELECT *, round_even(5.0::DOUBLE - grp / 6::DOUBLE * 4, 0)::BIGINT AS quota FROM g),
@@ -247,7 +247,7 @@ _GROUPS = "g AS (SELECT (doc_id % 7)::BIGINT AS grp, doc_id AS chunk_id, row_num
   b AS (SELECT grp, rn, chunk_id, 1 AS pass FROM (SELECT *, row_number() OVER (ORDER BY grp, rn) AS turn FROM c WHERE rn > quota), u WHERE turn <= spare)
   SELECT *, row_number() OVER (ORDER BY pass, grp, rn) AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
 def _(t: Tables):
-    d = t.documents.where("doc_id % 7 <> 2 OR doc_id < 10").select((F.col("doc_id") % 7).alias("grp"), F.col("doc_id").alias("chunk_id"))
+    d = t.documents.select(F.when(F.expr("doc_id % 7 = 2 AND doc_id >= 10"), F.lit(0)).otherwise(F.col("doc_id") % 7).alias("grp"), F.col("doc_id").alias("chunk_id"))
     d = d.withColumn("rn", F.row_number().over(W.partitionBy("grp").orderBy("chunk_id")))
     return R.weighted_polling(d, 7)
 
@@ -335,8 +335,8 @@ def _(t: Tables):
 
 @query("w11_best_match", f"""SELECT qid, vec_id, score FROM (SELECT a.vec_id AS qid, b.vec_id, round({_COS}, 6) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rn
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rn = 1""")
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rn = 1""")
 def _(t: Tables):
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
     p = t.embeddings.join(q, "label").where("qid <> vec_id").select("qid", "vec_id", F.round(cosine("embedding", "q"), 6).alias("score"))
     return p.groupBy("qid").agg(F.max_by(F.struct("vec_id", "score"), F.struct(F.col("score"), -F.col("vec_id"))).alias("b")).select("qid", "b.vec_id", "b.score")

@@ -25,7 +25,7 @@ _docs("f2_clean", "substr(coalesce(text, ''), 1, 80) AS t", lambda: [T.clean(F.c
 _docs("f5_sanitize", r"trim(regexp_replace(trim(text, ' '), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' ') AS t", lambda: [T.sanitize(F.col("text")).alias("t")])
 _docs("f6_split_markers", r"list_filter(list_transform(string_split_regex(text, '\. |, '), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts", lambda: [T.split_markers(F.col("text"), [". ", ", "]).alias("parts")])
 _docs("f7_preview", "CASE WHEN length(text) <= 250 THEN text ELSE substr(text, 1, 250) || '...' END AS p", lambda: [T.preview(F.col("text")).alias("p")])
-_docs("f8_is_float", "regexp_matches(substr(text, 1, 3), '^[-+]?[0-9]*\\.?[0-9]+$') AS f", lambda: [T.is_float(F.substring("text", 1, 3)).alias("f")])
+_docs("f8_is_float", "regexp_matches(text, '^[-+]?[0-9]*\\.?[0-9]+$') AS f", lambda: [T.is_float(F.col("text")).alias("f")])
 _docs("f8_is_float_whole", "regexp_matches(text, '^[-+]?[0-9]*\\.?[0-9]+$') AS f", lambda: [T.is_float(F.col("text")).alias("f")])
 _docs("f9_has_cjk", "regexp_matches(text, '[一-鿿]') AS c", lambda: [T.has_cjk(F.col("text")).alias("c")])
 _docs("f10_token_estimate", "floor(0 / 1.5 + length(text) / 4::DOUBLE)::INTEGER AS n", lambda: [T.estimate_tokens(F.col("text")).alias("n")])
@@ -123,12 +123,12 @@ def _(t: Tables):
     return C.semantic_chunks(t.documents)
 
 
-@query("c5_interval_overlap", """WITH o AS (SELECT lang AS source, doc_id AS old_id, (doc_id * 10) AS s, doc_id * 10 + n_chars % 40 AS e FROM documents), n AS (SELECT source, old_id + 1 AS new_id, s + 5 AS s, e + 9 AS e FROM o WHERE old_id % 5 = 0)
+@query("c5_interval_overlap", """WITH o AS (SELECT lang AS source, doc_id AS old_id, (doc_id * 10) AS s, doc_id * 10 + n_chars % 40 AS e FROM documents), n AS (SELECT source, old_id + 1 AS new_id, s + 5 AS s, e + 9 AS e FROM o)
   SELECT source, new_id, old_id FROM o JOIN n USING (source) WHERE o.e > n.s AND o.s < n.e""")
 def _(t: Tables):
     i = F.col("doc_id")
     o = t.documents.select(F.col("lang").alias("source"), i.alias("old_id"), (i * 10).alias("s"), (i * 10 + F.col("n_chars") % 40).alias("e"))
-    n = o.where("old_id % 5 = 0").select("source", (F.col("old_id") + 1).alias("new_id"), (F.col("s") + 5).alias("s"), (F.col("e") + 9).alias("e"))
+    n = o.select("source", (F.col("old_id") + 1).alias("new_id"), (F.col("s") + 5).alias("s"), (F.col("e") + 9).alias("e"))
     return C.interval_overlap(o, n)
 
 
@@ -226,9 +226,9 @@ def _(t: Tables):
     return t.documents.select("doc_id", *writers.pack_attributes(F.struct("lang"), F.array("lang", "source")))
 
 
-@query("k13_wiki_index", "SELECT lang AS category, '## ' || lang || chr(10) || string_agg('- [[' || source || ']] ' || title, chr(10) ORDER BY title) AS text FROM (SELECT lang, source, lpad(doc_id::VARCHAR, 6, '0') AS title FROM documents WHERE doc_id % 20 = 0) GROUP BY lang")
+@query("k13_wiki_index", "SELECT lang AS category, '## ' || lang || chr(10) || string_agg('- [[' || source || ']] ' || title, chr(10) ORDER BY title) AS text FROM (SELECT lang, source, lpad(doc_id::VARCHAR, 6, '0') AS title FROM documents) GROUP BY lang")
 def _(t: Tables):
-    p = t.documents.where("doc_id % 20 = 0").select(F.col("lang").alias("category"), F.col("source").alias("stem"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("title"))
+    p = t.documents.select(F.col("lang").alias("category"), F.col("source").alias("stem"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("title"))
     return writers.index_text(p)
 
 
