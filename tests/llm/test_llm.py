@@ -589,7 +589,7 @@ def test_chain_without_the_folds_labels(spark):
 
 
 def test_chain_rows_against_brute_force(spark):
-    """The distributed counts choose the terms that a plain count chooses, and prediction finds words and pairs."""
+    """The distributed counts choose the terms that a plain count chooses, and prediction finds words and beginnings."""
     docs, labels = labelled(spark)
     chain = toxicity.train(docs, labels, max_terms=40)
     flag = {r.doc_id: r.toxic for r in labels.collect()}
@@ -599,8 +599,8 @@ def test_chain_rows_against_brute_force(spark):
     for ws, y in sets:
         for w in ws:
             count[w][y] += 1
-    z = {w: (math.log(a / (n1 + 1 - a)) - math.log(b / (n0 + 1 - b))) / math.sqrt(1 / a + 1 / b) for w, (b, a) in count.items() if a + b >= 4}
-    assert set(chain.terms) == set(sorted(z, key=lambda w: (-abs(round(z[w], 12)), w))[:40])
+    z = {w: math.log(a / (n1 + 1 - a)) - math.log(b / (n0 + 1 - b)) - 2 * math.sqrt(1 / a + 1 / b) for w, (b, a) in count.items() if a + b >= 4}
+    assert set(chain.terms) == set(sorted(z, key=lambda w: (-round(z[w], 12), w))[:40])
     texts = [r.text for r in docs.limit(50).collect()]
     x = chain.rows(texts)
     assert all({w for w, i in chain.terms.items() if x[k, i]} == chain.terms.keys() & toxicity.terms_of(t) for k, t in enumerate(texts))
