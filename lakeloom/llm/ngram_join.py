@@ -37,6 +37,9 @@ FREQUENT, MOST_FREQUENT = 64, 2**20
 FLUSH_ROWS, SEEN = 1_000_000, 200_000
 #: Tokens or signatures a bucket holds on average, and members verified together against one set.
 BUCKET_ROWS, VERIFY_ROWS = 250_000, 256
+#: Words of 64 bits of the map of a set's tokens, which bounds how many two sets share.
+MAP_WORDS = 8
+_MAP = [f"m{i}" for i in range(MAP_WORDS)]
 #: Bits of a token that its bucket and the next 24 leave out, and the bucket's.
 _SHORT = 64 - 24
 #: Holders in a block when those of one signature are compared across components.
@@ -113,6 +116,14 @@ def _frequent(counted: DataFrame, often: int) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join([bytes(r.blob) for r in found]), np.uint64))
 
 
+def bit_map(tokens: np.ndarray) -> np.ndarray:
+    """64 * MAP_WORDS bits, set at the tokens' hashes, as signed words: a bit that only one of two sets has is a token that only it has."""
+    place = (mix(tokens) % np.uint64(64 * MAP_WORDS)).astype(np.int64)
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[place] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signatures of single rare tokens, signatures of pairs of frequent ones) of one set.
 
@@ -158,7 +169,7 @@ def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, bits: int, seen: set[int])
 
 
 def _pair_signatures(docs: DataFrame, frequent: Broadcast, bits: int) -> DataFrame:
-    """(sig, key) for each indexed pair of frequent tokens, and for each set one row (key, rest, end) without a sig.
+    """(sig, key) for each indexed pair of frequent tokens, and for each set one row (key, rest, end, bit map) without a sig.
 
     rest: the set's tokens after its prefix of rare ones; end: the last token of that prefix, as a
     signed number in the same order, the largest number where the prefix holds all rare tokens.
@@ -167,20 +178,22 @@ def _pair_signatures(docs: DataFrame, frequent: Broadcast, bits: int) -> DataFra
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in it:
-            keys, rests, ends = [], [], []
+            keys, rests, ends, maps = [], [], [], []
             for key, tokens, often in _sets_of(b, frequent.value, bits, seen):
                 one, two = prefix_signatures(tokens, often)
                 keys.append(key)
                 rests.append(len(tokens) - len(one))
                 ends.append(2**63 - 1 if often.sum() == rests[-1] else int(one[-1]) - 2**63)
+                maps.append(bit_map(tokens) if len(two) else None)
                 if len(two):
                     none = pa.nulls(len(two), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(np.full(len(two), key, np.int64)), none, none], names=["sig", "key", "rest", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), pa.array(np.full(len(two), key, np.int64)), none, none, *[none] * MAP_WORDS], names=["sig", "key", "rest", "end", *_MAP])
             none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(keys, pa.int64()), pa.array(rests, pa.int64()), pa.array(ends, pa.int64())], names=["sig", "key", "rest", "end"])
+            words = [pa.array([None if m is None else int(m[i]) for m in maps], pa.int64()) for i in range(MAP_WORDS)]
+            yield pa.RecordBatch.from_arrays([none, pa.array(keys, pa.int64()), pa.array(rests, pa.int64()), pa.array(ends, pa.int64()), *words], names=["sig", "key", "rest", "end", *_MAP])
         trim()
 
-    return docs.select("text").mapInArrow(run, "sig long, key long, rest long, end long")
+    return docs.select("text").mapInArrow(run, "sig long, key long, rest long, end long, " + ", ".join(f"{m} long" for m in _MAP))
 
 
 def _single_signatures(docs: DataFrame, frequent: Broadcast, bits: int, buckets: int) -> DataFrame:
@@ -320,11 +333,21 @@ def _sets_for(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
 
 
-def _side(postings: DataFrame, e: str, keep: list[str]) -> DataFrame:
+def _side(postings: DataFrame, e: str, keep: list) -> DataFrame:
     """Postings as one side, a or b, of a pair."""
     return postings.select(*keep, *[F.col(c).alias(x + e) for c, x in (("key", ""), ("n", "n"), ("rare", "r"), ("rest", "s"), ("end", "e"))])
 
 
+def _maps_allow() -> Column:
+    """Whether sets a and b can link by their bit maps: each shares at most its size less the bits that only it has."""
+
+    def most(x: str, y: str) -> Column:
+        own = sum((F.bit_count(F.col(m + x).bitwiseAND(F.bitwise_not(F.col(m + y)))) for m in _MAP), F.lit(0))
+        return F.col("n" + x).cast("long") - own
+
+    return (100 + PERCENT) * F.least(most("a", "b"), most("b", "a")) >= PERCENT * (F.col("na").cast("long") + F.col("nb"))
+
+
 def _with_leaders(postings: DataFrame) -> DataFrame:
     """_PAIR of each set with two leaders.
 
@@ -347,13 +370,17 @@ def _across(postings: DataFrame) -> DataFrame:
 
     The holders of a signature are dealt into blocks of about ACROSS_ROWS and every pair of blocks
     is a key of its own, so a frequent signature is many tasks' work; only pairs that the bound
-    allows leave the join. All single signatures that two parts share are here, so their count is exact.
+    allows leave the join. All single signatures that two parts share are here, so their count is
+    exact, and a pair that a signature of frequent tokens proposes needs to be looked at as one
+    that shares no rare token: if it shares any, a single signature proposes it as well. Such pairs
+    are held against the sets' bit maps too.
     """
     blocks = postings.groupBy("sig").agg(F.ceil(F.count("*") / ACROSS_ROWS).cast("int").alias("blocks"))
     p = postings.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = _side(p, "a", ["sig", "single", F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
-    right = _side(p, "b", ["sig", F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
-    pairs = left.join(right, ["sig", "i", "j"]).where("pa <> pb AND (i < j OR a < b)").withColumn("rest", _first_rest()).where(_may_link(F.least("ra", "rb")))
+    left = _side(p, "a", ["sig", "single", *[F.col(m).alias(m + "a") for m in _MAP], F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
+    right = _side(p, "b", ["sig", *[F.col(m).alias(m + "b") for m in _MAP], F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
+    pairs = left.join(right, ["sig", "i", "j"]).where("pa <> pb AND (i < j OR a < b)").withColumn("rest", _first_rest())
+    pairs = pairs.where(_may_link(F.when(F.col("single"), F.least("ra", "rb")).otherwise(0)) & (F.col("single") | _maps_allow()))
     first, last = F.col("a") < F.col("b"), {}
     for x in ("", "n"):
         last |= {x + "a": F.when(first, F.col(x + "a")).otherwise(F.col(x + "b")), x + "b": F.when(first, F.col(x + "b")).otherwise(F.col(x + "a"))}
@@ -385,10 +412,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     pairs_of = paired.where("sig IS NOT NULL").select("sig", "key").join(held, "sig")
     every = singles.withColumn("single", F.lit(True)).unionByName(pairs_of.distinct().withColumn("single", F.lit(False)))
     stats = own.where("n_shingles > 0").groupBy("key").agg(F.min("n_shingles").alias("n"))
-    stats = stats.join(paired.where("sig IS NULL").groupBy("key").agg(F.min("rest").alias("rest"), F.min("end").alias("end")), "key")
+    stats = stats.join(paired.where("sig IS NULL").groupBy("key").agg(F.min("rest").alias("rest"), F.min("end").alias("end"), *[F.min(m).alias(m) for m in _MAP]), "key")
     stats = stats.join(singles.groupBy("key").agg(F.count("*").alias("rare")), "key", "left").fillna(0, ["rare"])
     sizes = [F.col(c).cast("int").alias(c) for c in ("n", "rare", "rest")]
-    postings = materialize(every.join(stats, "key").select("sig", "single", "key", *sizes, "end"), "ngram-postings")
+    maps = [F.when(~F.col("single"), F.col(m)).alias(m) for m in _MAP]
+    postings = materialize(every.join(stats, "key").select("sig", "single", "key", *sizes, "end", *maps), "ngram-postings")
     discard(paired)
 
     first = materialize(_can_link(_with_leaders(postings), singles), "ngram-pairs")

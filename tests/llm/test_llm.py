@@ -175,6 +175,15 @@ def test_boilerplate_that_does_not_link(spark):
     assert got == components(rows)
 
 
+def test_bit_maps_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 300, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) * 3 // 4], rng.integers(0, 2**63, n // 3 + 1).astype(np.uint64)]))
+        own = np.bitwise_count((ngram_join.bit_map(a) & ~ngram_join.bit_map(b)).view(np.uint64)).sum()
+        assert len(a) - own >= len(np.intersect1d(a, b)) and ngram_join.bit_map(a).shape == (ngram_join.MAP_WORDS,)
+
+
 def test_prefix_signatures_meet():
     """Two sets over the threshold share a signature, whatever share of the tokens is frequent."""
     rng = np.random.default_rng(1)
