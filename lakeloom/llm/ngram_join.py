@@ -366,7 +366,7 @@ def _with_leaders(postings: DataFrame) -> DataFrame:
 
 
 def _across(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different parts that share a signature and may link; postings with part, of signatures in several parts.
+    """Pairs (a, b) of different parts that share a signature and may link; postings with part, block and blocks, of signatures in several parts.
 
     The holders of a signature are dealt into blocks of about ACROSS_ROWS and every pair of blocks
     is a key of its own, so a frequent signature is many tasks' work; only pairs that the bound
@@ -375,10 +375,8 @@ def _across(postings: DataFrame) -> DataFrame:
     that shares no rare token: if it shares any, a single signature proposes it as well. Such pairs
     are held against the sets' bit maps too.
     """
-    blocks = postings.groupBy("sig").agg(F.ceil(F.count("*") / ACROSS_ROWS).cast("int").alias("blocks"))
-    p = postings.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = _side(p, "a", ["sig", "single", *[F.col(m).alias(m + "a") for m in _MAP], F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
-    right = _side(p, "b", ["sig", *[F.col(m).alias(m + "b") for m in _MAP], F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
+    left = _side(postings, "a", ["sig", "single", *[F.col(m).alias(m + "a") for m in _MAP], F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
+    right = _side(postings, "b", ["sig", *[F.col(m).alias(m + "b") for m in _MAP], F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
     pairs = left.join(right, ["sig", "i", "j"]).where("pa <> pb AND (i < j OR a < b)").withColumn("rest", _first_rest())
     pairs = pairs.where(_may_link(F.when(F.col("single"), F.least("ra", "rb")).otherwise(0)) & (F.col("single") | _maps_allow()))
     first, last = F.col("a") < F.col("b"), {}
@@ -425,8 +423,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     discard(sets, singles)
     parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
     label = postings.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
-    mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("sig")
-    label = materialize(label.join(mixed, "sig").drop("component"), "ngram-left")
+    holders = F.ceil(F.count("*") / ACROSS_ROWS).cast("int").alias("blocks")
+    mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), holders).where("x < y").select("sig", "blocks")
+    label = label.join(mixed, "sig").drop("component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    label = materialize(label, "ngram-left")
     discard(postings, parts)
     across = materialize(_across(label).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
     sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
