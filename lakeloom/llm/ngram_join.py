@@ -44,6 +44,8 @@ _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SHORT = 64 - 24
 #: Holders in a block when those of one signature are compared across components.
 ACROSS_ROWS = 512
+#: Bits of the map of wanted documents: eight a document, within these bounds (32 MB at most, as it is broadcast).
+LEAST_PLACES, MOST_PLACES = 2**15, 2**28
 
 
 def _keys(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,10 +329,28 @@ def _can_link(pairs: DataFrame, singles: DataFrame) -> DataFrame:
     return p.where(_may_link(shared)).select("a", "b")
 
 
+def _near_wanted(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, text) of docs, without most of those whose doc_id is not in wanted, so that their texts are not shuffled.
+
+    A map has a bit for each hash of a wanted doc_id. It is of bounded size: where documents are
+    many for it, more that nobody wants pass, and the join that follows drops them.
+    """
+    places = min(MOST_PLACES, max(LEAST_PLACES, 1 << (8 * n_docs).bit_length()))
+    place = (F.pmod(F.xxhash64("doc_id"), F.lit(places).cast("long")) + 1).alias("place")
+    bits = wanted.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    d = docs.select("doc_id", "text", place)
+    d = d.select("doc_id", "text", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").cast("int").alias("at"))
+    of_bit = F.expr("shiftright(cast(conv(hex(substring(bits, at div 8 + 1, 1)), 16, 10) AS int), at % 8) & 1 = 1")
+    return d.join(F.broadcast(bits), "bucket").where(of_bit).select("doc_id", "text")
+
+
 def _sets_for(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
     """Token sets of the wanted(key), each read from one document that has it."""
     reps = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("doc_id")).join(wanted.distinct(), "key")
-    return materialize(_candidate_sets(docs, reps.select("doc_id", "key", "hi")), "ngram-tokens")
+    reps = materialize(reps.select("doc_id", "key", "hi"), "ngram-reps")
+    sets = materialize(_candidate_sets(_near_wanted(docs, reps, own.count()), reps), "ngram-tokens")
+    discard(reps)
+    return sets
 
 
 def _side(postings: DataFrame, e: str, keep: list) -> DataFrame:
