@@ -27,9 +27,10 @@ def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, group: st
 
     With a group column only vectors of the query's group compete, which prunes like the lists of
     an inverted-file index. The k best of each task come first (a partial window), then the k best overall.
+    Queries are broadcast only where Spark finds them small; more are met block by block.
     """
     if group is None:
-        both = vectors.crossJoin(F.broadcast(queries))
+        both = vectors.crossJoin(queries)
     else:
         both = vectors.join(queries, group)
     scored = both.select("qid", "vec_id", F.round(cosine("embedding", "q"), 6).alias("score")).where("score IS NOT NULL")
