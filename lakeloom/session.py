@@ -45,14 +45,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, on whatever file system it lies."""
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
+def written(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables below a folder whose writing was completed."""
+    files, where = _folder(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return [n for n in names if files.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1])]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing still to be computed reads, and let Spark drop shuffles no plan holds."""
     for df in tables:
         path = getattr(df, "materialized_at", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            remove(df.sparkSession, path)
     gc.collect()
     if tables:
         tables[0].sparkSession._jvm.System.gc()

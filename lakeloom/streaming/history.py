@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lakeloom.operators.memory import current_state
+from lakeloom.session import remove, written
 from lakeloom.sources.writers import upsert
 
 
@@ -28,7 +29,8 @@ def fold_history(spark: SparkSession, path: str, schema: str, checkpoint: str, s
     """Current state of history(id, memory_id, event, new_memory, created_at), merged batch by batch into a versioned table.
 
     Each batch writes the next version from the last one, so a batch that is run again after a
-    failure writes the same version.
+    failure writes the same version. The version before the last stays for that; older ones go. A
+    run that finds no new file gives the state of the last run; before any file it is empty.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -39,11 +41,13 @@ def fold_history(spark: SparkSession, path: str, schema: str, checkpoint: str, s
         else:
             rows = upsert(rows.limit(0), rows, ["memory_id"], "created_at", "id")
         rows.write.mode("overwrite").parquet(f"{state_path}/v{number}")
-        last[0] = number
+        remove(spark, f"{state_path}/v{number - 2}")
 
-    last = [-1]
     run_available(file_stream(spark, path, schema, 1), checkpoint, each)
-    return current_state(spark.read.parquet(f"{state_path}/v{last[0]}"))
+    versions = [int(n[1:]) for n in written(spark, state_path)]
+    if not versions:
+        return current_state(spark.createDataFrame([], schema))
+    return current_state(spark.read.parquet(f"{state_path}/v{max(versions)}"))
 
 
 def short_term(stream: DataFrame, k: int = 10) -> DataFrame:

@@ -191,8 +191,11 @@ def test_streams_equal_batches(spark, tmp_path):
     h = spark.createDataFrame(rows, "id long, memory_id long, event string, new_memory string").withColumn("created_at", F.timestamp_seconds("id"))
     h.repartitionByRange(4, "id").write.parquet(str(tmp_path / "in"))
     got = history.fold_history(spark, str(tmp_path / "in"), h.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "cp"), str(tmp_path / "state"))
-    want = memory.current_state(h)
-    assert {(r.memory_id, r.id) for r in got.collect()} == {(r.memory_id, r.id) for r in want.collect()}
+    want = {(r.memory_id, r.id) for r in memory.current_state(h).collect()}
+    assert {(r.memory_id, r.id) for r in got.collect()} == want
+    again = history.fold_history(spark, str(tmp_path / "in"), h.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "cp"), str(tmp_path / "state"))
+    assert {(r.memory_id, r.id) for r in again.collect()} == want  # no new file
+    assert len(list((tmp_path / "state").glob("v*"))) == 2
 
 
 def test_short_term_buffer(spark, tmp_path):
