@@ -175,6 +175,18 @@ def test_boilerplate_that_does_not_link(spark):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("kind, most", [("long", 2**28), ("string", 2**28), ("long", 2**15)])
+def test_wanted_documents_pass_the_map(spark, kind, most, monkeypatch):
+    """Every wanted document passes, few others do, and a full map lets more through but loses none."""
+    monkeypatch.setattr(ngram_join, "MOST_PLACES", most)
+    docs = spark.range(20_000).select(F.col("id").cast(kind).alias("doc_id"), F.lit("x").alias("text"))
+    wanted = docs.where("cast(doc_id AS long) % 50 = 0").select("doc_id")
+    passed = ngram_join._near_wanted(docs, wanted, 20_000)
+    assert passed.join(wanted, "doc_id", "left_semi").count() == 400
+    assert passed.count() < (480 if most > 2**15 else 800)
+    assert ngram_join._near_wanted(docs, wanted.limit(0), 20_000).count() == 0
+
+
 def test_bit_maps_bound_what_sets_share():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60, 300, 5000):
