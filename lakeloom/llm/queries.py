@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, embedding_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
+from lakeloom.llm import bpe, embedding_dedup, line_dedup, lm_scoring, merkle, mixing, ngram_join, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, whitening
 from lakeloom.llm.common import table
 
 
@@ -64,5 +64,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_secrets": op8_secrets, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op4_mixing": mixing.mixing_sql()}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.without_line_ends())
+    return m.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_ngram_join": op3_ngram_join, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_embedding_dedup": op6_embedding_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_secrets": op8_secrets, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules, "op11_line_dedup": op11_line_dedup, "op12_whitening": op12_whitening, "op13_merkle": op13_merkle}
+ORACLE_SQL = {"op4_mixing": mixing.mixing_sql(), "op11_line_dedup": line_dedup.line_dedup_sql(), "op13_merkle": merkle.manifest_sql()}
