@@ -56,6 +56,36 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it is not there."""
+    files, where = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers find it whole or not at all: under another name first, then renamed."""
+    files, where = _folder(spark, path)
+    aside = _folder(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(where, False)
+    if not files.rename(aside, where):
+        raise OSError(f"{path} could not be written")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """What put_text wrote, None where there is no such file."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def written(spark: SparkSession, path: str) -> list[str]:
     """Names of the tables below a folder whose writing was completed."""
     files, where = _folder(spark, path)
