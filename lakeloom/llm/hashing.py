@@ -54,6 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+# For windows of a fixed, short length, whose hashes follow from prefix sums.
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -65,6 +66,11 @@ def _power(which: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: A number for each byte at each of the first PLACES places of a word, as if drawn at random.
+PLACES = 64
+_AT = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its values; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,7 +95,11 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hash, text number) of the words of a chunk, A-Z lower-cased."""
+    """(starts, ends, hash, text number) of the words of a chunk, A-Z lower-cased.
+
+    A word's hash is the sum of unrelated numbers, one for each byte at its place, and not of powers
+    of one base, so that no regular pattern of letters gives two words the same.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z
@@ -99,9 +109,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1]
     after = np.concatenate([solid[1:], [False]]) & ~edge[1:]
     starts, ends = np.nonzero(solid & ~before)[0], np.nonzero(solid & ~after)[0] + 1
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[_LOWER[data]] * _power("up", _BASE, len(data)), dtype=np.uint64)])
-    h = (total[ends] - total[starts]) * _power("down", _INVERSE, len(data))[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * _M1)
+    sizes = ends - starts
+    place = np.nonzero(solid)[0] - np.repeat(starts, sizes)
+    value = _AT[(place % PLACES) * 256 + _LOWER[data[solid]]]
+    if len(far := np.nonzero(place >= PLACES)[0]):
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * _M1)
+    first = np.cumsum(sizes) - sizes
+    h = np.add.reduceat(value, first, dtype=np.uint64) if len(first) else np.zeros(0, np.uint64)
+    h = mix(h + sizes.astype(np.uint64) * _M1)
     return starts, ends, h, np.searchsorted(offsets, starts, "right") - 1
 
 
