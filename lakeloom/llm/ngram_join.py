@@ -31,8 +31,8 @@ from lakeloom.session import discard, materialize
 
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A token is frequent from this many sets on, or from a 2**20th of all tokens, so that there are at most 2**20.
-FREQUENT, MOST_FREQUENT = 64, 2**20
+#: A token is frequent from this many sets on, or from a 2**24th of all tokens (64 up to about 6 GB of text, 290 at 30 GB).
+FREQUENT, MOST_FREQUENT = 64, 2**24
 #: Tokens (and twice the signatures) a task gathers before it sends them, and sets it remembers so as to skip their copies.
 FLUSH_ROWS, SEEN = 1_000_000, 200_000
 #: Tokens or signatures a bucket holds on average, and members verified together against one set.
@@ -44,7 +44,7 @@ _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SHORT = 64 - 24
 #: Holders in a block when those of one signature are compared across components.
 ACROSS_ROWS = 512
-#: Bits of the map of wanted documents: eight a document, within these bounds (32 MB at most, as it is broadcast).
+#: Bits of the maps of wanted documents (eight each) and frequent tokens, within these bounds (32 MB at most, as they are broadcast).
 LEAST_PLACES, MOST_PLACES = 2**15, 2**28
 
 
@@ -103,8 +103,8 @@ def _sets(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, lo long, hi long, blob binary")
 
 
-def _frequent(counted: DataFrame, often: int) -> np.ndarray:
-    """Tokens, by their bucket and next 24 bits, that are in ``often`` distinct sets or more; sorted. MOST_FREQUENT at most."""
+def _frequent(counted: DataFrame, often: int, places: int) -> DataFrame:
+    """(place) in a map of that many bits of each token, by its bucket and next 24 bits, that is in ``often`` distinct sets or more."""
 
     def run(t: pa.Table) -> pa.Table:
         parts = [unsqueeze(b, np.uint8, np.uint32) for b in t.column("blob").to_pylist()]
@@ -112,10 +112,28 @@ def _frequent(counted: DataFrame, often: int) -> np.ndarray:
         token, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]), return_inverse=True)
         n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(token))
         kept = token[n >= often] | np.uint64(t.column("lo")[0].as_py() << 24)
-        return pa.table({"blob": pa.array([kept.tobytes()] if len(kept) else [], pa.binary())})
+        return pa.table({"place": pa.array(_places(kept, places))})
 
-    found = counted.select("lo", "blob").groupBy("lo").applyInArrow(run, "blob binary").collect()  # 8 bytes a token
-    return np.sort(np.frombuffer(b"".join([bytes(r.blob) for r in found]), np.uint64))
+    return counted.select("lo", "blob").groupBy("lo").applyInArrow(run, "place long")
+
+
+def _places(tokens: np.ndarray, places: int) -> np.ndarray:
+    return (mix(tokens) % np.uint64(places)).astype(np.int64)
+
+
+def _frequent_map(counted: DataFrame, total: int) -> np.ndarray:
+    """The map of frequent tokens, of bounded size: 16 bits or more for each there can be, 32 MB at most.
+
+    A rare token whose place is taken counts as frequent in every set alike, so no link is lost.
+    """
+    often = max(FREQUENT, total // MOST_FREQUENT)
+    places = min(MOST_PLACES, max(LEAST_PLACES, 1 << (16 * total // often).bit_length()))
+    at = _frequent(counted, often, places).select((F.col("place") + 1).alias("place"))
+    rows = at.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
+    out = np.zeros((places // (8 * 4096), 4096), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
 def bit_map(tokens: np.ndarray) -> np.ndarray:
@@ -160,8 +178,8 @@ def _sets_of(b: pa.RecordBatch, frequent: np.ndarray, bits: int, seen: set[int])
         tokens, at = shingles(data, offsets)
         lo, _ = _keys(tokens, at)
         short = tokens >> np.uint64(_SHORT - bits)
-        place = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
-        often = frequent[place] == short if len(frequent) else np.zeros(len(tokens), bool)
+        place = _places(short, 8 * len(frequent))
+        often = (frequent[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
         if len(seen) > SEEN:
             seen.clear()
         for i, key in enumerate(lo.tolist()):
@@ -421,7 +439,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     all_rows = materialize(_sets(docs, bits), "ngram-sets")
     own = materialize(all_rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("lo").alias("key"), "hi"), "ngram-own")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(all_rows.where("kind = 1"), max(FREQUENT, total // MOST_FREQUENT)))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_map(all_rows.where("kind = 1"), total))
     discard(all_rows)
     buckets = max(64, total // 4 // BUCKET_ROWS)
     singles = materialize(_shared_singles(_single_signatures(docs, frequent, bits, buckets), buckets), "ngram-singles")
