@@ -8,6 +8,7 @@ conditional: the first rule that holds gives the verdict, otherwise the document
 
 from __future__ import annotations
 
+import zlib
 import math
 from dataclasses import dataclass
 
@@ -156,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> list[Rule
     )
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")  # max_rows ids
     rows = counts(sample, keep=["quality"]).select("doc_id", "quality", *STATISTICS).collect()
-    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    number = lambda i: i if isinstance(i, int) else zlib.crc32(str(i).encode())
+    rows = sorted((r.asDict() for r in rows), key=lambda r: (number(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"]))
     return learn_rules([r | {"bad": r["quality"] == 0} for r in rows])
 
 
