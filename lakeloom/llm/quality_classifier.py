@@ -147,8 +147,9 @@ def classify(docs: DataFrame, max_rows: int = 4000, least: float = 0.5, keep: li
 
     Labellers are fitted on the vote patterns of all documents (at most 3 ** labellers counts);
     the scorer on at most max_rows documents, those whose doc_id hashes lowest. Null and empty
-    texts have no words, which a labeller calls bad; without any text with words there is no
-    model and scores are 0. Repeated rows get equal scores; an empty table gives no rows.
+    texts have no words, which a labeller calls bad, and are voted on and scored like any other; a
+    table of such texts alone gives scores near 0. Repeated rows get equal scores; an empty table
+    gives no rows.
     """
     rows = docs.select(F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0)).alias("h"), "text")
     total = docs.count()
