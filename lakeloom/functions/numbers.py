@@ -46,7 +46,8 @@ def years(first: int, last: int) -> Column:
     return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda y: y.cast("string"))
 
 
-def quarters(first_year: int, last_year: int, first: int = 1, last: int = 4) -> Column:
+def quarters(first_year: int | Column, last_year: int | Column, first: int | Column = 1, last: int | Column = 4) -> Column:
     """Array of labels YYYY Qn from a quarter to a quarter."""
-    n = F.sequence(F.lit(first_year * 4 + first - 1), F.lit(last_year * 4 + last - 1))
+    at = [F.lit(x) if isinstance(x, int) else x for x in (first_year, first, last_year, last)]
+    n = F.sequence(at[0] * 4 + at[1] - 1, at[2] * 4 + at[3] - 1)
     return F.transform(n, lambda q: F.concat(F.floor(q / 4).cast("string"), F.lit(" Q"), (q % 4 + 1).cast("string")))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import words
+from lakeloom.operators.scans import overlapping
 
 # Characters a window chunk may end after
 PUNCTUATION = ["。", ".", ",", "，", "!", "?", "！", "？", "\n"]
@@ -73,10 +74,10 @@ def window_chunks(docs: DataFrame, size: int = 1024, overlap: int = 50, compat:
     return d.select(id_col, "chunk_no", F.sha2("c.text", 256).alias("chunk_id"), "c.text", "c.token_start", "c.token_end")
 
 
-def interval_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of one source whose half-open ranges overlap: old(source, old_id, s, e), new(source, new_id, s, e)."""
+def interval_overlap(old: DataFrame, new: DataFrame, width: int = 64) -> DataFrame:
+    """Pairs of one source whose half-open ranges overlap: old(source, old_id, s, e), new(source, new_id, s, e). They meet in bins of width."""
     o = old.select("source", "old_id", F.col("s").alias("os"), F.col("e").alias("oe"))
-    return o.join(new, "source").where("oe > s AND os < e").select("source", "new_id", "old_id")
+    return overlapping(new.select("source", "new_id", "s", "e"), o, width).select("source", "new_id", "old_id")
 
 
 # Marks between sentences and clauses, the strongest first

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.chunking import PUNCTUATION
-from lakeloom.operators.scans import prefix_sums
+from lakeloom.operators.scans import overlapping, prefix_sums
 from lakeloom.session import materialize
 
 GAP = r"\x20\x09-\x0D"
@@ -31,19 +31,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def overlapping(new: DataFrame, old: DataFrame, width: int, group: str = "source") -> DataFrame:
-    """Pairs of new(group, s, e, ...) and old(group, os, oe, ...) of a group whose half-open ranges overlap, each once.
-
-    Ranges are dealt into the bins of width that they touch and meet there; a pair counts in the
-    bin where its overlap begins. Work goes with the overlaps of a bin, not with the group.
-    """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width))).alias("_bin")
-    n = new.where("e > s").select("*", bins("s", "e"))
-    o = old.where("oe > os").select("*", bins("os", "oe"))
-    met = n.join(o, [group, "_bin"]).where("oe > s AND os < e")
-    return met.where(F.floor(F.greatest("s", "os") / width) == F.col("_bin")).drop("_bin")
-
-
 class Cutter:
     """The rule of one step: windows of size tokens, cut after their last mark, overlap apart."""
 

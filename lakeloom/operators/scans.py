@@ -1,4 +1,4 @@
-"""Prefix sums of groups of any size."""
+"""Prefix sums and overlaps of ranges in groups of any size."""
 
 from __future__ import annotations
 
@@ -27,3 +27,16 @@ def prefix_sums(rows: DataFrame, group: str, order: list[str], value: Column) ->
     out = out.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
     out = out.withColumn("pos", F.col("_in") + F.col("_rows")).withColumn("before", F.col("_left") + F.col("_upto") - F.col("_value"))
     return out.drop("_value", "_part", "_group", "_of", "_rows", "_left", "_in", "_upto")
+
+
+def overlapping(new: DataFrame, old: DataFrame, width: int, group: str = "source") -> DataFrame:
+    """Pairs of new(group, s, e, ...) and old(group, os, oe, ...) of a group whose half-open ranges overlap, each once.
+
+    Ranges are dealt into the bins of width that they touch and meet there; a pair counts in the
+    bin where its overlap begins; an empty range overlaps one that it lies inside of. Work goes with the overlaps of a bin, not with the group.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / width))).alias("_bin")
+    n = new.where("e >= s").select("*", bins("s", "e"))
+    o = old.where("oe >= os").select("*", bins("os", "oe"))
+    met = n.join(o, [group, "_bin"]).where("oe > s AND os < e")
+    return met.where(F.floor(F.greatest("s", "os") / width) == F.col("_bin")).drop("_bin")

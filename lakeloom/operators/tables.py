@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +48,13 @@ def read_only(sql: str) -> bool:
     return bool(re.match(r"(select|with)\b", body, re.I)) and ";" not in body and not _WRITES.search(body)
 
 
+def read_only_column(sql: Column) -> Column:
+    """read_only for a column of statements, as one expression; a quote doubled inside quotes is two strings side by side."""
+    body = F.regexp_replace(sql, r"(?s)'[^']*+'|\"[^\"]*+\"|--[^\n]*+|/\*.*?\*/", " ")
+    body = F.regexp_replace(F.btrim(body, F.lit(" \t\n\x0b\x0c\r")), r";+$", "")
+    return F.coalesce(body.rlike(r"(?i)^(select|with)\b") & ~body.contains(";") & ~body.rlike(f"(?i){_WRITES.pattern}"), F.lit(False))
+
+
 def guarded_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """spark.sql with {name} placeholders for tables, after the guard."""
     if not read_only(sql):

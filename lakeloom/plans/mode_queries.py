@@ -189,24 +189,28 @@ def _(t: Tables):
 
 
 def _replies(t: Tables):
-    """A model's reply about each nation, as delimited tuples with noise around them."""
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    parts = ['("entity"<|>"', "n_name", '"<|>"Country"<|>"', "r_name", ' state")## noise ##("relationship"<|>"', "n_name", '"<|>"', "r_name", '"<|>"lies in"<|>"part"<|>', "n_nationkey", ")##(bad)##<|COMPLETE|>"]
-    return n.select("n_nationkey", F.concat(*[F.col(p) if p in n.columns else F.lit(p) for p in parts]).alias("reply"))
+    """A model's reply about each part, as delimited tuples with noise around them; what a reply holds differs from part to part."""
+    p = t.part
+    entity = F.concat(F.lit('("entity"<|>"'), "p_name", F.lit('"<|>"'), "p_brand", F.lit('"<|>"'), "p_type", F.lit(' of size '), F.col("p_size").cast("string"), F.lit('")'))
+    relation = F.concat(F.lit('("relationship"<|>"'), "p_name", F.lit('"<|>"'), "p_brand", F.lit('"<|>"made by"<|>"brand"<|>'), F.col("p_size").cast("string"), F.lit(")"))
+    k = F.col("p_partkey")
+    parts = [F.when(k % 2 == 0, F.lit("noise")), F.when(k % 3 > 0, entity), F.when(k % 5 == 0, F.lit("(bad)")), F.when(k % 4 > 0, relation), F.lit("<|COMPLETE|>")]
+    return p.select("p_partkey", F.concat_ws("##", *parts).alias("reply"))
 
 
-@query("f22_tuple_records", "SELECT n_nationkey, 3 AS n_records, [4, 6, 1] AS n_fields, n_name AS first_name FROM nation")
+@query("f22_tuple_records", """SELECT p_partkey, (p_partkey % 3 > 0)::INT + (p_partkey % 5 = 0)::INT + (p_partkey % 4 > 0)::INT AS n_records,
+  list_concat(CASE WHEN p_partkey % 3 > 0 THEN [4] ELSE [] END, list_concat(CASE WHEN p_partkey % 5 = 0 THEN [1] ELSE [] END, CASE WHEN p_partkey % 4 > 0 THEN [6] ELSE [] END)) AS n_fields FROM part""")
 def _(t: Tables):
     r = _replies(t).withColumn("r", rec.tuple_records(F.col("reply")))
-    return r.select("n_nationkey", F.size("r").alias("n_records"), F.transform("r", lambda x: F.size(x)).alias("n_fields"), F.col("r")[0][1].alias("first_name"))
+    return r.select("p_partkey", F.size("r").alias("n_records"), F.transform("r", lambda x: F.size(x)).alias("n_fields"))
 
 
-@query("p12_entity_tuples", "SELECT n_name AS name, 'country' AS type, r_name || ' state' AS description FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("p12_entity_tuples", "SELECT p_name AS name, lower(p_brand) AS type, p_type || ' of size ' || p_size AS description FROM part WHERE p_partkey % 3 > 0")
 def _(t: Tables):
     return _replies(t).select(F.inline(rec.entity_records(F.col("reply"))))
 
 
-@query("p13_relation_tuples", "SELECT n_name AS source, r_name AS target, 'part' AS keywords, 'lies in' AS description, n_nationkey::DOUBLE AS weight FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("p13_relation_tuples", "SELECT p_name AS source, p_brand AS target, 'brand' AS keywords, 'made by' AS description, p_size::DOUBLE AS weight FROM part WHERE p_partkey % 4 > 0")
 def _(t: Tables):
     return _replies(t).select(F.inline(rec.relation_records(F.col("reply"))))
 
@@ -521,7 +525,12 @@ def _(t: Tables):
     return readers.read_jsonl(t.spark, paths, "item_id long")
 
 
-@query("p10_sql_guard", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, false), (4, true), (5, false)) v(n, allowed)")
+@query("p10_sql_guard", "SELECT doc_id, doc_id % 6 IN (0, 2, 4) AS allowed FROM documents")
 def _(t: Tables):
-    cases = ["SELECT created_at FROM {t}", "DROP TABLE x", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT 1; SELECT 2", "SELECT 'delete' AS word", "select * from (delete from x)"]
-    return t.spark.createDataFrame([(n, T.read_only(sql)) for n, sql in enumerate(cases)], "n int, allowed boolean")
+    """Statements that a model might write around a document's text: data inside quotes is no keyword, keywords outside are."""
+    said = F.concat(F.lit("'"), F.replace(F.coalesce("text", F.lit("")), F.lit("'"), F.lit("''")), F.lit(" DELETE; x'"))
+    around = [("SELECT created_at FROM t WHERE x = ", ""), ("DELETE FROM t WHERE x = ", ""), ("with a AS (SELECT 1) SELECT ", " FROM a;"), ("SELECT ", "; SELECT 2"), ("select /* drop */ ", " as word"), ("select * from (delete from x) where y = ", "")]
+    sql = F.lit(None).cast("string")
+    for n, (before, after) in enumerate(around):
+        sql = F.when(F.col("doc_id") % 6 == n, F.concat(F.lit(before), said, F.lit(after))).otherwise(sql)
+    return t.documents.select("doc_id", T.read_only_column(sql).alias("allowed"))

@@ -54,34 +54,37 @@ def _(t: Tables):
     return names.crossJoin(F.broadcast(t.documents.agg(F.count_distinct(F.concat_ws("/", "lang", "source")).alias("path_count"))))
 
 
-# literal cases of text rules, where no table holds such text
-_CASES = {
-    "f3_clean_memory": (T.clean_memory, [(" a &lt;b&gt; &amp; c\x07 ", "a <b> & c")]),
-    "f4_normalize": (lambda c: T.normalize_extracted(c, True), [("中 文 （abc） — x", "中文(abc) - x"), ('"quoted"', "quoted"), ("“引”'号'", "引号")]),
-    "f11_slugify": (T.slugify, [("Hello,  World -- 2024!", "Hello-World-2024"), ("***", "page")]),
-    "f14_relation": (T.sanitize_relation, [("a/b (c)...", "a_slash_b _lparen_c_rparen_ellipsis"), ("knows", "knows")]),
-    "f12_front_matter": (lambda c: T.front_matter(c, "title"), [("---\ntitle: A page\ntags: x\n---\nbody [[Link]]", "A page"), ("no front", None)]),
-    "f12_wiki_links": (lambda c: F.array_join(T.wiki_links(c), ","), [("see [[A]] and [[B c]]", "A,B c")]),
-    "f36_number": (lambda c: N.to_number(c).cast("string"), [("1百万", "1000000.0"), ("1.5亿", "1.5E8"), ("2.3 million", "2300000.0"), ("1.2B", "1.2E9"), ("1,234", "1234.0"), ("苹果公司", None)]),
-    "f37_market_cap": (lambda c: N.format_market_cap(c.cast("double")), [("2e12", "2.00 万亿美元"), ("3.5e9", "35.00 亿美元"), ("2e6", "2.00 百万美元"), ("12.345", "12.35 美元")]),
-    "f1_mixed_tokens": (lambda c: F.array_join(T.mixed_tokens(c), "|"), [("hello 世界你好 x1", "hello|世界|界你|你好|x1")]),
-}
-
-
-def _literal_query(name: str, rule, cases: list) -> None:
-    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quoted(want)})" for i, (_, want) in enumerate(cases))
-    sql = f"SELECT * FROM (VALUES {rows}) AS v(i, out)"
-
-    def plan(t: Tables):
-        df = t.spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
-        return df.select("i", rule(F.col("x")).alias("out"))
-
-    query(name, sql)(plan)
-
-
-for _name, (_rule, _list) in _CASES.items():
-    _literal_query(_name, _rule, _list)
+def _over(name: str, table: str, key: str, sql: str, column) -> None:
+    """A query of one expression over a table, with the table's key."""
+    query(name, f"SELECT {key}, {sql} AS out FROM {table}")(lambda t: getattr(t, table).select(key, column().alias("out")))
+
+
+def _text(*parts):
+    """Columns by name; what starts with ' is a literal."""
+    return F.concat(*[F.lit(p[1:]) if p.startswith("'") else F.col(p).cast("string") for p in parts])
+
+
+_UNIT_CASES = [("百万", 1e6), ("亿", 1e8), (" million", 1e6), ("B", 1e9), ("k", 1e3), (" 万亿", 1e12)]
+_REPLACED = "p_brand || '/' || p_type || ' (' || p_size || ')...' || p_name || '？'"
+for _old, _new in T.RELATION_NAMES:
+    _REPLACED = f"replace({_REPLACED}, '{_old.replace(chr(39), chr(39) * 2)}', '{_new}')"
+_CLEAN = "html"
+for _old, _new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_old.replace('#39', '#39')}', '{_new}')"
+_SLUG = "regexp_replace(substr(text, 1, 60), '[^\\p{L}\\p{N}\\-_ ]', '', 'g')"
+_SLUG = f"regexp_replace(trim(regexp_replace(trim({_SLUG}, ' '), ' +', '-', 'g'), '-'), '-{{2,}}', '-', 'g')"
+
+_over("f3_clean_memory", "pages", "page_id", rf"md5(regexp_replace(trim({_CLEAN}, ' '), '[\x00-\x1f\x7f-\x9f]', '', 'g'))", lambda: F.md5(T.clean_memory(F.col("html"))))
+_over("f4_normalize", "documents", "doc_id", "'中文(' || source || ') - ' || lang || '-' || doc_id", lambda: T.normalize_extracted(_text("'\"中 文 （", "source", "'） — ", "lang", "'－", "doc_id", "'\""), True))
+_over("f11_slugify", "documents", "doc_id", f"CASE WHEN {_SLUG} = '' THEN 'page' ELSE {_SLUG} END", lambda: T.slugify(F.substring("text", 1, 60)))
+_over("f14_relation", "part", "p_partkey", f"trim(regexp_replace({_REPLACED}, '_+', '_', 'g'), '_')", lambda: T.sanitize_relation(_text("p_brand", "'/", "p_type", "' (", "p_size", "')...", "p_name", "'？")))
+_over("f12_front_matter", "documents", "doc_id", "CASE WHEN doc_id % 3 > 0 THEN source || ' ' || doc_id END", lambda: T.front_matter(F.when(F.col("doc_id") % 3 > 0, _text("'---\ntags: x\ntitle: ", "source", "' ", "doc_id", "'\n---\n", "text")).otherwise(_text("'title: no\n---\n", "text")), "title"))
+_over("f12_wiki_links", "documents", "doc_id", r"regexp_extract_all('[[' || source || ']] ' || replace(text, ' the ', ' [[the|x]] ') || ' [[]] [[' || lang || ' y]]', '\[\[([^\]]+)\]\]', 1)", lambda: T.wiki_links(F.concat(F.lit("[["), F.col("source"), F.lit("]] "), F.replace("text", F.lit(" the "), F.lit(" [[the|x]] ")), F.lit(" [[]] [["), F.col("lang"), F.lit(" y]]"))))
+_over("f36_number", "part", "p_partkey", "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN p_size * {f!r}::DOUBLE" for i, (_, f) in enumerate(_UNIT_CASES)) + " WHEN 6 THEN p_partkey * 1000::DOUBLE END", lambda: N.to_number(
+    F.when(F.col("p_partkey") % 8 < 6, F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*[F.lit(u) for u, _ in _UNIT_CASES]), (F.least(F.col("p_partkey") % 8, F.lit(5)) + 1).cast("int")))).when(F.col("p_partkey") % 8 == 6, _text("p_partkey", "',000")).otherwise(F.col("p_name"))))
+_CAP = "(floor(o_totalprice) * 10 + 1) * pow(10, o_orderkey % 9)"
+_over("f37_market_cap", "orders", "o_orderkey", f"CASE WHEN {_CAP} >= 1e12 THEN printf('%.2f', {_CAP} / 1e12) || ' 万亿美元' WHEN {_CAP} >= 1e8 THEN printf('%.2f', {_CAP} / 1e8) || ' 亿美元' WHEN {_CAP} >= 1e6 THEN printf('%.2f', {_CAP} / 1e6) || ' 百万美元' ELSE printf('%.2f', {_CAP}) || ' 美元' END", lambda: N.format_market_cap((F.floor("o_totalprice") * 10 + 1) * F.pow(F.lit(10.0), F.col("o_orderkey") % 9)))
+_over("f1_mixed_tokens", "documents", "doc_id", f"'世界|界你|你好|' || array_to_string({_WORDS}, '|') || '|' || source || '|中'", lambda: F.array_join(T.mixed_tokens(_text("'世界你好", "text", "' ", "source", "'中")), "|"))
 
 
 @query("f36_number_parts", "SELECT p_partkey, p_size * 1000000.0::DOUBLE AS num FROM part")
@@ -89,9 +92,12 @@ def _(t: Tables):
     return t.part.select("p_partkey", N.convert_number(F.concat(F.col("p_size").cast("string"), F.lit(" Million")))["num"].alias("num"))
 
 
-@query("f40_periods", "SELECT (2020 + i // 4)::VARCHAR || ' Q' || (i % 4 + 1)::VARCHAR AS period FROM (SELECT unnest(range(1, 11)) AS i)")
+@query("f40_periods", """SELECT c, (n // 4)::VARCHAR || ' Q' || (n % 4 + 1)::VARCHAR AS period FROM (SELECT c, unnest(range(a, b + 1)) AS n FROM (
+  SELECT o_custkey AS c, min(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) AS a, max(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) AS b FROM orders GROUP BY 1))""")
 def _(t: Tables):
-    return t.spark.range(1).select(F.explode(N.quarters(2020, 2022, 2, 3)).alias("period"))
+    """The quarters from each customer's first order to the last."""
+    span = t.orders.groupBy(F.col("o_custkey").alias("c")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return span.select("c", F.explode(N.quarters(F.year("a"), F.year("b"), F.quarter("a"), F.quarter("b"))).alias("period"))
 
 
 @query("f41_epoch", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")

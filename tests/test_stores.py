@@ -12,7 +12,7 @@ from lakeloom.operators import rechunking
 from lakeloom.operators.chunking import window_spans
 from lakeloom.operators.entity_merge import EntityStore
 from lakeloom.operators.graph_store import GraphStore
-from lakeloom.operators.scans import prefix_sums
+from lakeloom.operators.scans import overlapping, prefix_sums
 from lakeloom.operators.vector_index import VectorIndex, split
 from lakeloom.sources.keyed import KeyedTable, logged
 
@@ -129,8 +129,8 @@ def test_overlapping_ranges_meet_once(spark):
     rng = random.Random(2)
     make = lambda k, n: [(rng.choice("ab"), i + k, s := rng.randrange(300), s + rng.randrange(60)) for i in range(n)]
     new, old = make(0, 80), make(1000, 120)
-    got = rechunking.overlapping(spark.createDataFrame(new, "source string, n int, s int, e int"), spark.createDataFrame(old, "source string, o int, os int, oe int"), 13)
-    want = sorted((g, n, o) for g, n, s, e in new for h, o, a, b in old if g == h and s < e and a < b and b > s and a < e)
+    got = overlapping(spark.createDataFrame(new, "source string, n int, s int, e int"), spark.createDataFrame(old, "source string, o int, os int, oe int"), 13)
+    want = sorted((g, n, o) for g, n, s, e in new for h, o, a, b in old if g == h and b > s and a < e)
     assert sorted((r.source, r.n, r.o) for r in got.collect()) == want
 
 
