@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.text import sanitize, sha32
 from lakeloom.functions.vectors import cosine
+from lakeloom.plans.components import connected_components
 from lakeloom.session import discard, materialize
 
 
@@ -111,3 +112,24 @@ def agglomerate(vectors: DataFrame, batch: str, threshold: float = 0.85) -> Data
 
     kinds = dict(vectors.dtypes)
     return vectors.select(batch, "vec_id", "embedding").groupBy(batch).applyInPandas(run, f"batch {kinds[batch]}, vec_id {kinds['vec_id']}, cluster {kinds['vec_id']}")
+
+
+def agglomerate_parts(vectors: DataFrame, batch: str, threshold: float = 0.85) -> DataFrame:
+    """agglomerate, a connected part of each batch at a time: (batch, vec_id, cluster).
+
+    Clusters merge only while their average distance is at most 1 - threshold, so some two of their
+    members are that near: no cluster reaches beyond a part of the graph of near pairs. The pairs
+    come from a join in which each task keeps what is near, parts from a search over tables, and
+    the matrix that a task holds is that of one part.
+    """
+    v = vectors.select(batch, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    near = 1 - (1 - threshold) ** 2 / 2 - 1e-9  # a cosine; a pair too many costs nothing
+    side = lambda n: v.select(batch, F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}"))
+    pairs = side("a").join(side("b"), batch).where("a < b").where(cosine("va", "vb") >= near).select("a", "b")
+    parts = connected_components(pairs).withColumnRenamed("id", "vec_id")
+    named = materialize(v.join(parts, "vec_id", "left").withColumn("part", F.coalesce("component", "vec_id")), "near-parts")
+    alone = named.where("component IS NULL").select(F.col(batch).alias("batch"), "vec_id", F.col("vec_id").alias("cluster"))
+    joined = named.where("component IS NOT NULL").select("part", "vec_id", "embedding")
+    inside = agglomerate(joined, "part", threshold).select("vec_id", "cluster")
+    back = named.where("component IS NOT NULL").select(F.col(batch).alias("batch"), "vec_id").join(inside, "vec_id")
+    return back.select("batch", "vec_id", "cluster").unionByName(alone)

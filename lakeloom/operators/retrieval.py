@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,15 +53,20 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, all_terms: bool = False) -> DataFrame:
+def _times(word: str) -> Column:
+    return F.size(F.filter("terms", lambda t: t == word))
+
+
+def bm25(docs: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, all_terms: bool = False, tokens: Callable[[Column], Column] = terms) -> DataFrame:
     """(id, score, matched): BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); all_terms keeps conjunctive matches.
 
     Term frequencies are counted by array filters on the scan, so only the query's terms are
-    ever exploded; collection figures are one aggregate row, joined by broadcast.
+    ever exploded; collection figures are one aggregate row, joined by broadcast. tokens cuts a
+    text, for one by a learned segmenter.
     """
     wanted = sorted(set(query_terms))
-    d = docs.select(id_col, terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    d = d.select(id_col, F.size("terms").alias("dl"), *[F.expr(f"size(filter(terms, t -> t = '{w}'))").alias(f"tf{i}") for i, w in enumerate(wanted)])
+    d = docs.select(id_col, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    d = d.select(id_col, F.size("terms").alias("dl"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     one = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
     d = d.where(" OR ".join(f"tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(one))  # one row
     score, matched = F.lit(0.0), F.lit(0)
