@@ -1,4 +1,4 @@
-"""Queries of stored structures: the vector index, chunks cut anew by source, a graph that follows its documents, entities merged batch by batch."""
+"""Queries of stored structures: the vector and the full-text index, chunks cut anew by source, a graph that follows its documents, entities merged batch by batch."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import terms
 from lakeloom.operators.entity_merge import EntityStore
 from lakeloom.operators.graph_store import GraphStore
 from lakeloom.operators.rechunking import rechunk, rechunk_sql
+from lakeloom.operators.text_index import TextIndex
 from lakeloom.operators.vector_index import VectorIndex
+from lakeloom.plans import fixtures as X
 from lakeloom.plans.registry import Tables, query
 from lakeloom.session import materialize, shared_dir
 from lakeloom.streaming.history import file_stream, run_available
@@ -124,3 +127,26 @@ def _(t: Tables):
 
     run_available(file_stream(t.spark, source, "name string, description string, chunk_ids array<string>, b string", 1), fresh(t, "checkpoint"), each)
     return store.entities.read().select("label", "description", F.array_join("chunk_ids", ",").alias("chunk_ids"), "records")
+
+
+@query("f19_bm25_index", f"WITH {X.bm25_cte()} SELECT doc_id, score, matched FROM bm25")
+def _(t: Tables):
+    """The search of f19_bm25 over a stored index, whose documents came in two batches, one of them twice."""
+    index = TextIndex(t.spark, fresh(t, "text-index"), 16)
+    for batch in (0, 1, 1):
+        index.insert(t.documents.where(F.col("doc_id") % 2 == batch), batch)
+    asked = t.spark.createDataFrame([(0, w) for w in X.SEARCH], "qid int, term string")
+    return index.search(asked).select(F.col("id").alias("doc_id"), "score", "matched")
+
+
+@query("f19_bm25_batch", f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({X.TERMS}) AS term FROM documents) GROUP BY ALL),
+  d AS (SELECT doc_id, len({X.TERMS}) AS dl FROM documents), one AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  q AS (SELECT DISTINCT item_id, unnest({X.TERMS}) AS term FROM benchmark),
+  s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), one GROUP BY item_id, doc_id)
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
+def _(t: Tables):
+    """Every benchmark text as a query, all at once."""
+    index = TextIndex(t.spark, fresh(t, "text-index"), 16)
+    index.insert(t.documents)
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.explode(terms(F.col("text"))).alias("term"))
+    return index.search(asked, 5).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")

@@ -12,7 +12,9 @@ from lakeloom.operators import rechunking
 from lakeloom.operators.chunking import window_spans
 from lakeloom.operators.entity_merge import EntityStore
 from lakeloom.operators.graph_store import GraphStore
+from lakeloom.operators.retrieval import bm25
 from lakeloom.operators.scans import overlapping, prefix_sums
+from lakeloom.operators.text_index import TextIndex
 from lakeloom.operators.vector_index import VectorIndex, split
 from lakeloom.sources.keyed import KeyedTable, logged
 
@@ -87,6 +89,29 @@ def test_estimates_are_products_with_coded_vectors(spark, folder):
     assert split(np.ones((2, 10)), 4).shape == (2, 4, 3)
 
 
+def test_text_index_equals_the_scan(spark, folder):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(300)] + [(300, None), (301, "W1 w1, w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = TextIndex(spark, folder, 8)
+    for batch in (0, 1, 2, 1):
+        index.insert(df.where(F.col("doc_id") % 3 == batch), batch)
+    index.insert(spark.createDataFrame([(None, "w1")], "doc_id long, text string"), 3)
+    queries = {1: ["w1", "w2", "w2"], 2: ["w3"], 3: ["nowhere"], 4: [f"w{i}" for i in range(8)]}
+    asked = spark.createDataFrame([(q, w) for q, ws in queries.items() for w in ws] + [(5, None)], "qid int, term string")
+    for pushed in (200, 3):
+        got = {(r.qid, r.id): (r.score, r.matched) for r in index.search(asked, most_pushed=pushed).collect()}
+        for q, ws in queries.items():
+            assert {i: v for (n, i), v in got.items() if n == q} == {r.doc_id: (r.score, r.matched) for r in bm25(df, ws).collect()}
+    both = index.search(asked, all_terms=True).where("qid = 1").collect()
+    assert {r.id for r in both} == {r.doc_id for r in bm25(df, ["w1", "w2"], all_terms=True).collect()}
+    top = index.search(asked, 3).where("qid = 4").orderBy("rank").collect()
+    assert [r.id for r in top] == [r.doc_id for r in bm25(df, queries[4]).orderBy(F.desc("score"), "doc_id").limit(3).collect()]
+    plan = index.search(asked.where("qid = 2"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [" in plan and "In(term" in plan or "EqualTo(term,w3)" in plan
+
+
 # --- re-chunking
 
 
