@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.functions.numbers import to_number
 from lakeloom.functions.vectors import cosine
 from lakeloom.operators.graph import merge_edges, merge_nodes, remap
 
@@ -121,3 +122,45 @@ def newest(tasks: DataFrame, ts: str, key: str, max_age: str, most: int) -> Data
     last = tasks.agg(F.max(ts).alias("_last"))
     t = tasks.crossJoin(F.broadcast(last)).where(F.col(ts) >= F.col("_last") - F.expr(f"INTERVAL {max_age}")).drop("_last")  # one row
     return t.orderBy(F.desc(ts), F.desc(key)).limit(most)
+
+
+def delete_vectors(vectors: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """vectors(vid, ...) without those of the entities names(name) and of the relations pairs(a, b), whichever way round these were stored."""
+    rel = lambda x, y: F.concat(F.lit("rel-"), F.md5(F.concat(x, y)))
+    gone = names.select(F.concat(F.lit("ent-"), F.md5("name")).alias("vid")).unionByName(pairs.select(F.explode(F.array(rel("a", "b"), rel("b", "a"))).alias("vid")))
+    return vectors.join(gone.distinct(), "vid", "left_anti")
+
+
+def insert_custom(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored chunks, nodes and edges of a graph that a user supplies.
+
+    chunks(source_id, content), entities(name, type, description, source_id), relations(a, b,
+    description, keywords, weight, source_id). A source_id becomes the id of the chunk that was
+    given under it ('chunk-' and the content's MD5; the least of several), UNKNOWN if there is
+    none. Ends of relations that are no entity become UNKNOWN nodes, described by the relation that
+    names them first in code-point order.
+    """
+    stored = chunks.select("source_id", "content", F.concat(F.lit("chunk-"), F.md5(F.coalesce("content", F.lit("")))).alias("chunk_id"))
+    ids = stored.groupBy("source_id").agg(F.min("chunk_id").alias("chunk_id"))
+
+    def mapped(df: DataFrame) -> DataFrame:
+        return df.join(ids, "source_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", F.lit("UNKNOWN"))).drop("source_id")
+
+    nodes, edges = mapped(entities).select("name", "type", "description", "chunk_id"), mapped(relations)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("name"), "description", "chunk_id").join(entities.select("name").distinct(), "name", "left_anti")
+    first = ends.groupBy("name").agg(F.min(F.struct("description", "chunk_id")).alias("f"))
+    unknown = first.select("name", F.lit("UNKNOWN").alias("type"), "f.description", "f.chunk_id")
+    return stored.select("chunk_id", "content").distinct(), nodes.unionByName(unknown), edges
+
+
+def task_answers(tasks: DataFrame, hits: DataFrame, least: float, missing: str = "未找到") -> DataFrame:
+    """(task_id, answer, number) of tasks(task_id): the answer of the best of hits(task_id, id, score, answer) with a score of least or more.
+
+    A hit that says ``missing`` answers nothing; an answer that is a number with or without a unit
+    is given as a number too. A task without a hit has a blank answer.
+    """
+    good = hits.where(F.col("score") >= least)
+    best = good.groupBy("task_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "answer"))["answer"].alias("answer"))
+    a = tasks.select("task_id").join(best, "task_id", "left")
+    said = F.coalesce(F.when(~F.col("answer").contains(missing), F.trim("answer")), F.lit(""))
+    return a.select("task_id", said.alias("answer")).withColumn("number", to_number(F.col("answer")))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeloom.operators import upkeep as K
+from lakeloom.operators.retrieval import vector_top_k_batch
 from lakeloom.operators.wiki import Wiki, lint
 from lakeloom.plans.registry import Tables, query
 from lakeloom.plans.store_queries import fresh
 from lakeloom.session import materialize
+from lakeloom.sources.writers import wipe_dataset
 from lakeloom.streaming.queue import DocumentQueue
 
 
@@ -98,3 +101,75 @@ def _(t: Tables):
     """The same edits, held in a working copy."""
     wiki, edits = _wiki(t)
     return lint(wiki.preview(wiki.work(edits)))
+
+
+@query("m31_repair", "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 4 = 1 THEN 'FAILED' ELSE 'PENDING' END AS status, doc_id % 2 = 0 AS has_content FROM documents WHERE doc_id % 2 = 0 OR doc_id % 4 = 1")
+def _(t: Tables):
+    """Half of the documents have lost their content; of these the failed ones keep their status."""
+    queue = DocumentQueue(t.spark, fresh(t, "queue"), 8)
+    d = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (F.col("doc_id") % 4).alias("k"))
+    none = F.lit(None).cast("string")
+    status = d.select("doc_id", F.when(F.col("k") == 1, "FAILED").otherwise("PENDING").alias("status"), F.lit(1).alias("attempts"), F.lit(0).cast("long").alias("updated"), none.alias("error"), none.alias("round"), F.lit(False).alias("gone"))
+    queue.status.replace(status)
+    queue.content.replace(d.where("k IN (0, 2)").select("doc_id", "text", F.lit(False).alias("gone")))
+    queue.repair()
+    kept = queue.content.read().select("doc_id", F.lit(True).alias("c"))
+    return queue.status.read().select("doc_id", "status").join(kept, "doc_id", "left").select("doc_id", "status", F.coalesce("c", F.lit(False)).alias("has_content"))
+
+
+@query("m36_vector_deletes", """WITH v AS (SELECT 'ent-' || md5(c_name) AS vid, c_name AS name, NULL AS a, NULL AS b, c_custkey AS k FROM customer UNION ALL
+  SELECT 'rel-' || CASE WHEN c_custkey % 2 = 0 THEN md5(c_name || n_name) ELSE md5(n_name || c_name) END, NULL, c_name, n_name, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+  SELECT vid FROM v WHERE k % 7 <> 3""")
+def _(t: Tables):
+    """Vectors of customers and of their relations to nations, some stored the other way round; those of every seventh customer go."""
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    even = F.col("c_custkey") % 2 == 0
+    rel = F.concat(F.lit("rel-"), F.md5(F.when(even, F.concat("c_name", "n_name")).otherwise(F.concat("n_name", "c_name"))))
+    vectors = t.customer.select(F.concat(F.lit("ent-"), F.md5("c_name")).alias("vid")).unionByName(c.select(rel.alias("vid")))
+    gone = c.where("c_custkey % 7 = 3")
+    return K.delete_vectors(vectors, gone.select(F.col("c_name").alias("name")), gone.select(F.col("n_name").alias("a"), F.col("c_name").alias("b")))
+
+
+@query("m12_wipe", "SELECT 'shared' AS name, lang AS dataset, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang UNION ALL SELECT 'sheet', 'de', count(*) FROM documents WHERE lang = 'de'")
+def _(t: Tables):
+    """A shared table by dataset and a sheet for each of two datasets; one dataset is wiped."""
+    folder = fresh(t, "datasets")
+    d = t.documents.select("doc_id", F.col("lang").alias("dataset"))
+    d.write.partitionBy("dataset").parquet(f"{folder}/shared")
+    for lang in ("en", "de"):
+        d.where(F.col("dataset") == lang).select("doc_id").write.parquet(f"{folder}/sheet.{lang}")
+    if wipe_dataset(t.spark, folder, "en") != ["shared/dataset=en", "sheet.en"]:
+        raise AssertionError("the dataset's tables were there")
+    left = t.spark.read.parquet(f"{folder}/shared").groupBy("dataset").agg(F.count("*").alias("n")).select(F.lit("shared").alias("name"), "dataset", "n")
+    return left.unionByName(t.spark.read.parquet(f"{folder}/sheet.de").agg(F.count("*").alias("n")).select(F.lit("sheet").alias("name"), F.lit("de").alias("dataset"), "n"))
+
+
+@query("k12_custom_graph", """WITH c AS (SELECT o_orderkey AS s, 'chunk-' || md5(o_orderpriority || o_orderstatus || (o_orderkey % 50)) AS chunk_id FROM orders WHERE o_orderkey % 3 > 0),
+  i AS (SELECT s, min(chunk_id) AS chunk_id FROM c GROUP BY s), e AS (SELECT c_name AS name, c_mktsegment AS type, 'customer ' || c_custkey AS description, c_custkey AS s FROM customer WHERE c_custkey % 4 > 0),
+  r AS (SELECT c_name AS a, n_name AS b, 'lives in' || (c_custkey % 3) AS description, c_custkey AS s FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  x AS (SELECT name, description, coalesce(chunk_id, 'UNKNOWN') AS chunk_id FROM (SELECT unnest([a, b]) AS name, description, s FROM r) LEFT JOIN i USING (s) WHERE name NOT IN (SELECT name FROM e))
+  SELECT name, type, description, coalesce(chunk_id, 'UNKNOWN') AS chunk_id FROM e LEFT JOIN i USING (s)
+  UNION ALL SELECT name, 'UNKNOWN', description, chunk_id FROM x QUALIFY row_number() OVER (PARTITION BY name ORDER BY description, chunk_id) = 1""")
+def _(t: Tables):
+    chunks = t.orders.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("source_id"), F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("string")).alias("content"))
+    entities = t.customer.where("c_custkey % 4 > 0").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("description"), F.col("c_custkey").alias("source_id"))
+    r = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    relations = r.select(F.col("c_name").alias("a"), F.col("n_name").alias("b"), F.concat(F.lit("lives in"), (F.col("c_custkey") % 3).cast("string")).alias("description"), F.lit("k").alias("keywords"), F.lit(1.0).alias("weight"), F.col("c_custkey").alias("source_id"))
+    return K.insert_custom(chunks, entities, relations)[1]
+
+
+_ANSWER = "CASE b.label % 4 WHEN 0 THEN '未找到' WHEN 1 THEN (id % 90)::VARCHAR || ' million' WHEN 2 THEN ' about ' || id ELSE (id * 1000)::VARCHAR END"
+
+
+@query("m21_best_answers", f"""WITH h AS (SELECT a.vec_id AS task_id, b.vec_id AS id, b.label, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+  b AS (SELECT * FROM h WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) = 1),
+  s AS (SELECT q.vec_id AS task_id, b.label, b.id, {_ANSWER} AS said FROM embeddings q LEFT JOIN b ON b.task_id = q.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT task_id, CASE WHEN id IS NULL OR said = '未找到' THEN '' ELSE trim(said, ' ') END AS answer, CASE WHEN id IS NULL THEN NULL WHEN label % 4 = 1 THEN id % 90 * 1e6 WHEN label % 4 = 3 THEN id * 1000.0::DOUBLE END AS number FROM s""")
+def _(t: Tables):
+    """The best of five hits of each task, with an answer that a model might have read from it."""
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
+    hits = vector_top_k_batch(t.embeddings, q, 6, "label").where("qid <> vec_id").join(t.embeddings.select("vec_id", "label"), "vec_id")
+    n, kind = F.col("vec_id"), F.col("label") % 4
+    answer = F.when(kind == 0, "未找到").when(kind == 1, F.concat((n % 90).cast("string"), F.lit(" million"))).when(kind == 2, F.concat(F.lit(" about "), n.cast("string"))).otherwise((n * 1000).cast("string"))
+    return K.task_answers(q.select(F.col("qid").alias("task_id")), hits.select(F.col("qid").alias("task_id"), F.col("vec_id").alias("id"), "score", answer.alias("answer")), 0.2)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import clean, terms
+from lakeloom.session import children, remove
 
 # How many characters the chunk table's columns hold
 CHUNK_LIMITS = {"chunk_id": 128, "content_text": 65000, "source_id": 1000, "source_chunk": 65535}
@@ -60,3 +61,19 @@ def index_text(pages: DataFrame) -> DataFrame:
     g = pages.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("title", "stem"))).alias("p"))
     lines = F.transform("p", lambda x: F.concat(F.lit("- [["), x["stem"], F.lit("]] "), x["title"]))
     return g.select("category", F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.array_join(lines, "\n")).alias("text"))
+
+
+def wipe_dataset(spark: SparkSession, folder: str, dataset: str) -> list[str]:
+    """Remove a dataset from all tables below a folder: its partition (dataset=...) of shared ones, and tables of its own (name.dataset).
+
+    Returns what was removed. Tables that never held the dataset stay untouched.
+    """
+    gone = []
+    for table in children(spark, folder):
+        if table.split(".")[1:] == [dataset]:
+            gone.append(table)
+        elif f"dataset={dataset}" in children(spark, f"{folder}/{table}"):
+            gone.append(f"{table}/dataset={dataset}")
+    for path in gone:
+        remove(spark, f"{folder}/{path}")
+    return sorted(gone)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.session import children, get_text, remove
+from lakeloom.session import children, get_text, materialize, remove
 from lakeloom.sources.keyed import KeyedTable, logged
 from lakeloom.streaming.history import file_stream, run_available
 
@@ -92,6 +92,14 @@ class DocumentQueue:
             self._settle(name)
             n += 1
 
+    def repair(self) -> DataFrame:
+        """(doc_id, status, action): documents with a status but no content; failed ones are kept to be looked at, others removed."""
+        lost = self.status.read().join(self.content.read().select("doc_id"), "doc_id", "left_anti")
+        found = materialize(lost.select("doc_id", "status", F.when(F.col("status") == "FAILED", "kept").otherwise("removed").alias("action")), "queue-lost")
+        gone = found.where("action = 'removed'").join(self.status.read().drop("status"), "doc_id")
+        self.status.replace(gone.select(*self.status.columns, F.lit(True).alias("gone")))
+        return found
+
     def outputs(self) -> DataFrame:
         """(doc_id, output) of the processed documents, each from the round that its status names."""
         done = self.status.read().where("status = 'PROCESSED'").select("doc_id", "round")
