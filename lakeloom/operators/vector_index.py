@@ -293,6 +293,30 @@ class VectorIndex:
         q = materialize(q.join(bound, "qid", "left").select("qid", "q", F.coalesce("kth", F.lit(float("-inf"))).alias("least")), "index-queries")
         return self._score(self._candidates(self._probes(q, None), None).select("qid", "list", "id"), q, k)
 
+    def tune(self, queries: DataFrame, k: int, recall: float = 0.95, most: int = 200) -> int:
+        """The least nprobe whose lists hold that share of the true k nearest of queries(qid, q), of which ``most`` of least hash are tried.
+
+        Searches these exactly and looks at which place each true hit's list comes for its query.
+        The more alike all distances are, the more lists that takes.
+        """
+        model, held = self.model, np.array(sorted(r.list for r in self.stats().collect()), np.int64)  # at most MOST_LISTS
+        some = materialize(queries.select("qid", "q").orderBy(F.xxhash64("qid"), "qid").limit(most), "index-tuning")
+        hits = self.search(some, k, nprobe=max(1, len(held) // 8), exact=True).select("qid", "id")
+        lists = self._table("codes", f"id {self._id_type()}, code binary, off double").select("id", "list")
+        met = lists.join(hits, "id").join(some.select("qid", F.col("q").cast("array<double>").alias("q")), "qid").select("q", "list")
+
+        def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = model.centroids[held]
+            for b in it:
+                if b.num_rows:
+                    q = matrix(b.column(0), model.dim)
+                    far = (c * c).sum(1) - 2 * (q @ c[:, : model.dim].T)
+                    at = np.searchsorted(held, b.column(1).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array((far < far[np.arange(len(q)), at][:, None]).sum(1) + 1, pa.int64())], names=["place"])
+
+        places = np.sort(np.array([r.place for r in met.mapInArrow(place, "place long").collect()], np.int64))  # k for each query tried
+        return int(places[min(len(places) - 1, math.ceil(recall * len(places)) - 1)]) if len(places) else max(1, len(held))
+
     def scanned_share(self, queries: DataFrame, nprobe: int) -> float:
         """The part of all codes that a query reads with nprobe lists, on average."""
         s = self.stats()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom import catalog
 from lakeloom.operators import rechunking
 from lakeloom.operators.chunking import window_spans
 from lakeloom.operators.entity_merge import EntityStore
@@ -55,6 +56,16 @@ def test_index_recall_and_exact_search(spark, folder):
     assert found(index.search(queries, 10, nprobe=2, keep=20, exact=True).collect()) == want
 
 
+def test_query_of_the_index_reaches_its_recall(spark):
+    """The registered query on the supplied table, whose vectors are nearly as far from each other as random ones."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    got = catalog.QUERIES["j9_index_topk"](spark, folder).collect()
+    want = {i: set(best(rows, v, 10)) for i, v in rows if i % 100 == 0}
+    assert sum(r.id in want[r.qid] for r in got) >= 0.9 * sum(map(len, want.values())) and {r.qid for r in got} == set(want)
+    assert all(r.score == round(float(np.dot(np.array(dict(rows)[r.qid]), np.array(dict(rows)[r.id]))), 6) for r in got)
+
+
 def test_index_takes_batches_without_training(spark, folder):
     """New rows, longer ones than any the index was fitted on, join their lists; a batch that is written twice counts once."""
     rows, df = vectors(spark, 600)
