@@ -18,20 +18,30 @@ def _columns(docs: DataFrame, **changed: Column) -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on this corpus's labels, doesn't call toxic."""
+    """Documents that the classifier chain, trained on this corpus's labels, doesn't call toxic.
+
+    Null and empty texts are judged as texts without terms, which are not toxic; equal rows are
+    judged alike. An empty table gives no rows. Columns keep their names, order and values.
+    """
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.classify(docs, chain, with_row=True).where("kept").select(_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that Jaccard links join, the document of least doc_id. Rows without an id stay; rows of one id are one document."""
+    """Of each group that Jaccard links join, the document of least doc_id. Rows without an id stay; rows of one id are one document.
+
+    Null, empty and blank texts have no shingles and stay. An empty table gives no rows.
+    """
     joined = ngram_join.ngram_join(docs)
     copies = joined.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with secrets in its text replaced by a mark and n_chars counted anew where that changed it."""
+    """Every document, with secrets in its text replaced by a mark and n_chars counted anew where that changed it.
+
+    A null text stays null, an empty one empty; repeated rows are masked alike; an empty table gives no rows.
+    """
     found = secrets.scan_secrets(docs, with_row=True)
     found = found.select("row", F.concat("found", "added").alias("spans"))
     masked = found.select("row", secrets.redact("row.text", "spans").alias("masked"), (F.size("spans") > 0).alias("hit"))
@@ -42,7 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document is there once for each epoch that takes it; at a source's cut it ends with the last word taken.
 
     What the mix takes nothing of goes, but documents without words, which cost no budget, stay once.
-    Rows of one id share what is taken of the largest.
+    Rows of one id share what is taken of the largest; null ids are one id, null texts stay null,
+    a null source is a source of its own. An empty table gives no rows.
     """
     mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -59,7 +70,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of the bytes that they decode to."""
+    """Token ids of every document, with the digests of the ids and of the bytes that they decode to.
+
+    A null text has no tokens, as an empty one. Rows stay as many as they were; an empty table gives no rows.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
