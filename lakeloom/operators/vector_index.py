@@ -47,7 +47,7 @@ class Model:
     words: np.ndarray
 
     def longer(self, x: np.ndarray) -> np.ndarray:
-        """x with the coordinate that completes its length, and zeros up to a whole number of groups."""
+        """x with the coordinate that completes its length; 0 for one that is longer than any the model was fitted on."""
         missing = np.sqrt(np.maximum(self.length**2 - (x * x).sum(1), 0))
         return np.concatenate([x, missing[:, None]], 1)
 

@@ -70,7 +70,7 @@ for _old, _new in T.RELATION_NAMES:
     _REPLACED = f"replace({_REPLACED}, '{_old.replace(chr(39), chr(39) * 2)}', '{_new}')"
 _CLEAN = "html"
 for _old, _new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _CLEAN = f"replace({_CLEAN}, '{_old.replace('#39', '#39')}', '{_new}')"
+    _CLEAN = f"replace({_CLEAN}, '{_old}', '{_new}')"
 _SLUG = "regexp_replace(substr(text, 1, 60), '[^\\p{L}\\p{N}\\-_ ]', '', 'g')"
 _SLUG = f"regexp_replace(trim(regexp_replace(trim({_SLUG}, ' '), ' +', '-', 'g'), '-'), '-{{2,}}', '-', 'g')"
 
