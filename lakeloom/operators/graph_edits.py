@@ -48,7 +48,7 @@ def _override(rows: DataFrame, edits: DataFrame, keys: list[str], fields: list[s
 def _united(values: Column, sep: str) -> Column:
     """Distinct sorted parts of an array of joined strings, joined again."""
     parts = F.flatten(F.transform(values, lambda x: F.split(F.coalesce(x, F.lit("")), sep, -1)))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))), sep)
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))), sep)
 
 
 def _filled(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.functions.records import markdown_row
 from lakeloom.functions.text import clean, terms
 from lakeloom.session import children, remove
 
@@ -28,6 +29,11 @@ def entity_rows(entities: DataFrame) -> DataFrame:
     return entities.select("node_id", "node_name", F.lit("attr").alias("type"), "sub_type", "description")
 
 
+def relation_rows(relations: DataFrame) -> DataFrame:
+    """Stored relations; the type column is a constant as well."""
+    return relations.select("relation_id", "node1", "node2", F.lit("triple").alias("type"), "relation", "description")
+
+
 def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """existing and those of new whose key is not there; of equal new keys one."""
     return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
@@ -77,3 +83,34 @@ def wipe_dataset(spark: SparkSession, folder: str, dataset: str) -> list[str]:
     for path in gone:
         remove(spark, f"{folder}/{path}")
     return sorted(gone)
+
+
+def export_table(df: DataFrame, path: str, kind: str, *order: str) -> None:
+    """Text files of df's rows below path as csv, md (a table) or txt (a line a field, a blank one after each row).
+
+    Rows are sorted by ``order`` across the files, so these read in the order of their names are one
+    text; its header is in the first file alone, which an empty table has too. Nulls are empty, and
+    in md and txt line breaks inside values are spaces.
+    """
+    names = df.columns
+    if kind == "csv":
+        head, line = [",".join(names)], F.to_csv(F.struct(*names), {"nullValue": "", "emptyValue": "", "lineSep": "\n"})
+    elif kind in ("md", "txt"):
+        flat = [F.regexp_replace(F.coalesce(F.col(n).cast("string"), F.lit("")), r"[\r\n]+", " ") for n in names]
+        if kind == "md":
+            head, line = ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)], markdown_row(*flat)
+        else:
+            head, line = [], F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), c) for n, c in zip(names, flat)], F.lit(""))
+    else:
+        raise ValueError(f"no such format: {kind}")
+    by = F.struct(*order) if order else F.struct(*names)
+    rows = df.select(F.lit(1).alias("at"), by.alias("by"), line.alias("value"))
+    first = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "i int, value string")
+    first = first.select((F.col("i") - len(head)).alias("at"), F.lit(None).cast(rows.schema["by"].dataType).alias("by"), "value")
+    rows.unionByName(first).orderBy("at", "by").select("value").write.text(path)
+
+
+def export_graph(entities: DataFrame, relations: DataFrame, folder: str, kind: str = "csv") -> None:
+    """entities(name, ...) and relations(a, b, ...) as files below folder/entities and folder/relations."""
+    export_table(entities, f"{folder}/entities", kind, "name")
+    export_table(relations, f"{folder}/relations", kind, "a", "b")

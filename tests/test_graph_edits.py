@@ -113,6 +113,7 @@ def test_batches_as_by_hand(spark):
     for batch in range(2):
         name = lambda: rng.choice([f"n{rng.randrange(17)}"] * 12 + [None, " ", "x"])  # noqa: E731, B023
         edits = [(i, rng.choice([*OPS * 3, "paint", None]), name(), name(), rng.choice([None, "t9"]), rng.choice([None, f"d{i}", ""]), rng.choice([None, "k9,k1"]), rng.choice([None, 7.5]), rng.choice([None, "s99"])) for i in range(30)]
+        edits += [(99, "rename_entity", "n0", "z0", *[None] * 5), (100, "merge_entity", "n1", "n10", *[None] * 5)]
         done = g.apply(f"b{batch}", spark.createDataFrame(edits, EDIT))
         expected = by_hand(entities, relations, edits)
         assert {r["edit_id"]: r["outcome"] for r in done.collect()} == expected
