@@ -110,6 +110,23 @@ def polled_chunks(groups: DataFrame, most: int, least: int = 1) -> DataFrame:
     return _number(taken, over, "grp", "rn").select("qid", "id", "pos")
 
 
+def without_chunks(groups: DataFrame, taken: DataFrame) -> DataFrame:
+    """groups(qid, pos, source_ids array) without the chunks in taken(qid, id); those left with none go."""
+    left = groups.select("qid", F.col("pos").alias("_p"), F.posexplode("source_ids").alias("at", "id")).join(taken.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
+    return left.groupBy("qid", F.col("_p").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("source_ids"))
+
+
+def nearest_chunks(groups: DataFrame, queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """(qid, id, pos): of the chunks that a query's groups(qid, source_ids) name, the ``most`` of largest cosine of chunks(chunk_id, v) to queries(qid, v).
+
+    Each chunk counts once; one without a vector is left out. Ties go by id.
+    """
+    named = groups.select("qid", F.explode("source_ids").alias("id")).distinct()
+    s = named.join(queries.select("qid", "v"), "qid").join(chunks.select(F.col("chunk_id").alias("id"), F.col("v").alias("w")), "id")
+    s = s.select("qid", "id", F.round(cosine("v", "w"), 6).alias("score")).where("score IS NOT NULL")
+    return _number(s, F.desc("score"), "id").where(F.col("pos") <= most).select("qid", "id", "pos")
+
+
 def contexts(queries: DataFrame, memory: Memory, limits: Limits, score: Column | None = None) -> DataFrame:
     """(qid, section, pos, id, tokens): the entity, relation and chunk sections of each query's context.
 
@@ -141,8 +158,7 @@ def contexts(queries: DataFrame, memory: Memory, limits: Limits, score: Column |
     stored = memory.chunks.select(F.col("chunk_id").alias("id"), "tokens")
     of_entities = _number(polled_chunks(kept, limits.related).withColumnRenamed("pos", "_p").join(stored, "id", "left_semi"), "_p").select("qid", "id", "pos")
     of_entities = materialize(of_entities, "memory-entity-chunks")
-    others = paths.select("qid", F.col("pos").alias("_p"), F.posexplode("source_ids").alias("at", "id")).join(of_entities, ["qid", "id"], "left_anti")
-    others = others.groupBy("qid", F.col("_p").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("source_ids"))
+    others = without_chunks(paths, of_entities)
     of_relations = _number(polled_chunks(others, limits.related).withColumnRenamed("pos", "_p").join(stored, "id", "left_semi"), "_p").select("qid", "id", "pos")
     direct = nearest(q.where("mode IN ('mix', 'naive')").select("qid", "v"), memory.chunks.select(F.col("chunk_id").alias("id"), "v"), limits.chunk_top_k, limits.least)
 

@@ -77,7 +77,7 @@ def graph_answers(t: Tables):
     return ask
 
 
-@query("r19_sources_in_turn", f"""WITH {_QUESTIONS}, {_BM25}, {_FACTS}, {_GRAPH}, u AS (SELECT qid, 1 AS tried, 'facts' AS stage, 'fact ' || id AS answer FROM fact WHERE score >= 0.5
+@query("r19_sources_in_turn", f"""WITH {_QUESTIONS}, {_BM25}, {_FACTS}, {_GRAPH}, u AS (SELECT qid, 1 AS tried, 'facts' AS stage, 'fact ' || id AS answer FROM fact WHERE score >= 0.35
     UNION ALL SELECT qid, 2, 'graph', answer FROM gr WHERE score >= 0.3 UNION ALL SELECT qid, 3, 'documents', 'document ' || id FROM bm WHERE rank = 1 AND score >= 15)
   SELECT qid, arg_min(stage, tried) AS stage, arg_min(answer, tried) AS answer, coalesce(min(tried), 3)::INTEGER AS tried FROM ask LEFT JOIN u USING (qid) GROUP BY qid""")
 def _(t: Tables):
@@ -90,7 +90,7 @@ def _(t: Tables):
     def documents(q):
         return word_hits(t, q, 1).select("qid", "score", F.concat(F.lit("document "), F.col("id").cast("string")).alias("answer"))
 
-    stages = [A.Stage("facts", facts, F.col("score") >= 0.5), A.Stage("graph", graph_answers(t), F.col("score") >= 0.3, "at"), A.Stage("documents", documents, F.col("score") >= 15)]
+    stages = [A.Stage("facts", facts, F.col("score") >= 0.35), A.Stage("graph", graph_answers(t), F.col("score") >= 0.3, "at"), A.Stage("documents", documents, F.col("score") >= 15)]
     return A.ask_in_turn(questions(t), stages)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators.memory_modes import Limits, Memory, contexts
+from lakeloom.operators.memory_modes import Limits, Memory, contexts, nearest_chunks, polled_chunks, without_chunks
 from lakeloom.plans.registry import Tables, query
 
 LIMITS = Limits(top_k=8, least=0.15, entity_tokens=60, relation_tokens=70, total_tokens=2000, overhead=20, chunk_top_k=7, related=3)
@@ -92,3 +93,27 @@ def _sql() -> str:
 @query("r6_r9_memory_contexts", _sql())
 def _(t: Tables):
     return contexts(questions(t), memory(t), LIMITS)
+
+
+_FOUND = f"""vec AS (SELECT vec_id AS k, embedding AS v FROM embeddings), chunk AS (SELECT doc_id::VARCHAR AS id, v FROM documents JOIN vec ON k = doc_id),
+  rel AS (SELECT k // 10 AS qid, k % 10 + 1 AS pos, [(k // 3)::VARCHAR, (k // 3 + 7)::VARCHAR, (k % 40)::VARCHAR, (k // 10)::VARCHAR] AS source_ids FROM vec),
+  taken AS (SELECT DISTINCT doc_id // 4 AS qid, doc_id::VARCHAR AS id FROM documents UNION SELECT doc_id % 50, (doc_id % 40)::VARCHAR FROM documents),
+  open AS (SELECT qid, pos, list_filter(source_ids, lambda s: NOT list_contains(coalesce(i, []), s)) AS source_ids FROM rel LEFT JOIN (SELECT qid, list(id) AS i FROM taken GROUP BY qid) USING (qid))"""
+
+
+@query("m29_polled_and_nearest", f"""WITH {_FOUND}, {_polled("way", "open")},
+  near AS (SELECT u.qid, c.id, {_COS.format("q.v", "c.v")} AS score FROM (SELECT DISTINCT qid, unnest(source_ids) AS id FROM open) u JOIN chunk c USING (id) JOIN vec q ON q.k = u.qid)
+  SELECT 'polled' AS method, qid, id, pos FROM way UNION ALL SELECT 'nearest', qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM near QUALIFY pos <= 4""")
+def _(t: Tables):
+    """Chunks of relations that entities have not given yet: by weighted polling, and by nearness to the query."""
+    e = t.embeddings.select(F.col("vec_id").alias("k"), F.col("embedding").alias("v"))
+    k, text = F.col("k"), lambda c: F.floor(c).cast("long").cast("string")
+    rel = e.select(F.floor(k / 10).alias("qid"), (k % 10 + 1).alias("pos"), F.array(text(k / 3), text(F.floor(k / 3) + 7), text(k % 40), text(k / 10)).alias("source_ids"))
+    d = t.documents.select("doc_id")
+    taken = d.select(F.floor(F.col("doc_id") / 4).alias("qid"), text(F.col("doc_id")).alias("id")).unionByName(d.select((F.col("doc_id") % 50).alias("qid"), text(F.col("doc_id") % 40).alias("id")))
+    left = without_chunks(rel, taken)
+    chunks = d.join(e.withColumnRenamed("k", "doc_id"), "doc_id").select(text(F.col("doc_id")).alias("chunk_id"), "v")
+    polled = polled_chunks(left, LIMITS.related).join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    polled = polled.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("pos")))
+    near = nearest_chunks(left, e.withColumnRenamed("k", "qid"), chunks, 4)
+    return polled.select(F.lit("polled").alias("method"), "qid", "id", "pos").unionByName(near.select(F.lit("nearest").alias("method"), "qid", "id", "pos"))

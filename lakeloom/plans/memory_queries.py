@@ -13,6 +13,7 @@ from lakeloom.operators import tables as B
 from lakeloom.plans import fixtures as X
 from lakeloom.plans.registry import Tables, query
 from lakeloom.session import shared_dir
+from lakeloom.sources.keyed import KeyedTable
 from lakeloom.streaming import history as H
 
 _COS = "(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))))"
@@ -167,10 +168,35 @@ def _(t: Tables):
     return e.where("event_type = 'purchase'").select("event_id", F.col("c.event_id").alias("last_click"))
 
 
-@query("x1_streamed_state")
+@query("x1_streamed_state", f"WITH {X.HISTORY} SELECT memory_id, id, event FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY created_at DESC, id DESC) AS rn FROM history WHERE memory_id IS NOT NULL) WHERE rn = 1 AND event <> 'DELETE'")
 def _(t: Tables):
     base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     h = X.history(t)
     h.repartitionByRange(3, "created_at").write.parquet(f"{base}/in")
     state = H.fold_history(t.spark, f"{base}/in", "id long, memory_id long, event string, new_memory string, created_at timestamp", f"{base}/checkpoint", f"{base}/state")
     return state.select("memory_id", "id", "event")
+
+
+@query("x2_short_term_buffers", "SELECT conv_id, least(count(*), 4) AS n, arg_max(text, turn) AS last_text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+def _(t: Tables):
+    """Buffers of four messages in the state of a stream over three files; the last row of each conversation is kept by key."""
+    base = f"{shared_dir(t.spark)}/buffers-{uuid.uuid4().hex}"
+    c = t.conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
+    c.repartitionByRange(3, "turn").write.parquet(f"{base}/in")
+    table = KeyedTable(t.spark, f"{base}/buffers", "conv_id long, n long, last_text string", ["conv_id"], 16)
+    stream = H.short_term(H.file_stream(t.spark, f"{base}/in", "conv_id long, turn long, text string", 1), 4)
+    H.run_available(stream, f"{base}/checkpoint", lambda b, number: table.replace(b.withColumn("gone", F.lit(False)), str(number)), "update")
+    return table.read()
+
+
+@query("x4_directory_scan", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS scan, 1 AS times FROM documents")
+def _(t: Tables):
+    """A folder scanned three times: uploads before the first and the second scan, none before the third; no file counts twice."""
+    base = f"{shared_dir(t.spark)}/scan-{uuid.uuid4().hex}"
+    for scan, uploads in enumerate(([0, 1], [2], []), 1):
+        for k in uploads:
+            t.documents.where(F.col("doc_id") % 3 == k).select("doc_id").write.mode("append").parquet(f"{base}/in")
+        found = lambda b, n, s=scan: b.select("doc_id", F.lit(s).alias("scan")).write.mode("overwrite").parquet(f"{base}/out/scan={s}/batch={n}")
+        H.run_available(H.file_stream(t.spark, f"{base}/in", "doc_id long"), f"{base}/checkpoint", found)
+    rows = t.spark.read.schema("doc_id long, scan int").option("recursiveFileLookup", True).parquet(f"{base}/out")
+    return rows.groupBy("doc_id", "scan").agg(F.count("*").cast("int").alias("times"))
