@@ -173,7 +173,7 @@ def _(t: Tables):
     base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     h = X.history(t)
     h.repartitionByRange(3, "created_at").write.parquet(f"{base}/in")
-    state = H.fold_history(t.spark, f"{base}/in", "id long, memory_id long, event string, new_memory string, created_at timestamp", f"{base}/checkpoint", f"{base}/state", 16)
+    state = H.fold_history_by_key(t.spark, f"{base}/in", "id long, memory_id long, event string, new_memory string, created_at timestamp", f"{base}/checkpoint", f"{base}/state", 16)
     return state.select("memory_id", "id", "event")
 
 

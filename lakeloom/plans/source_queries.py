@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lakeloom.operators.dedup import agglomerate_parts
@@ -9,6 +15,7 @@ from lakeloom.operators.segmenter import learn_words, segmenter
 from lakeloom.plans.registry import Tables, query
 from lakeloom.plans.store_queries import fresh
 from lakeloom.sources import unified as U
+from lakeloom.sources.readers import archive_members
 
 
 def _parsed(t: Tables):
@@ -79,3 +86,33 @@ def _(t: Tables):
 @query("a27_agglomerative_parts")
 def _(t: Tables):
     return agglomerate_parts(t.embeddings, "label")
+
+
+def _packed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Archives of up to 100 rows(doc_id, name, text), zip and compressed tar in turn, as (path, content)."""
+    for pdf in it:
+        for start in range(0, len(pdf), 100):
+            part, out = pdf.iloc[start : start + 100], io.BytesIO()
+            if part["doc_id"].iloc[0] % 2:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, text in zip(part["name"], part["text"], strict=True):
+                        z.writestr(name, text)
+            else:
+                with tarfile.open(fileobj=out, mode="w:gz") as t:
+                    for name, text in zip(part["name"], part["text"], strict=True):
+                        info, blob = tarfile.TarInfo(name), text.encode()
+                        info.size = len(blob)
+                        t.addfile(info, io.BytesIO(blob))
+            yield pd.DataFrame({"path": [f"archive of {part['doc_id'].iloc[0]}"], "content": [out.getvalue()]})
+
+
+@query("s2_archives", """WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, sha256(coalesce(text, '')) AS digest FROM documents)
+  SELECT CASE WHEN doc_id % 9 = 4 THEN '../' ELSE '' END || lang || '/' || doc_id || '.txt' AS name, CASE WHEN doc_id % 9 <> 4 THEN digest END AS digest, CASE WHEN doc_id % 9 = 4 THEN 'outside' END AS fault FROM d""")
+def _(t: Tables):
+    """Documents packed into zip and tar files below the shared folder, read back; every ninth name leads out of its archive."""
+    name = F.concat(F.when(F.col("doc_id") % 9 == 4, "../").otherwise(""), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    d = t.documents.select("doc_id", name.alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = fresh(t, "archives")
+    d.repartition(6, "doc_id").mapInPandas(_packed, "path string, content binary").write.parquet(folder)
+    found = archive_members(t.spark.read.parquet(folder))
+    return found.select("name", F.sha2("content", 256).alias("digest"), "fault")

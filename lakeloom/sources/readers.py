@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -32,26 +34,53 @@ def route_files(files: DataFrame, path: str = "path", excluded: tuple[str, ...]
     return out
 
 
-def expand_archives(files: DataFrame) -> DataFrame:
-    """(archive, name, content) of zip and tar files(path, content); members that leave the archive's folder are skipped."""
+def archive_members(files: DataFrame) -> DataFrame:
+    """(archive, name, content, fault) of zip and tar files(path, content), a row a member; folders and links give none.
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def members(blob: bytes) -> Iterator[tuple[str, bytes]]:
+    A member that would leave the archive's folder (absolute, '..', a drive letter or backslashes)
+    has the fault 'outside' and no content, an encrypted or damaged one what the reader said. An
+    archive that can't be read, or breaks off, has one row without a name that says so, after the
+    members before the break. Members are read one at a time: a task holds an archive and one of them.
+    """
+
+    def members(blob: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+        def one(name: str, read: Callable[[], bytes]) -> tuple[str, bytes | None, str | None]:
+            p = PurePosixPath(name)
+            if p.is_absolute() or ".." in p.parts or "\\" in name or name[1:2] == ":":
+                return name, None, "outside"
+            try:
+                return name, read(), None
+            except (OSError, RuntimeError, NotImplementedError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error) as e:
+                return name, None, f"{type(e).__name__}: {e}"
+
+        try:
             if zipfile.is_zipfile(io.BytesIO(blob)):
                 with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+                    for i in z.infolist():
+                        if not i.is_dir():
+                            yield one(i.filename, partial(z.read, i))
             else:
                 with tarfile.open(fileobj=io.BytesIO(blob)) as t:
-                    yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+                    for m in t:
+                        if m.isfile():
+                            yield one(m.name, t.extractfile(m).read)
+        except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error) as e:
+            yield None, None, f"{type(e).__name__}: {e}"
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, blob in zip(pdf["path"], pdf["content"], strict=True):
-                for name, content in members(blob):
-                    p = PurePosixPath(name)
-                    if not p.is_absolute() and ".." not in p.parts:
-                        yield pd.DataFrame({"archive": [path], "name": [name], "content": [content]})
+                for name, content, fault in members(blob if blob is not None else b""):
+                    yield pd.DataFrame({"archive": [path], "name": [name], "content": [content], "fault": [fault]})
+
+    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary, fault string")
 
-    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+
+def expand_archives(files: DataFrame) -> DataFrame:
+    """(archive, name, content) of zip and tar files(path, content); members that leave the archive's folder are skipped, any other fault is an error."""
+    fault = F.raise_error(F.concat_ws(": ", "archive", "name", "fault")).cast("boolean")
+    good = F.when(F.col("fault").isNull(), True).when(F.col("fault") == "outside", False).otherwise(fault)
+    return archive_members(files).where(good).select("archive", "name", "content")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lakeloom.operators.memory import current_state
+from lakeloom.session import remove, written
 from lakeloom.sources.keyed import KeyedTable
 from lakeloom.sources.writers import upsert
 
@@ -25,13 +26,38 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     q.awaitTermination()
 
 
-def fold_history(spark: SparkSession, path: str, schema: str, checkpoint: str, state_path: str, buckets: int = 64) -> DataFrame:
+def fold_history(spark: SparkSession, path: str, schema: str, checkpoint: str, state_path: str) -> DataFrame:
+    """Current state of history(id, memory_id, event, new_memory, created_at), merged batch by batch into a versioned table.
+
+    Each batch writes the next version from the last one, so a batch that is run again after a
+    failure writes the same version. The version before the last stays for that; older ones go. A
+    run that finds no new file gives the state of the last run; before any file it is empty.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = f"{state_path}/v{number - 1}"
+        rows = batch.dropDuplicates(["id"])
+        if number > 0:
+            rows = upsert(spark.read.parquet(before), rows, ["memory_id"], "created_at", "id")
+        else:
+            rows = upsert(rows.limit(0), rows, ["memory_id"], "created_at", "id")
+        rows.write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        remove(spark, f"{state_path}/v{number - 2}")
+
+    run_available(file_stream(spark, path, schema, 1), checkpoint, each)
+    versions = [int(n[1:]) for n in written(spark, state_path)]
+    if not versions:
+        return current_state(spark.createDataFrame([], schema))
+    return current_state(spark.read.parquet(f"{state_path}/v{max(versions)}"))
+
+
+def fold_history_by_key(spark: SparkSession, path: str, schema: str, checkpoint: str, state_path: str, buckets: int = 64) -> DataFrame:
     """Current state of history(id, memory_id, event, new_memory, created_at), merged batch by batch into a keyed table.
 
-    A batch rewrites only the buckets of the memories it names. One that is run again after a
-    failure finds its own mark and changes nothing, or starts afresh if it was not complete. A run
-    that finds no new file gives the state of the last run; before any file it is empty. Rows
-    without a memory_id belong to no memory and are left out.
+    Unlike fold_history, whose versions are whole tables, a batch rewrites only the buckets of the
+    memories it names. One that is run again after a failure finds its own mark and changes
+    nothing, or starts afresh if it was not complete. A run that finds no new file gives the state
+    of the last run; before any file it is empty. Rows without a memory_id are left out.
     """
     table = KeyedTable(spark, state_path, schema, ["memory_id"], buckets)
 
