@@ -391,6 +391,15 @@ def test_secrets_base_and_battery(spark):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_letters_in_either_case(spark):
+    """By Unicode, as plain Python has it without re.ASCII: also the long s, the kelvin sign, the dotted I and the dotless i, in names and values."""
+    rx = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rows = list(enumerate(["\u017fECRET=abcdefghij", "é😀 to\u212aen: 'abcdefghij'", "ap\u0131_key=abcdefghij AP\u0130KEY=x.y_z-12345", "token=abcd\u212aefghij", "PaSsWd = hunter2hunter2"]))
+    got = secrets.scan_secrets(table(spark, rows)).collect()
+    want = {i: [m.span(2) for m in re.finditer(rx, t, re.I) if len(m[2]) >= 8] for i, t in rows}
+    assert all(want.values()) and {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "assign"] for r in got} == want
+
+
 def test_secrets_keys_after_names_and_in_paths(spark):
     """Random keys as values of unlisted names, and as base64url segments of paths or base64 after a dash."""
     rng = random.Random(6)
