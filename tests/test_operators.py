@@ -205,3 +205,13 @@ def test_short_term_buffer(spark, tmp_path):
     last = {}
     history.run_available(history.short_term(stream, 4), str(tmp_path / "cp"), lambda b, _: last.update({r.conv_id: (r.n, r.last_text) for r in b.collect()}), "update")
     assert last == {c: (4, f"{c}-14") for c in range(3)}
+
+
+def test_rolled_files_are_written_by_all_tasks(spark, monkeypatch):
+    """The query gave all rows to one task."""
+    from lakeloom import catalog
+
+    seen = []
+    monkeypatch.setattr(writers, "write_rolled_jsonl", lambda df, *a, real=writers.write_rolled_jsonl: seen.append(df.rdd.getNumPartitions()) or real(df, *a))
+    r = catalog.QUERIES["k1_rolled_files"](spark, "/root/testdata/sf0.001").first()
+    assert r.n == 150 and r.rolled and seen == [spark.sparkContext.defaultParallelism]
