@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.vectors import cosine
+from lakeloom.operators.blocks import cosines
 from lakeloom.operators.graph import degrees
 from lakeloom.operators.modes import interleaved, mode_for, rerank
 from lakeloom.operators.retrieval import token_budget
@@ -49,10 +50,10 @@ def _number(rows: DataFrame, *order: Column | str, name: str = "pos") -> DataFra
 def nearest(queries: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
     """(qid, id, pos): for queries(qid, v) the k items(id, v) of largest cosine, least or more; ties by id.
 
-    The stated queries against all items: Spark keeps the k best of each task before it shuffles.
+    The stated queries against all items, block by block; each pair of blocks keeps what may be among the k best.
     """
-    both = items.select("id", F.col("v").alias("w")).crossJoin(queries.where("v IS NOT NULL").select("qid", "v"))
-    s = both.select("qid", "id", F.round(cosine("v", "w"), 6).alias("score")).where(F.col("score") >= least)
+    both = cosines(queries.select(F.col("qid").alias("id"), "v"), items.select("id", "v"), k, least)
+    s = both.select(F.col("a").alias("qid"), F.col("b").alias("id"), F.round("cos", 6).alias("score")).where(F.col("score") >= least)
     return _number(s, F.desc("score"), "id").where(F.col("pos") <= k).select("qid", "id", "pos")
 
 
