@@ -17,6 +17,7 @@ from lakeloom.operators.retrieval import bm25
 from lakeloom.operators.scans import overlapping, prefix_sums
 from lakeloom.operators.text_index import TextIndex
 from lakeloom.operators.vector_index import VectorIndex, split
+from lakeloom.session import children
 from lakeloom.sources.keyed import KeyedTable, logged
 
 
@@ -305,3 +306,22 @@ def test_graph_after_changes_equals_a_rebuild(spark, folder):
     assert set(store.delete_documents("b", spark.createDataFrame([("d0",)], "doc_id string")).values()) == {0}  # that tag was taken
     store.delete_documents("c", spark.createDataFrame([(d,) for d in every], "doc_id string"))
     assert state(store) == [[]] * 5
+
+
+def test_graph_keeps_one_copy_of_what_it_holds(spark, folder, monkeypatch):
+    """Logs of finished changes and tables in between stayed beside every version."""
+    from lakeloom.operators import graph_store
+
+    made = []
+    monkeypatch.setattr(graph_store, "materialize", lambda df, name, real=graph_store.materialize: made.append(real(df, name)) or made[-1])
+    store = GraphStore(spark, folder, 4, keep=1)
+    chunks = spark.createDataFrame([(f"d{i}", f"c{i}") for i in range(12)], "doc_id string, chunk_id string")
+    nodes = spark.createDataFrame([(f"n{i % 5}", "t", f"text {i}", f"c{i}", i) for i in range(12)], "name string, type string, description string, source_id string, pos long")
+    edges = spark.createDataFrame([(f"n{i % 5}", f"n{i % 3 + 5}", "k", 1.0, "e", f"c{i}") for i in range(12)], "node1 string, node2 string, keywords string, weight double, description string, source_id string")
+    assert all(store.ingest("a", chunks, nodes, edges).values())
+    store.delete_documents("b", spark.createDataFrame([("d0",), ("d7",)], "doc_id string"))
+    assert {r.name for r in store.nodes.read().collect()} == {f"n{i}" for i in range(5)} and store.nodes.read().count() == 10
+    assert len(made) == 10 and not any(children(spark, df.materialized_at) for df in made)
+    for name in ("met", "nodes", "ends", "entities", "relations"):
+        assert len(getattr(store, name).versions()) == 1
+    assert [children(spark, f"{folder}/log/{tag}") for tag in "ab"] == [["done"], ["done"]]
