@@ -215,7 +215,8 @@ def _(t: Tables):
 
 @query("a27_agglomerative")
 def _(t: Tables):
-    return D.agglomerate(t.embeddings.where("label IS NOT NULL"), "label")
+    """By connected parts of near vectors: a whole label's matrix would grow with its square in one task."""
+    return D.agglomerate_parts(t.embeddings.where("label IS NOT NULL"), "label")
 
 
 @query("a28_mapping_union", "SELECT key, array_to_string(list(value ORDER BY pos), ',') AS \"values\" FROM (SELECT user_id AS key, event_type AS value, min(event_id) AS pos FROM events GROUP BY ALL) GROUP BY key")

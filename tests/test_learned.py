@@ -111,3 +111,15 @@ def test_clusters_by_parts_equal_those_of_whole_batches(spark):
     whole = sorted(map(tuple, agglomerate(df, "label").collect()))
     assert sorted(map(tuple, agglomerate_parts(df, "label").collect())) == whole and len({c for _, _, c in whole}) < 200
     assert agglomerate_parts(df.limit(0), "label").count() == 0
+
+
+def test_agglomerative_query_holds_parts_only(spark, monkeypatch):
+    """The query gave each label whole to one task."""
+    from lakeloom import catalog
+    from lakeloom.operators import dedup
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("label IS NOT NULL")
+    want = sorted(map(tuple, agglomerate(e, "label").collect()))
+    keys = []
+    monkeypatch.setattr(dedup, "agglomerate", lambda df, batch, *a: keys.append(batch) or agglomerate(df, batch, *a))
+    assert sorted(map(tuple, catalog.QUERIES["a27_agglomerative"](spark, "/root/testdata/sf0.001").collect())) == want and keys == ["part"]
