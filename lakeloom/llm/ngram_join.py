@@ -11,18 +11,21 @@ Links inside a group already joined add nothing to its component. So signatures
 each holder together with two leaders only, the holder with most shared tokens and one at
 random; when those that link are joined, what is left are signatures that hold several
 components. There every pair across components that an exact bound allows is verified, block of
-holders against block of holders: keys and sizes travel, and a pair's sets only if it may link.
+holders against block of holders, signatures with much the same holders taken together: keys and
+sizes travel, and a pair's sets only if it may link.
 Which tokens are frequent is counted exactly, over the distinct sets of every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm.hashing import chunks, mix, shingles, squeeze, trim, unsqueeze
@@ -42,8 +45,11 @@ MAP_WORDS = 8
 _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 #: Bits of a token that its bucket and the next 24 leave out, and the bucket's.
 _SHORT = 64 - 24
-#: Holders in a block when those of one signature are compared across components.
+#: Holders in a block when those of one bundle of signatures are compared across components.
 ACROSS_ROWS = 512
+#: Words of 64 bits, one bit a signature, of which of a bundle's signatures a set holds; what names a bundle.
+HELD_WORDS = 4
+_HELD, _BUNDLE = [f"h{i}" for i in range(HELD_WORDS)], ("single", "lead", "piece", "more")
 #: Bits of the maps of wanted documents (eight each) and frequent tokens, within these bounds (32 MB at most, as they are broadcast).
 LEAST_PLACES, MOST_PLACES = 2**15, 2**28
 
@@ -403,25 +409,63 @@ def _with_leaders(postings: DataFrame) -> DataFrame:
     return pairs.where(_may_link(F.least("ra", "rb"))).select(*_PAIR)
 
 
-def _across(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different parts that share a signature and may link; postings with part, block and blocks, of signatures in several parts.
+def _bundles(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bundle..., key, blocks, maps of signatures held) of signatures that several parts hold; (key, sizes, bit map, part) of all sets; a table that the first reads.
 
-    The holders of a signature are dealt into blocks of about ACROSS_ROWS and every pair of blocks
-    is a key of its own, so a frequent signature is many tasks' work; only pairs that the bound
-    allows leave the join. All single signatures that two parts share are here, so their count is
+    Near copies share most of their signatures, so those that sets of one part (pairs) or one set
+    (single tokens) hold go in bundles of up to 64 * HELD_WORDS, each holder with one bit for each: a
+    pair of holders then meets once a bundle and not once a signature. Where the holders of a
+    lead's signatures have less in common, so that there would be more pairs than before, each
+    signature is a bundle of its own.
+    """
+    big = parts.groupBy("component").agg(F.count("*").alias("members"))
+    sets = postings.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "rare", "rest", "end")], *[F.max(m).alias(m) for m in _MAP])
+    sets = sets.join(parts.join(big, "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
+    sets = materialize(sets.withColumn("members", F.coalesce("members", F.lit(1))).drop("component"), "ngram-parted")
+    label = postings.select("single", "sig", "key").join(sets.select("key", "part", "members"), "key")
+    lead = F.when(F.col("single"), F.min("key")).otherwise(F.max(F.struct("members", "part"))["part"]).alias("lead")
+    sigs = label.groupBy("single", "sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("holders"), lead).where("x < y").drop("x", "y")
+    held = materialize(label.select("single", "sig", "key").join(sigs, ["single", "sig"]), "ngram-held")
+    of_lead = held.groupBy("single", "lead", "key").agg(F.sum("holders").alias("meet"), F.sum(1 / F.col("holders")).alias("sigs"))
+    of_lead = of_lead.groupBy("single", "lead").agg(F.count("*").alias("together"), F.sum("meet").alias("meet"), F.sum("sigs").alias("sigs"))
+    sigs = held.select("single", "sig", "holders", "lead").distinct().join(of_lead, ["single", "lead"])
+    fits = F.col("together").cast("double") * F.col("together") <= 4 * F.col("meet")
+    piece = F.pmod(F.xxhash64("sig"), F.ceil(F.col("sigs") / (32 * HELD_WORDS))).cast("long")  # half full on average
+    sigs = sigs.select("single", "sig", F.ceil(F.when(fits, F.col("together")).otherwise(F.col("holders")) / ACROSS_ROWS).cast("int").alias("blocks"), F.when(fits, F.col("lead")).otherwise(F.col("sig")).alias("lead"), F.when(fits, piece).otherwise(-1).alias("piece"))
+    place = F.row_number().over(W.partitionBy("single", "lead", "piece").orderBy("sig")) - 1
+    sigs = sigs.withColumn("place", place).withColumn("more", F.floor(F.col("place") / (64 * HELD_WORDS)))
+    at = F.col("place") % (64 * HELD_WORDS)
+    bits = [F.bit_or(F.when(F.floor(at / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(h) for i, h in enumerate(_HELD)]
+    bundled = held.select("single", "sig", "key").join(sigs, ["single", "sig"]).groupBy(*_BUNDLE, "key", "blocks").agg(*bits)
+    return bundled, sets, held
+
+
+def _across(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different parts, by parts(key, component), that share a signature and may link.
+
+    The holders of a bundle of signatures are dealt into blocks of about ACROSS_ROWS and every pair
+    of blocks is a key of its own, so a frequent signature is many tasks' work; only pairs that the
+    bound allows leave the join. All single signatures that two parts share are here, so their count is
     exact, and a pair that a signature of frequent tokens proposes needs to be looked at as one
     that shares no rare token: if it shares any, a single signature proposes it as well. Such pairs
     are held against the sets' bit maps too.
     """
-    left = _side(postings, "a", ["sig", "single", *[F.col(m).alias(m + "a") for m in _MAP], F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
-    right = _side(postings, "b", ["sig", *[F.col(m).alias(m + "b") for m in _MAP], F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
-    pairs = left.join(right, ["sig", "i", "j"]).where("pa <> pb AND (i < j OR a < b)").withColumn("rest", _first_rest())
+    bundled, sets, held = _bundles(postings, parts)
+    full = bundled.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets, "key")
+    kept = lambda e: [F.col(c).alias(c + e) for c in (*_MAP, *_HELD)]
+    left = _side(full, "a", [*_BUNDLE, *kept("a"), F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
+    right = _side(full, "b", [*_BUNDLE, *kept("b"), F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
+    common = reduce(Column.__add__, [F.bit_count(F.col(h + "a").bitwiseAND(F.col(h + "b"))) for h in _HELD])
+    pairs = left.join(right, [*_BUNDLE, "i", "j"]).where("pa <> pb AND (i < j OR a < b)").where(common > 0).withColumn("rest", _first_rest())
     pairs = pairs.where(_may_link(F.when(F.col("single"), F.least("ra", "rb")).otherwise(0)) & (F.col("single") | _maps_allow()))
     first, last = F.col("a") < F.col("b"), {}
     for x in ("", "n"):
         last |= {x + "a": F.when(first, F.col(x + "a")).otherwise(F.col(x + "b")), x + "b": F.when(first, F.col(x + "b")).otherwise(F.col(x + "a"))}
-    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.when(F.col("single"), F.col("sig")).alias("one"))
-    return pairs.groupBy(*_PAIR).agg(F.count("one").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
+    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.when(F.col("single"), common).otherwise(0).alias("one"))
+    pairs = pairs.groupBy(*_PAIR).agg(F.sum("one").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
+    out = materialize(pairs, "ngram-across")
+    discard(sets, held)
+    return out
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -460,17 +504,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     links = materialize(_verify(first, sets), "ngram-links")
     discard(sets, singles)
     parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
-    label = postings.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
-    holders = F.ceil(F.count("*") / ACROSS_ROWS).cast("int").alias("blocks")
-    mixed = label.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), holders).where("x < y").select("sig", "blocks")
-    label = label.join(mixed, "sig").drop("component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    label = materialize(label, "ngram-left")
+    found = _across(postings, parts)
     discard(postings, parts)
-    across = materialize(_across(label).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    across = materialize(found.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
     sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
     more = materialize(_verify(across, sets), "ngram-links")
     parts = materialize(connected_components(links.unionByName(more)), "ngram-parts").withColumnRenamed("id", "key")
-    discard(label, first, across, sets, links, more)
+    discard(found, first, across, sets, links, more)
     frequent.unpersist()
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))

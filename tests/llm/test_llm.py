@@ -712,3 +712,27 @@ def test_mixing_sql_is_registered(spark):
     got = sorted(tuple(r) for r in queries.QUERIES["op4_mixing"](spark, FOLDER).collect())
     assert got == sorted(db.execute(queries.ORACLE_SQL["op4_mixing"]).fetchall())
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("words, members", [(1, 6), (4, 40)])
+def test_ngram_join_meets_a_pair_once_a_bundle(spark, words, members, monkeypatch):
+    """Sets with many signatures in common: a row a holder and bundle, and the pairs and counts of all signatures."""
+    monkeypatch.setattr(ngram_join, "HELD_WORDS", words)
+    monkeypatch.setattr(ngram_join, "_HELD", [f"h{i}" for i in range(words)])
+    monkeypatch.setattr(ngram_join, "ACROSS_ROWS", 7)
+    rng = np.random.default_rng(members)
+    held = {(single, k): {int(s) for s in rng.choice(120, 60, replace=False) + 1000 * (k % 2)} | {5} for single in (True, False) for k in range(members)}
+    held |= {(True, 100 + k): {7000 + 20 * (k // 3) + i for i in range(8 + k % 4)} for k in range(12)}  # few each; shared by three
+    rare = {k: len(v) for (single, k), v in held.items() if single}
+    part = {k: k // 5 * 5 for k in range(members // 2)}
+    rows = [(s, single, k, 10, rare[k], 0 if k < 100 else 1, 9, *[0] * 8) for (single, k), v in held.items() for s in v]
+    postings = spark.createDataFrame(rows, "sig long, single boolean, key long, n int, rare int, rest int, end long, " + ", ".join(f"m{i} long" for i in range(8))).repartition(3)
+    parts = spark.createDataFrame(list(part.items()), "key long, component long")
+    want = set()
+    for a in rare:
+        for b in rare:
+            if a < b and part.get(a, a) != part.get(b, b) and (single := len(held[True, a] & held[True, b])) and 7 * (single + (a >= 100)) >= 3 * 20:
+                want.add((a, b))
+    got = [(r.a, r.b) for r in ngram_join._across(postings, parts).collect()]
+    assert len(got) == len(set(got)) and want == set(got)
+    assert ngram_join._bundles(postings, parts)[0].count() < len(rows) / 4
