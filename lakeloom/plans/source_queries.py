@@ -113,6 +113,6 @@ def _(t: Tables):
     name = F.concat(F.when(F.col("doc_id") % 9 == 4, "../").otherwise(""), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     d = t.documents.select("doc_id", name.alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     folder = fresh(t, "archives")
-    d.repartition(6, "doc_id").mapInPandas(_packed, "path string, content binary").write.parquet(folder)
+    d.hint("rebalance", "doc_id").mapInPandas(_packed, "path string, content binary").write.parquet(folder)
     found = archive_members(t.spark.read.parquet(folder))
     return found.select("name", F.sha2("content", 256).alias("digest"), "fault")

@@ -34,13 +34,17 @@ def route_files(files: DataFrame, path: str = "path", excluded: tuple[str, ...]
     return out
 
 
+#: Members of archives that a task gathers before it sends them, and bytes of these.
+MEMBER_ROWS, MEMBER_BYTES = 1000, 4 << 20
+
+
 def archive_members(files: DataFrame) -> DataFrame:
     """(archive, name, content, fault) of zip and tar files(path, content), a row a member; folders and links give none.
 
     A member that would leave the archive's folder (absolute, '..', a drive letter or backslashes)
     has the fault 'outside' and no content, an encrypted or damaged one what the reader said. An
     archive that can't be read, or breaks off, has one row without a name that says so, after the
-    members before the break. Members are read one at a time: a task holds an archive and one of them.
+    members before the break. A task holds an archive and the members it has not sent: MEMBER_ROWS or the one that exceeds MEMBER_BYTES.
     """
 
     def members(blob: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
@@ -68,10 +72,17 @@ def archive_members(files: DataFrame) -> DataFrame:
             yield None, None, f"{type(e).__name__}: {e}"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in it:
             for path, blob in zip(pdf["path"], pdf["content"], strict=True):
                 for name, content, fault in members(blob if blob is not None else b""):
-                    yield pd.DataFrame({"archive": [path], "name": [name], "content": [content], "fault": [fault]})
+                    rows.append((path, name, content, fault))
+                    size += len(content or b"")
+                    if size > MEMBER_BYTES or len(rows) >= MEMBER_ROWS:
+                        yield pd.DataFrame(rows, columns=["archive", "name", "content", "fault"])
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["archive", "name", "content", "fault"])
 
     return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary, fault string")
 

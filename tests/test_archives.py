@@ -4,6 +4,7 @@ import io
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -52,3 +53,12 @@ def test_members_faults_and_broken_archives(spark):
     assert expand_archives(df.where("path IN ('zip', 'tar')")).count() == 5
     with pytest.raises(PySparkException, match="not a|ReadError|empty"):
         expand_archives(df.where("path = 'none'")).count()
+
+
+def test_members_are_sent_together(spark):
+    """2500 small members and four large ones come in a few batches, not one each."""
+    big = bytes(3 << 20)
+    df = spark.createDataFrame([("small", bytearray(_zip([(f"{i}.txt", b"%d" % i) for i in range(2500)]))), ("big", bytearray(_zip([(f"{i}", big) for i in range(4)])))], "path string, content binary").coalesce(1)
+    one_each = lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it)
+    assert archive_members(df).mapInArrow(one_each, "n long").count() <= 5
+    assert sorted(int(r.content) for r in archive_members(df).where("archive = 'small'").collect()) == list(range(2500))
