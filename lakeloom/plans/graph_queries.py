@@ -240,7 +240,7 @@ def _(t: Tables):
 
 @query("c8_mutual_merge")
 def _(t: Tables):
-    return D.mutual_best_merge(D.similar_pairs(t.embeddings, "label", 0.3))
+    return D.mutual_best_vectors(t.embeddings, "label", 0.3)
 
 
 @query("j12_pattern_both_ways", f"WITH {X.EDGES} SELECT DISTINCT n, m FROM (SELECT node1 AS n, node2 AS m FROM edges UNION SELECT node2, node1 FROM edges) WHERE n LIKE 'NATION%' OR n IN (SELECT n_name FROM nation)")
