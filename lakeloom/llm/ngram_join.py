@@ -12,7 +12,8 @@ each holder together with two leaders only, the holder with most shared tokens a
 random; when those that link are joined, what is left are signatures that hold several
 components. There every pair across components that an exact bound allows is verified, block of
 holders against block of holders, signatures with much the same holders taken together: keys and
-sizes travel, and a pair's sets only if it may link.
+sizes travel, and a pair's sets only if it may link. Of two components the likeliest pair is
+verified first, the other pairs only where that leaves the two apart.
 Which tokens are frequent is counted exactly, over the distinct sets of every task.
 """
 
@@ -441,7 +442,9 @@ def _bundles(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _across(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different parts, by parts(key, component), that share a signature and may link.
+    """Pairs (a, b, pa, pb, apart) of different parts, the lesser pa and pb, that share a signature and may link.
+
+    parts(key, component) name the parts; apart estimates the share of their tokens that only one of the two has.
 
     The holders of a bundle of signatures are dealt into blocks of about ACROSS_ROWS and every pair
     of blocks is a key of its own, so a frequent signature is many tasks' work; only pairs that the
@@ -461,13 +464,40 @@ def _across(postings: DataFrame, parts: DataFrame) -> DataFrame:
     first, last = F.col("a") < F.col("b"), {}
     for x in ("", "n"):
         last |= {x + "a": F.when(first, F.col(x + "a")).otherwise(F.col(x + "b")), x + "b": F.when(first, F.col(x + "b")).otherwise(F.col(x + "a"))}
-    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.when(F.col("single"), common).otherwise(0).alias("one"))
-    pairs = pairs.groupBy(*_PAIR).agg(F.sum("one").alias("shared")).where(_may_link(F.col("shared"))).select("a", "b")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in _MAP]).alias("differ")
+    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), differ, F.when(F.col("single"), common).otherwise(0).alias("one"))
+    pairs = pairs.groupBy(*_PAIR, "pa", "pb").agg(F.sum("one").alias("shared"), F.min("differ").alias("differ")).where(_may_link(F.col("shared")))
+    sizes = F.col("na").cast("long") + F.col("nb")
+    pairs = pairs.select("a", "b", "pa", "pb", (F.least("differ", sizes - 2 * F.col("shared")) / sizes).alias("apart"))
     out = materialize(pairs, "ngram-across")
     discard(sets, held)
     return out
 
 
+def _by_parts(docs: DataFrame, own: DataFrame, across: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of across(a, b, pa, pb, apart): the likeliest pair of every two parts, the other pairs of parts that these leave apart, and the links of both.
+
+    One link joins two parts, so a set near a group of near copies need not be verified against each
+    of these; every pair of sets whose parts are still apart is.
+    """
+    best = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("best")
+    likely = materialize(across.groupBy("pa", "pb").agg(best).select("best.a", "best.b", "pa", "pb"), "ngram-likely")
+    sets = _sets_for(docs, own, likely.select(F.explode(F.array("a", "b")).alias("key")))
+    joined = materialize(_verify(likely.select("a", "b"), sets), "ngram-links")
+    discard(sets)
+    steps = joined.join(likely, ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    whole = materialize(connected_components(steps), "ngram-whole")
+    rest = across.join(likely.select("a", "b"), ["a", "b"], "left_anti")
+    for p in ("pa", "pb"):
+        rest = rest.join(whole.select(F.col("id").alias(p), F.col("component").alias("in_" + p)), p, "left").withColumn("in_" + p, F.coalesce("in_" + p, p))
+    rest = materialize(rest.where("in_pa <> in_pb").select("a", "b"), "ngram-pairs")
+    discard(whole)
+    sets = _sets_for(docs, own, rest.select(F.explode(F.array("a", "b")).alias("key")))
+    more = materialize(_verify(rest, sets).unionByName(joined), "ngram-links")
+    discard(sets, joined)
+    return likely, rest, more
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, set_lo, set_hi (two hashes of the set).
 
@@ -506,11 +536,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
     found = _across(postings, parts)
     discard(postings, parts)
-    across = materialize(found.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    sets = _sets_for(docs, own, across.select(F.explode(F.array("a", "b")).alias("key")))
-    more = materialize(_verify(across, sets), "ngram-links")
+    likely, rest, more = _by_parts(docs, own, found.join(first, ["a", "b"], "left_anti"))
     parts = materialize(connected_components(links.unionByName(more)), "ngram-parts").withColumnRenamed("id", "key")
-    discard(found, first, across, sets, links, more)
+    discard(found, first, likely, rest, links, more)
     frequent.unpersist()
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
