@@ -13,7 +13,9 @@ random; when those that link are joined, what is left are signatures that hold s
 components. There every pair across components that an exact bound allows is verified, block of
 holders against block of holders, signatures with much the same holders taken together: keys and
 sizes travel, and a pair's sets only if it may link. Of two components the likeliest pair is
-verified first, the other pairs only where that leaves the two apart.
+verified first, the other pairs only where that leaves the two apart. A component of more than
+CROWD sets stands there as one holder, by the least and greatest of what its sets have; what may link
+with any of them is then verified against all, blocks of sets against blocks of sets.
 Which tokens are frequent is counted exactly, over the distinct sets of every task.
 """
 
@@ -48,6 +50,8 @@ _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SHORT = 64 - 24
 #: Holders in a block when those of one bundle of signatures are compared across components.
 ACROSS_ROWS = 512
+#: Sets of a component up to which each of them meets others by itself.
+CROWD = 8
 #: Words of 64 bits, one bit a signature, of which of a bundle's signatures a set holds; what names a bundle.
 HELD_WORDS = 4
 _HELD, _BUNDLE = [f"h{i}" for i in range(HELD_WORDS)], ("single", "lead", "piece", "more")
@@ -327,15 +331,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _PAIR = ("a", "b", "na", "nb", "rest")
 
 
-def _may_link(shared: Column) -> Column:
+def _may_link(shared: Column, tops: tuple[str, str] = ("na", "nb")) -> Column:
     """Whether sets a and b with at most ``shared`` signatures of rare tokens in common can link.
 
+    Of a crowd, na or nb is its least size and tops names its greatest.
+
     Up to where the first of the two prefixes ends, the common tokens are exactly the shared
     signatures; after it at most that set's rest is common. So the intersection is at most the
     shared ones plus that rest, and must reach 75 / 175 of both sizes (na, nb).
     """
     na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
-    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    fits = (100 * F.col(tops[0]).cast("long") >= PERCENT * nb) & (100 * F.col(tops[1]).cast("long") >= PERCENT * na)
     return fits & ((100 + PERCENT) * (shared + F.col("rest").cast("long")) >= PERCENT * (na + nb))
 
 
@@ -384,11 +390,14 @@ def _side(postings: DataFrame, e: str, keep: list) -> DataFrame:
 
 
 def _maps_allow() -> Column:
-    """Whether sets a and b can link by their bit maps: each shares at most its size less the bits that only it has."""
+    """Whether sets a and b can link by their bit maps: each shares at most its size less the bits that only it has.
+
+    A crowd's map has the bits of all its sets, so only a set is held against it.
+    """
 
     def most(x: str, y: str) -> Column:
         own = sum((F.bit_count(F.col(m + x).bitwiseAND(F.bitwise_not(F.col(m + y)))) for m in _MAP), F.lit(0))
-        return F.col("n" + x).cast("long") - own
+        return F.when(F.col("crowd" + x), F.col("top" + x).cast("long")).otherwise(F.col("n" + x).cast("long") - own)
 
     return (100 + PERCENT) * F.least(most("a", "b"), most("b", "a")) >= PERCENT * (F.col("na").cast("long") + F.col("nb"))
 
@@ -411,7 +420,10 @@ def _with_leaders(postings: DataFrame) -> DataFrame:
 
 
 def _bundles(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bundle..., key, blocks, maps of signatures held) of signatures that several parts hold; (key, sizes, bit map, part) of all sets; a table that the first reads.
+    """(bundle..., key, blocks, maps of signatures held) of signatures that several parts hold; (key, sizes, bit map, part) of all holders; a table that the first reads.
+
+    Holders are sets, and the parts of more than CROWD sets: of these, key is the part, n and top are the least and
+    greatest size, end and last likewise, rare and rest the greatest, and the maps have the bits of all.
 
     Near copies share most of their signatures, so those that sets of one part (pairs) or one set
     (single tokens) hold go in bundles of up to 64 * HELD_WORDS, each holder with one bit for each: a
@@ -422,8 +434,14 @@ def _bundles(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFram
     big = parts.groupBy("component").agg(F.count("*").alias("members"))
     sets = postings.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "rare", "rest", "end")], *[F.max(m).alias(m) for m in _MAP])
     sets = sets.join(parts.join(big, "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    sets = materialize(sets.withColumn("members", F.coalesce("members", F.lit(1))).drop("component"), "ngram-parted")
-    label = postings.select("single", "sig", "key").join(sets.select("key", "part", "members"), "key")
+    sets = sets.withColumn("members", F.coalesce("members", F.lit(1))).withColumn("crowd", F.col("members") > CROWD).drop("component")
+    sets = materialize(sets.withColumn("holder", F.when(F.col("crowd"), F.col("part")).otherwise(F.col("key"))), "ngram-parted")
+    label = postings.select("single", "sig", "key").join(sets.select("key", "holder", "part", "members"), "key")
+    label = label.select("single", "sig", F.col("holder").alias("key"), "part", "members").distinct()
+    ends = [f("end").alias(c) for f, c in ((F.min, "end"), (F.max, "last"))]
+    sizes = [F.min("n").alias("n"), F.max("n").alias("top"), F.max("rare").alias("rare"), F.max("rest").alias("rest"), *ends]
+    holders = sets.groupBy(F.col("holder").alias("key"), "part", "crowd").agg(*sizes, *[F.bit_or(m).alias(m) for m in _MAP])
+    holders = materialize(holders, "ngram-holders")
     lead = F.when(F.col("single"), F.min("key")).otherwise(F.max(F.struct("members", "part"))["part"]).alias("lead")
     sigs = label.groupBy("single", "sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("holders"), lead).where("x < y").drop("x", "y")
     held = materialize(label.select("single", "sig", "key").join(sigs, ["single", "sig"]), "ngram-held")
@@ -438,13 +456,15 @@ def _bundles(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFram
     at = F.col("place") % (64 * HELD_WORDS)
     bits = [F.bit_or(F.when(F.floor(at / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(h) for i, h in enumerate(_HELD)]
     bundled = held.select("single", "sig", "key").join(sigs, ["single", "sig"]).groupBy(*_BUNDLE, "key", "blocks").agg(*bits)
-    return bundled, sets, held
+    discard(sets)
+    return bundled, holders, held
 
 
 def _across(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b, pa, pb, apart) of different parts, the lesser pa and pb, that share a signature and may link.
+    """Pairs (a, b, pa, pb, apart, crowd) of different parts, the lesser pa and pb, that share a signature and may link.
 
     parts(key, component) name the parts; apart estimates the share of their tokens that only one of the two has.
+    Where crowd is true, a or b or both are parts of more than CROWD sets, some of which may link with the other.
 
     The holders of a bundle of signatures are dealt into blocks of about ACROSS_ROWS and every pair
     of blocks is a key of its own, so a frequent signature is many tasks' work; only pairs that the
@@ -453,24 +473,27 @@ def _across(postings: DataFrame, parts: DataFrame) -> DataFrame:
     that shares no rare token: if it shares any, a single signature proposes it as well. Such pairs
     are held against the sets' bit maps too.
     """
-    bundled, sets, held = _bundles(postings, parts)
-    full = bundled.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets, "key")
-    kept = lambda e: [F.col(c).alias(c + e) for c in (*_MAP, *_HELD)]
+    bundled, holders, held = _bundles(postings, parts)
+    full = bundled.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(holders, "key")
+    kept = lambda e: [F.col(c).alias(c + e) for c in (*_MAP, *_HELD, "top", "last", "crowd")]
     left = _side(full, "a", [*_BUNDLE, *kept("a"), F.col("part").alias("pa"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")])
     right = _side(full, "b", [*_BUNDLE, *kept("b"), F.col("part").alias("pb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i")])
     common = reduce(Column.__add__, [F.bit_count(F.col(h + "a").bitwiseAND(F.col(h + "b"))) for h in _HELD])
-    pairs = left.join(right, [*_BUNDLE, "i", "j"]).where("pa <> pb AND (i < j OR a < b)").where(common > 0).withColumn("rest", _first_rest())
-    pairs = pairs.where(_may_link(F.when(F.col("single"), F.least("ra", "rb")).otherwise(0)) & (F.col("single") | _maps_allow()))
+    pairs = left.join(right, [*_BUNDLE, "i", "j"]).where("pa <> pb AND (i < j OR a < b)").where(common > 0)
+    rest = F.when(~(F.col("crowda") | F.col("crowdb")), _first_rest()).when(F.col("lasta") < F.col("eb"), F.col("sa")).when(F.col("ea") > F.col("lastb"), F.col("sb"))
+    pairs = pairs.withColumn("rest", rest.otherwise(F.greatest("sa", "sb")))
+    tops = ("topa", "topb")
+    pairs = pairs.where(_may_link(F.when(F.col("single"), F.least("ra", "rb")).otherwise(0), tops) & (F.col("single") | _maps_allow()))
     first, last = F.col("a") < F.col("b"), {}
-    for x in ("", "n"):
+    for x in ("", "n", "top"):
         last |= {x + "a": F.when(first, F.col(x + "a")).otherwise(F.col(x + "b")), x + "b": F.when(first, F.col(x + "b")).otherwise(F.col(x + "a"))}
     differ = reduce(Column.__add__, [F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in _MAP]).alias("differ")
-    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), differ, F.when(F.col("single"), common).otherwise(0).alias("one"))
-    pairs = pairs.groupBy(*_PAIR, "pa", "pb").agg(F.sum("one").alias("shared"), F.min("differ").alias("differ")).where(_may_link(F.col("shared")))
+    pairs = pairs.select(*[c.alias(k) for k, c in last.items()], "rest", F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), (F.col("crowda") | F.col("crowdb")).alias("crowd"), differ, F.when(F.col("single"), common).otherwise(0).alias("one"))
+    pairs = pairs.groupBy(*_PAIR, *tops, "pa", "pb", "crowd").agg(F.sum("one").alias("shared"), F.min("differ").alias("differ")).where(_may_link(F.col("shared"), tops))
     sizes = F.col("na").cast("long") + F.col("nb")
-    pairs = pairs.select("a", "b", "pa", "pb", (F.least("differ", sizes - 2 * F.col("shared")) / sizes).alias("apart"))
+    pairs = pairs.select("a", "b", "pa", "pb", (F.least("differ", sizes - 2 * F.col("shared")) / sizes).alias("apart"), "crowd")
     out = materialize(pairs, "ngram-across")
-    discard(sets, held)
+    discard(holders, held)
     return out
 
 
@@ -498,6 +521,54 @@ def _by_parts(docs: DataFrame, own: DataFrame, across: DataFrame) -> tuple[DataF
     return likely, rest, more
 
 
+def _with_crowds(docs: DataFrame, own: DataFrame, met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) of the parts met(pa, pb): for each set of the lesser part one with a set of the greater, if there is any.
+
+    The sets of a crowd are dealt into blocks, and those that are to meet it into others, of about VERIFY_ROWS each; every
+    pair of blocks is a key of its own, in which each set is held against all of the crowd's at once.
+    """
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(left) and len(right):
+            sets = [np.frombuffer(t, np.uint64) for t in left.column("tokens").to_pylist()]
+            keys, n = left.column("key").to_numpy(), np.array([len(x) for x in sets])
+            tokens = np.concatenate(sets)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), n)[order]
+            for key, t in zip(right.column("b").to_pylist(), right.column("guest").to_pylist(), strict=True):
+                x = np.frombuffer(t, np.uint64)
+                first, end = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                held = end - first
+                at = np.arange(int(held.sum())) + np.repeat(first - np.cumsum(held) + held, held)
+                common = np.bincount(owner[at], minlength=len(sets))
+                if len(linked := np.nonzero(100 * common >= PERCENT * (n + len(x) - common))[0]):
+                    a.append(int(keys[linked[0]]))
+                    b.append(key)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
+    for p in ("pa", "pb"):
+        met = met.join(sizes.select(F.col("component").alias(p), F.col("members").alias("of_" + p)), p, "left").fillna(1, ["of_" + p])
+    larger = F.col("of_pa") >= F.col("of_pb")
+    met = met.select(F.when(larger, F.col("pa")).otherwise(F.col("pb")).alias("crowd"), F.when(larger, F.col("pb")).otherwise(F.col("pa")).alias("component")).distinct()
+    guests = met.join(parts, "component", "left").select("crowd", F.coalesce("key", "component").alias("key"))  # a set in no part is its own
+    crowds = parts.withColumnRenamed("component", "crowd").join(met.select("crowd").distinct(), "crowd").select("crowd", "key")
+    both = materialize(guests.withColumn("guest", F.lit(True)).unionByName(crowds.withColumn("guest", F.lit(False))), "ngram-meet")
+    sets = _sets_for(docs, own, both.select("key"))
+    blocks = both.groupBy("crowd").agg(*[F.ceil(F.count(F.when(F.col("guest") == g, 1)) / VERIFY_ROWS).cast("int").alias(c) for c, g in (("blocks", False), ("groups", True))])
+    dealt = both.join(blocks, "crowd").withColumn("hash", F.xxhash64("key"))
+    i, g = F.pmod("hash", F.col("blocks")).cast("int"), F.pmod("hash", F.col("groups")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("NOT guest").select("crowd", "key", i.alias("i"), every("groups").alias("g")).join(sets.select("key", "tokens"), "key")
+    right = dealt.where("guest").select(F.col("crowd").alias("crowd2"), F.col("key").alias("b"), every("blocks").alias("i2"), g.alias("g2"))
+    right = right.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("guest")), "b")
+    links = left.groupBy("crowd", "i", "g").cogroup(right.groupBy("crowd2", "i2", "g2")).applyInArrow(run, "a long, b long")
+    out = materialize(links, "ngram-links")
+    discard(both, sets)
+    return out
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, set_lo, set_hi (two hashes of the set).
 
@@ -535,10 +606,14 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     discard(sets, singles)
     parts = materialize(connected_components(links).withColumnRenamed("id", "key"), "ngram-parts")
     found = _across(postings, parts)
-    discard(postings, parts)
-    likely, rest, more = _by_parts(docs, own, found.join(first, ["a", "b"], "left_anti"))
-    parts = materialize(connected_components(links.unionByName(more)), "ngram-parts").withColumnRenamed("id", "key")
-    discard(found, first, likely, rest, links, more)
+    discard(postings)
+    crowded = _with_crowds(docs, own, found.where("crowd").select("pa", "pb"), parts)
+    discard(parts)
+    left = materialize(found.where("NOT crowd").drop("crowd").join(first, ["a", "b"], "left_anti"), "ngram-left")
+    discard(found, first)
+    likely, rest, more = _by_parts(docs, own, left)
+    parts = materialize(connected_components(links.unionByName(crowded).unionByName(more)), "ngram-parts").withColumnRenamed("id", "key")
+    discard(left, likely, rest, links, crowded, more)
     frequent.unpersist()
     sets_of = own.where("n_shingles > 0").groupBy("key", "hi").agg(F.min("doc_id").alias("least"))
     sets_of = sets_of.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
