@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from lakeloom.llm.hashing import trim
 
 #: Distinct words in each of the dictionary's two generations, and characters taken into one batch.
-KEPT_WORDS, BATCH_CHARS = 150_000, 2_000_000
+KEPT_WORDS, BATCH_CHARS = 50_000, 400_000
 #: Words over this many bytes are cut where no token of the vocabulary can reach across.
 CUT_BYTES = 48
 #: Pieces over this many bytes contract all occurrences of their least pair in a round, where that equals one after another.
 LONG_PIECE = 96
 #: Token-position rows in one recursive query (over all its rounds, for short pieces).
-QUERY_ROWS = 400_000
+QUERY_ROWS = 100_000
 #: Memory of a worker's DuckDB. One piece of over 800 kB, which a single row of text brings, gets 500 bytes a byte.
 MEMORY_MB = 400
 
