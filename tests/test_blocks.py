@@ -76,3 +76,20 @@ def test_a_task_gets_two_blocks(spark, monkeypatch):
     df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.lit(1).alias("label"))
     want = sum(np.cos(i - j) >= 0.9 for i in range(400) for j in range(i + 1, 400))
     assert dedup.similar_pairs(df, "label", 0.9).count() == want and seen == [50]
+
+
+def test_best_match_compares_blocks(rows, spark, monkeypatch, tmp_path):
+    """w11 crossed each query with its whole label in expressions; queries without any cosine keep their row."""
+    from lakeloom import catalog
+
+    more = [(500, [0.0] * 6, 7), (501, [1.0] * 6, 7), (600, [1.0] * 6, 8), (700, [0.0] * 6, None)]
+    rows = rows.where("vec_id <> 300").unionByName(spark.createDataFrame(more, rows.schema))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
+    p = rows.join(q, "label").where("qid <> vec_id").select("qid", "vec_id", F.round(cosine("embedding", "q"), 6).alias("score"))
+    want = p.groupBy("qid").agg(F.max_by(F.struct("vec_id", "score"), F.struct(F.col("score"), -F.col("vec_id"))).alias("b")).select("qid", "b.vec_id", "b.score")
+    seen = []
+    monkeypatch.setattr(blocks, "_blockwise", lambda *a, real=blocks._blockwise, **k: seen.append(a[3]) or real(*a, **k))
+    got = catalog.QUERIES["w11_best_match"](spark, str(tmp_path)).collect()
+    assert text(map(tuple, got)) == text(map(tuple, want.collect())) and seen == [16]
+    assert {r.qid: (r.vec_id, r.score) for r in got}[500] == (501, None)
