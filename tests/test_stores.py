@@ -325,3 +325,38 @@ def test_graph_keeps_one_copy_of_what_it_holds(spark, folder, monkeypatch):
     for name in ("met", "nodes", "ends", "entities", "relations"):
         assert len(getattr(store, name).versions()) == 1
     assert [children(spark, f"{folder}/log/{tag}") for tag in "ab"] == [["done"], ["done"]]
+
+
+def test_a_change_comes_in_waves_and_copies_no_table(spark, folder, monkeypatch):
+    """A change wrote all new rows of five tables beside the tables and shuffled each table at once."""
+    from lakeloom.operators import graph_store
+
+    chunks = spark.createDataFrame([(f"d{i}", f"c{i}") for i in range(9)], "doc_id string, chunk_id string")
+    nodes = spark.createDataFrame([(f"n{i % 5}", "t", f"text {i}", f"c{i}", i) for i in range(8)], "name string, type string, description string, source_id string, pos long")
+    edges = spark.createDataFrame([(f"n{i % 5}", f"n{i % 3 + 5}", "k", 1.0, "e", f"c{i}") for i in range(8)], "node1 string, node2 string, keywords string, weight double, description string, source_id string")
+    gone = spark.createDataFrame([("d0",), ("d7",)], "doc_id string")
+    whole = GraphStore(spark, folder + "/whole", 3, keep=1)
+    whole.ingest("a", chunks, nodes, edges)
+    whole.delete_documents("b", gone)
+
+    monkeypatch.setattr(graph_store, "WAVE_BYTES", 1, raising=False)
+    waves, faults, real = [], [], KeyedTable.put
+
+    def put(table, keys, rows, tag=None, n=1, by=None):
+        if table.path.endswith("entities") and not faults:
+            faults.append(children(spark, f"{folder}/parts/log/a"))
+            raise OSError("no space left")
+        waves.append(n)
+        return real(table, keys, rows, tag, n, by)
+
+    monkeypatch.setattr(KeyedTable, "put", put)
+    parts = GraphStore(spark, folder + "/parts", 3, keep=1)
+    with pytest.raises(OSError):
+        parts.ingest("a", chunks, nodes, edges)
+    assert faults == [["delta"]] and len(parts.nodes.versions()) == 1 and not parts.entities.versions()
+    parts.ingest("a", chunks, nodes, edges)
+    parts.delete_documents("b", gone)
+    assert set(waves) == {3} and children(spark, f"{folder}/parts/log/a") == ["done"]
+    for name in ("met", "nodes", "ends", "entities", "relations"):
+        one, other = (sorted(map(str, getattr(s, name).read().collect())) for s in (whole, parts))
+        assert one == other and one
